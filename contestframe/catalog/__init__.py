@@ -6,7 +6,7 @@ import importlib
 
 from contestframe.catalog.base import ORACLES, QUERIES
 
-MODULES = ["history"]
+MODULES = ["history", "fields"]
 
 
 def _load() -> None:

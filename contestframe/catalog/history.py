@@ -39,13 +39,13 @@ def keyed(df, *cols):
     f"""with d as (select *, dense_rank() over (partition by entrant_id order by contest_ord) dr from runs),
 h as (select *, coalesce(avg(win) over (partition by entrant_id order by dr
         range between 50 preceding and 1 preceding), 0) as win_rate from d),
-s as (select contest_id, list(1/price) as q, sum(power(1/price, 2)) as s2 from runs group by contest_id),
-b as (select contest_id, s2, list_reduce(list_prepend(struct_pack(lo := 0.01::double, hi := 2.0::double),
+s as (select contest_id, list(1/price) as q, case when sum(power(1/price, 2)) <= 1 and sum(power(1/price, 0.01)) >= 1 then 1 else 0 end as ok from runs group by contest_id),
+b as (select contest_id, ok, list_reduce(list_prepend(struct_pack(lo := 0.01::double, hi := 2.0::double),
         list_transform(range(60), lambda i: struct_pack(lo := i::double, hi := 0.0::double))),
         lambda a, x: case when list_sum(list_transform(q, lambda v: power(v, (a.lo + a.hi) / 2))) > 1
           then struct_pack(lo := (a.lo + a.hi) / 2, hi := a.hi)
           else struct_pack(lo := a.lo, hi := (a.lo + a.hi) / 2) end) as r from s),
-v as (select h.*, case when s2 > 1 then (1/price) / sum(1/price) over (partition by h.contest_id)
+v as (select h.*, case when ok = 0 then (1/price) / sum(1/price) over (partition by h.contest_id)
         else power(1/price, (r.lo + r.hi) / 2) end as market
       from h join b using (contest_id)),
 e as (select *, market * price * power(4.0/price, 1.25) - 1 as ev from v),
@@ -100,7 +100,7 @@ def w02(spark, sf):
 @register(
     "w03_early_speed_z",
     f"""with t as (select *, elapsed / 4 as sec1 from runs),
-g as (select avg(sec1) as gm, stddev_samp(sec1) as gs from t where contest_date < date '1995-01-01'),
+g as (select avg(sec1) as gm, stddev_samp(sec1) as gs from t where contest_date < date '1997-01-01'),
 p as (select *, avg(sec1) over w as m, stddev_samp(sec1) over w as s
   from t window w as (partition by track, distance order by contest_ord
     range between unbounded preceding and 1 preceding))
@@ -110,7 +110,7 @@ select contest_id, finish_rank, {R('''coalesce(least(greatest((sec1 - coalesce(m
 )
 def w03(spark, sf):
     df = base(spark, sf).withColumn("sec1", F.col("elapsed") / 4)
-    fills = df.where("contest_date < date'1995-01-01'")
+    fills = df.where("contest_date < date'1997-01-01'")
     h = history(spark, sf, df, ["track", "distance"])
     out = windows.prior_expanding(df, h, "sec1", "m", "s")
     z = windows.early_speed_z(
@@ -302,7 +302,7 @@ from l""",
     views="runs",
 )
 def w13(spark, sf):
-    df = attach(base(spark, sf), ["contest_id"], {"n": F.count(F.lit(1))})
+    df = attach(base(spark, sf), ["contest_id"], {"n": F.count(F.lit(1))}, "window")
     df = df.withColumn("early", C.early_pct("draw", "n")).withColumn(
         "late", C.late_rating(F.col("draw") - F.col("finish_rank"), "n")
     )

@@ -120,8 +120,9 @@ class Config:
     hot_rows: int = 4_000_000
     block_rows: int = 1_000_000
     max_blocks: int = 256
-    # Scale: entrants per packed array when a field is compared with itself
-    chunk: int = 32
+    # Scale: a field up to this size travels as one array, a larger one as arrays of `chunk`
+    field_limit: int = 128
+    chunk: int = 64
 
 
 CFG = Config()

@@ -3,6 +3,9 @@
 Nothing here emits the pairs of a field. Order statistics of rank three and all pair prices follow
 from three per-entrant sums (`order_sums`), which each entrant computes against packed arrays of its
 field; a pair then costs one expression, for the pairs that are asked for.
+
+`how` says how a field's totals reach its rows (see `scale.attach`): 'window' suits frames with one
+row per entrant, 'join' also survives a contest that holds a large share of all rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ NEWTON_STEPS = 16
 TINY = 1e-12
 
 
-def normalise(df: DataFrame, c: str, x: str, out: str, how: str = "join") -> DataFrame:
+def normalise(df: DataFrame, c: str, x: str, out: str, how: str = "window") -> DataFrame:
     """x, clipped to [1e-9, 1], divided by its sum over the contest; NULL stays NULL."""
     clipped = C.clip(x, 1e-9, 1.0)
     return scale.attach(df, [c], {"_sum": F.sum(clipped)}, how).withColumn(out, clipped / F.col("_sum")).drop("_sum")
@@ -78,7 +81,7 @@ def devig_power(df: DataFrame, c: str, price: str, out: str, min_n: int = 1) ->
     return joined.withColumn(out, F.when((o > 0) & (F.col("_n") >= min_n), share)).drop("_c", "_book", "_n", "_alpha")
 
 
-def softmax(df: DataFrame, c: str, z: str, out: str, tau: float = CFG.tau, how: str = "join") -> DataFrame:
+def softmax(df: DataFrame, c: str, z: str, out: str, tau: float = CFG.tau, how: str = "window") -> DataFrame:
     """Softmax of z / tau over the contest; rows without z get NULL."""
     scaled = F.col(z) / tau
     df = scale.attach(df, [c], {"_top": F.max(scaled)}, how).withColumn("_e", F.exp(scaled - F.col("_top")))
@@ -89,7 +92,7 @@ def field_tau(tau: Column | float, cfg: Config = CFG) -> Column:
     return C.clip(F.lit(tau) if isinstance(tau, float) else tau, cfg.tau_min, cfg.tau_max)
 
 
-def fuse(df: DataFrame, c: str, p: str, q: str, w: Column, out: str, delta: Column | None = None, how: str = "join") -> DataFrame:
+def fuse(df: DataFrame, c: str, p: str, q: str, w: Column, out: str, delta: Column | None = None, how: str = "window") -> DataFrame:
     """Logit blend (1-w) model + w market + delta, then softmax; a missing side takes no weight."""
     lp, lq = C.logit(p), C.logit(q)
     shift = F.lit(0.0) if delta is None else F.coalesce(delta, F.lit(0.0))
@@ -99,7 +102,7 @@ def fuse(df: DataFrame, c: str, p: str, q: str, w: Column, out: str, delta: Colu
     return softmax(df.withColumn("_z", blend), c, "_z", out, 1.0, how).drop("_z")
 
 
-def flow_score(df: DataFrame, c: str, now: str, base: str, out: str, cfg: Config = CFG, how: str = "join") -> DataFrame:
+def flow_score(df: DataFrame, c: str, now: str, base: str, out: str, cfg: Config = CFG, how: str = "window") -> DataFrame:
     """50 + 200 x (shift in implied probability, less the field's mean shift), within [0, 100]."""
     shift = F.when((F.col(now) > 1) & (F.col(base) > 1), 1 / F.col(now) - 1 / F.col(base))
     df = scale.attach(df.withColumn("_shift", shift), [c], {"_mean": F.avg("_shift")}, how)
@@ -113,7 +116,7 @@ def overlay_score(total: str, recent: str, cfg: Config = CFG) -> Column:
     return F.when(far, F.col(recent)).otherwise(F.col(total))
 
 
-def flow_update(df: DataFrame, c: str, p: str, score: str, price: str, cfg: Config = CFG, how: str = "join") -> DataFrame:
+def flow_update(df: DataFrame, c: str, p: str, score: str, price: str, cfg: Config = CFG, how: str = "window") -> DataFrame:
     """Posterior live_prob from the flow score, with clamped-decay live_ev and live_edge."""
     z = C.logit(F.coalesce(F.col(p), F.lit(0.0))) + cfg.flow_update * (
         F.coalesce(F.col(score), F.lit(cfg.flow_centre)) - cfg.flow_centre
@@ -129,7 +132,7 @@ def flow_update(df: DataFrame, c: str, p: str, score: str, price: str, cfg: Conf
     ).drop("_book")
 
 
-def field_prior(df: DataFrame, c: str, last_p: str, out: str, cfg: Config = CFG, how: str = "join") -> DataFrame:
+def field_prior(df: DataFrame, c: str, last_p: str, out: str, cfg: Config = CFG, how: str = "window") -> DataFrame:
     """Last known probabilities flattened by the live temperature; NULL for all under half coverage."""
     z = F.ln(C.clip(last_p, TINY, 1.0))
     known = F.avg(F.col(last_p).isNotNull().cast("double"))
@@ -139,7 +142,7 @@ def field_prior(df: DataFrame, c: str, last_p: str, out: str, cfg: Config = CFG,
 
 
 def pace_adjust(
-    df: DataFrame, c: str, p: str, style: str, draw: str, venue: Column, mult: Column, out: str, how: str = "join"
+    df: DataFrame, c: str, p: str, style: str, draw: str, venue: Column, mult: Column, out: str, how: str = "window"
 ) -> DataFrame:
     """Shifts logits by the pace scenario times the draw multiplier and renormalises.
 
@@ -170,14 +173,29 @@ def pace_adjust(
 def packs(df: DataFrame, c: str, e: str, n: str, cols: list[str], cfg: Config = CFG) -> DataFrame:
     """Contest + `_pack`: its members in arrays of about cfg.chunk structs, spread by a hash of e.
 
-    A field of ordinary size is one pack. A contest with very many members becomes many, each
-    built by its own task, so no group is collected whole.
+    Each array is built by its own task, so a contest with very many members is never collected whole.
     """
     chunk = F.pmod(F.xxhash64(e), F.ceil(F.col(n) / cfg.chunk)).cast("int")
-    return df.groupBy(c, chunk.alias("_chunk")).agg(F.collect_list(F.struct(e, *cols)).alias("_pack"))
+    sliced = df.select(F.col(c).alias("_pc"), chunk.alias("_chunk"), F.struct(e, *cols).alias("_row"))
+    arrays = sliced.repartition("_pc", "_chunk").groupBy("_pc", "_chunk").agg(F.collect_list("_row").alias("_pack"))
+    return arrays.drop("_chunk")
+
+
+def split_fields(base: DataFrame, c: str, e: str, n: str, cols: list[str], cfg: Config = CFG) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary fields with the whole field as `_pack`, rows of oversized fields or None).
+
+    An ordinary field has at most cfg.field_limit members and travels as one array. The limit is
+    tested inside the window, so an oversized field never builds that array; whether there is one is
+    asked with a partial count per contest.
+    """
+    member = F.when(F.col(n) <= cfg.field_limit, F.struct(e, *cols))
+    small = base.withColumn("_pack", F.collect_list(member).over(W.partitionBy(c))).where(F.col(n) <= cfg.field_limit)
+    if scale.hot_keys(base, [c], cfg.field_limit).isEmpty():
+        return small, None
+    return small, base.where(F.col(n) > cfg.field_limit)
 
 
-def weights(df: DataFrame, c: str, p: str, gamma: float | None = None, how: str = "join") -> DataFrame:
+def weights(df: DataFrame, c: str, p: str, gamma: float | None = None, how: str = "window") -> DataFrame:
     """Adds n (members with p > 0), `_p` (p normalised), `_g` = _p^gamma and its field sum `_s`."""
     ok = F.when(F.col(p) > 0, F.col(p))
     df = scale.attach(df, [c], {"_total": F.sum(ok), "_n": F.count(F.lit(1))}, how)
@@ -191,7 +209,7 @@ def _floor(x: Column) -> Column:
     return F.greatest(x, F.lit(TINY))
 
 
-def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "join", cfg: Config = CFG) -> DataFrame:
+def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
     """Per entrant the sums that all pair and rank-three prices are made of.
 
     With g = p^gamma, S its sum and x running over the rest of the field:
@@ -199,28 +217,31 @@ def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None
     `_v` = sum of p_x / ((S - g_x)(S - g - g_x)).
     """
     base = weights(df, c, p, gamma, how)
-    arrays = packs(base, c, e, "_n", ["_p", "_g"], cfg).drop("_chunk").withColumnRenamed(c, "_pc")
-    joined = base.select(c, e, "_g", "_s").join(arrays, F.col(c) == F.col("_pc"))
+    base = base.withColumn("_t", F.col("_p") / _floor(F.col("_s") - F.col("_g")))
     g, s = F.col("_g"), F.col("_s")
-    rest = F.filter("_pack", lambda x: x[e] != F.col(e))
-    zero = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
     part = F.aggregate(
-        rest,
-        zero,
+        F.filter("_pack", lambda x: x[e] != F.col(e)),
+        F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v")),
         lambda acc, x: F.struct(
             (acc["u"] + x["_g"] / _floor(s - g - x["_g"])).alias("u"),
-            (acc["v"] + x["_p"] / _floor(s - x["_g"]) / _floor(s - g - x["_g"])).alias("v"),
+            (acc["v"] + x["_t"] / _floor(s - g - x["_g"])).alias("v"),
         ),
     )
+    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], cfg)
+    out = small.withColumn("_part", part).withColumns({"_u": F.col("_part.u"), "_v": F.col("_part.v")}).drop("_pack", "_part")
+    if large is None:
+        return out
+    arrays = packs(large, c, e, "_n", ["_g", "_t"], cfg)
     sums = (
-        joined.select(c, e, part.alias("_part"))
+        large.select(c, e, "_g", "_s").join(arrays, F.col(c) == F.col("_pc"))
+        .select(c, e, part.alias("_part"))
         .groupBy(c, e)
         .agg(F.sum("_part.u").alias("_u"), F.sum("_part.v").alias("_v"))
     )
-    return base.join(sums, [c, e]).withColumn("_t", F.col("_p") / _floor(F.col("_s") - F.col("_g")))
+    return out.unionByName(large.join(sums, [c, e]))
 
 
-def rank2(df: DataFrame, c: str, p: str, out: str, gamma: float | None = None, how: str = "join") -> DataFrame:
+def rank2(df: DataFrame, c: str, p: str, out: str, gamma: float | None = None, how: str = "window") -> DataFrame:
     """P(finish exactly second), from two field sums and no join with the field."""
     base = weights(df, c, p, gamma, how).withColumn("_t", F.col("_p") / _floor(F.col("_s") - F.col("_g")))
     base = scale.attach(base, [c], {"_ts": F.sum("_t")}, how)
@@ -228,7 +249,7 @@ def rank2(df: DataFrame, c: str, p: str, out: str, gamma: float | None = None, h
     return base.withColumn(out, value).drop("_n", "_p", "_g", "_s", "_t", "_ts")
 
 
-def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "join", cfg: Config = CFG) -> DataFrame:
+def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
     """Adds p_rank1 .. p_rank3, p_top2 and p_top3; NULL where the field is smaller than the rank."""
     base = order_sums(df, c, e, p, gamma, how, cfg)
     base = scale.attach(base, [c], {"_ts": F.sum("_t"), "_tu": F.sum(F.col("_t") * F.col("_u"))}, how)
@@ -242,56 +263,61 @@ def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how
     ).drop("_ts", "_tu", "_n", "_p", "_g", "_s", "_t", "_u", "_v")
 
 
-def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "join", cfg: Config = CFG) -> DataFrame:
-    """Adds p_rank4: each entrant sums the ordered triples it is part of against two packs of its field."""
+def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
+    """Adds p_rank4: each entrant sums the ordered triples it is part of against arrays of its field."""
     base = weights(df, c, p, gamma, how)
-    arrays = packs(base, c, e, "_n", ["_p", "_g"], cfg).drop("_chunk")
-    one = arrays.select(F.col(c).alias("_c1"), F.col("_pack").alias("_xs"))
-    two = arrays.select(F.col(c).alias("_c2"), F.col("_pack").alias("_ys"))
-    joined = (
-        base.select(c, e, "_p", "_g", "_s")
-        .join(one, F.col(c) == F.col("_c1"))
-        .join(two, F.col(c) == F.col("_c2"))
-    )
-    me, s = F.struct(F.col(e).alias(e), F.col("_p").alias("_p"), F.col("_g").alias("_g")), F.col("_s")
-
-    def term(i: Column, j: Column, k: Column) -> Column:
-        """Weight of the triple first i, second j, third k, without the factor of the fourth."""
-        return (
-            i["_p"] / _floor(s - i["_g"]) * j["_g"] / _floor(s - i["_g"] - j["_g"])
-            * k["_g"] / _floor(s - i["_g"] - j["_g"] - k["_g"])
+    base = base.withColumn("_t", F.col("_p") / _floor(F.col("_s") - F.col("_g")))
+    g, t, s = F.col("_g"), F.col("_t"), F.col("_s")
+
+    def last2(gi: Column, gj: Column, gk: Column) -> Column:
+        return 1 / (_floor(s - gi - gj) * _floor(s - gi - gj - gk))
+
+    def sums(xs: str, ys: str) -> Column:
+        """(triples led by this entrant, triples with it second or third) over x in xs, y in ys."""
+        others = F.filter(xs, lambda x: x[e] != F.col(e))
+
+        def inner(acc: Column, x: Column) -> Column:
+            rest = F.filter(ys, lambda y: (y[e] != F.col(e)) & (y[e] != x[e]))
+            return F.aggregate(
+                rest,
+                acc,
+                lambda a, y: F.struct(
+                    (a["lead"] + t * x["_g"] * y["_g"] * last2(g, x["_g"], y["_g"])).alias("lead"),
+                    (
+                        a["tail"]
+                        + x["_t"] * g * y["_g"] * (last2(x["_g"], g, y["_g"]) + last2(x["_g"], y["_g"], g))
+                    ).alias("tail"),
+                ),
+            )
+
+        zero = F.struct(F.lit(0.0).alias("lead"), F.lit(0.0).alias("tail"))
+        return F.aggregate(others, zero, inner)
+
+    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], cfg)
+    out = small.withColumn("_part", sums("_pack", "_pack"))
+    out = out.withColumns({"_lead": F.col("_part.lead"), "_tail": F.col("_part.tail")}).drop("_pack", "_part")
+    if large is not None:
+        arrays = packs(large, c, e, "_n", ["_g", "_t"], cfg)
+        second = arrays.select(F.col("_pc").alias("_pc2"), F.col("_pack").alias("_pack2"))
+        crossed = (
+            large.join(arrays, F.col(c) == F.col("_pc")).join(second, F.col(c) == F.col("_pc2"))
+            .select(c, e, sums("_pack", "_pack2").alias("_part"))
+            .groupBy(c, e)
+            .agg(F.sum("_part.lead").alias("_lead"), F.sum("_part.tail").alias("_tail"))
         )
-
-    xs = F.filter("_xs", lambda x: x[e] != F.col(e))
-
-    def over_y(x: Column, f) -> Column:
-        ys = F.filter("_ys", lambda y: (y[e] != F.col(e)) & (y[e] != x[e]))
-        return F.aggregate(ys, F.lit(0.0), lambda acc, y: acc + f(x, y))
-
-    def over_xy(f) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + over_y(x, f))
-
-    sums = (
-        joined.select(
-            c, e,
-            over_xy(lambda x, y: term(me, x, y)).alias("_f1"),
-            over_xy(lambda x, y: term(x, me, y) + term(x, y, me)).alias("_f23"),
-        )
-        .groupBy(c, e)
-        .agg(F.sum("_f1").alias("_f1"), F.sum("_f23").alias("_f23"))
-    )
-    out = scale.attach(base.join(sums, [c, e]), [c], {"_all": F.sum("_f1")}, how)
-    value = F.when(F.col("_n") >= 4, F.col("_g") * (F.col("_all") - F.col("_f1") - F.col("_f23")))
-    return out.withColumn("p_rank4", value).drop("_all", "_f1", "_f23", "_n", "_p", "_g", "_s")
+        out = out.unionByName(large.join(crossed, [c, e]))
+    out = scale.attach(out, [c], {"_all": F.sum("_lead")}, how)
+    value = F.when(F.col("_n") >= 4, g * (F.col("_all") - F.col("_lead") - F.col("_tail")))
+    return out.withColumn("p_rank4", value).drop("_all", "_lead", "_tail", "_n", "_p", "_g", "_s", "_t")
 
 
-def rank_probs(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "join") -> DataFrame:
+def rank_probs(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window") -> DataFrame:
     """p_rank1 .. p_rank4 and p_top2 .. p_top4."""
     out = rank4(rank3(df, c, e, p, gamma, how), c, e, p, gamma, how)
     return out.withColumn("p_top4", F.col("p_top3") + F.col("p_rank4"))
 
 
-def place_harville(df: DataFrame, c: str, e: str, p: str, out: str, places: int = 3, how: str = "join") -> DataFrame:
+def place_harville(df: DataFrame, c: str, e: str, p: str, out: str, places: int = 3, how: str = "window") -> DataFrame:
     """Undiscounted probability of a finish in the first two or three."""
     if places == 2:
         return rank2(normalise(df, c, p, "_np", how), c, "_np", "_r2", 1.0, how).withColumn(
@@ -369,7 +395,7 @@ def place_ev(n: str, top2: str, top3: str, place_price: str) -> tuple[Column, Co
     return prob, prob * F.col(place_price)
 
 
-def absorption(df: DataFrame, c: str, p: str, place_price: str, out: str, how: str = "join") -> DataFrame:
+def absorption(df: DataFrame, c: str, p: str, place_price: str, out: str, how: str = "window") -> DataFrame:
     """True where the place pool's share of an entrant is 1.5 times the field's median ratio to win.
 
     The median of a contest is taken from value counts, combined map-side.
@@ -379,7 +405,7 @@ def absorption(df: DataFrame, c: str, p: str, place_price: str, out: str, how: s
     df = scale.attach(df, [c], {"_ws": F.sum("_w"), "_is": F.sum("_i"), "_ok": F.count("_w")}, how)
     df = df.withColumn("_ratio", (F.col("_i") / F.col("_is")) / (F.col("_w") / F.col("_ws")))
     df = scale.attach(df, [c], {"_med": F.percentile("_ratio", F.lit(0.5))}, how)
-    flag = (F.col("_ok") >= 2) & (F.col("_med") > 0) & (F.col("_ratio") >= 1.5 * F.col("_med"))
+    flag = (F.col("_ok") >= 2) & (F.col("_med") > 0) & (F.col("_ratio") >= 1.5 * F.col("_med") - 1e-9)
     return df.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_w", "_i", "_ws", "_is", "_ok", "_ratio", "_med")
 
 
@@ -398,9 +424,7 @@ def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str,
     model = model.select(c, e, "_imp", "_price", "_score", F.col("_n").alias("_size"), F.struct(*SUMS).alias("_m"))
     market = order_sums(legs.select(c, e, "_imp"), c, e, "_imp").select(c, e, F.struct(*SUMS).alias("_k"))
     both = model.join(market, [c, e])
-    arrays = packs(both, c, e, "_size", ["_price", "_score", "_m", "_k"], cfg).drop("_chunk")
-    arrays = arrays.withColumnRenamed(c, "_pc")
-    joined = both.join(arrays, F.col(c) == F.col("_pc"))
+    small, large = split_fields(both, c, e, "_size", ["_price", "_score", "_m", "_k"], cfg)
 
     def q(i: Column, j: Column) -> Column:
         return i["_t"] * j["_g"] + j["_t"] * i["_g"]
@@ -428,7 +452,11 @@ def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str,
     partners = F.filter("_pack", lambda x: (x[e] > F.col(e)) & (F.greatest(x["_score"], F.col("_score")) >= cfg.overlay_score))
     kept = F.filter(F.transform(partners, scored), lambda r: r["best_edge"] >= cfg.overlay_edge)
     best = F.slice(F.reverse(F.array_sort(kept)), 1, cfg.overlay_top)
-    rows = joined.select(c, F.col(e).alias("leg_a"), F.col("_price").alias("price_a"), F.inline(best))
+    out = [c, F.col(e).alias("leg_a"), F.col("_price").alias("price_a"), F.inline(best)]
+    rows = small.select(*out)
+    if large is not None:
+        arrays = packs(large, c, e, "_size", ["_price", "_score", "_m", "_k"], cfg)
+        rows = rows.unionByName(large.join(arrays, F.col(c) == F.col("_pc")).select(*out))
     w = W.partitionBy(c).orderBy(F.col("best_edge").desc(), "leg_a", "leg_b")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.overlay_top)
 
@@ -478,7 +506,7 @@ def flow_delta(vel: Column, logit_vel: Column, contracted: Column, model: Column
     return boost + F.when(trap, cfg.trap_penalty).otherwise(0.0), steam, trap
 
 
-def score_to_prob(df: DataFrame, c: str, score: str, out: str, how: str = "join") -> DataFrame:
+def score_to_prob(df: DataFrame, c: str, score: str, out: str, how: str = "window") -> DataFrame:
     """Scores normalised over the contest; missing ones count as half the contest's lowest."""
     df = scale.attach(df, [c], {"_min": F.min(score)}, how)
     df = df.withColumn("_filled", F.coalesce(F.col(score), F.col("_min") / 2))
