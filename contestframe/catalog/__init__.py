@@ -6,7 +6,7 @@ import importlib
 
 from contestframe.catalog.base import ORACLES, QUERIES
 
-MODULES = ["history", "fields"]
+MODULES = ["history", "fields", "ledger", "tickq"]
 
 
 def _load() -> None:
