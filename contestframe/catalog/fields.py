@@ -9,6 +9,7 @@ from contestframe.catalog.history import R, base, keyed
 from contestframe.functions import columns as C
 from contestframe.operators import field
 from contestframe.scale import attach
+from contestframe.sources.views import oversized
 
 CARD = """card as (select *, (1.0/(draw+2)) / sum(1.0/(draw+2)) over (partition by contest_id) as p,
     (1/price) / sum(1/price) over (partition by contest_id) as q,
@@ -216,7 +217,7 @@ from w left join r2 using (contest_id, finish_rank) left join r3 using (contest_
     "runs",
 )
 def f11(spark, sf):
-    out = field.rank3(card(spark, sf), "contest_id", "finish_rank", "p")
+    out = field.rank3(card(spark, sf), "contest_id", "finish_rank", "p", oversized=oversized(spark, sf))
     return keyed(out, *[r4(c).alias(c) for c in ("p_rank1", "p_rank2", "p_rank3", "p_top2", "p_top3")])
 
 
@@ -233,7 +234,7 @@ select w.contest_id, w.finish_rank, {R('r4')} as p_rank4 from w left join r4 usi
     "runs",
 )
 def f12(spark, sf):
-    return keyed(field.rank4(card(spark, sf), "contest_id", "finish_rank", "p"), r4("p_rank4").alias("p_rank4"))
+    return keyed(field.rank4(card(spark, sf), "contest_id", "finish_rank", "p", oversized=oversized(spark, sf)), r4("p_rank4").alias("p_rank4"))
 
 
 HARVILLE = f"""{CARD},
@@ -256,7 +257,7 @@ select contest_id, finish_rank, {R('p + r2')} as place2, {R('p + r2 + r3')} as p
 def f14(spark, sf):
     df = card(spark, sf)
     out = field.place_harville(df, "contest_id", "finish_rank", "p", "place2", places=2)
-    out = field.place_harville(out, "contest_id", "finish_rank", "p", "place3")
+    out = field.place_harville(out, "contest_id", "finish_rank", "p", "place3", oversized=oversized(spark, sf))
     return keyed(out, r4("place2").alias("place2"), r4("place3").alias("place3"), r4(field.place_payout("place3")).alias("payout"))
 
 
@@ -283,7 +284,7 @@ def f15(spark, sf):
     legs = df.where("finish_rank <= 3").groupBy("contest_id").agg(F.max("finish_rank").alias("_top"))
     listed = F.array(*[F.struct(F.lit(a).alias("leg_a"), F.lit(b).alias("leg_b")) for a, b in ((1, 2), (1, 3), (2, 3))])
     pairs = legs.select("contest_id", F.inline(listed))
-    out = field.price_pairs(pairs, df, "contest_id", "finish_rank", "leg_a", "leg_b", "p", "m")
+    out = field.price_pairs(pairs, df, "contest_id", "finish_rank", "leg_a", "leg_b", "p", "m", oversized=oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         r4("m_q").alias("quinella"), r4("m_qp").alias("both_k"), r4("m_qp3").alias("both_top3"),
@@ -311,7 +312,7 @@ union all select contest_id, 'QPL', x, y, {R('qp3')} from t3""",
 def f17(spark, sf):
     df = card(spark, sf).where("n > 2")
     pairs = df.where("finish_rank = 1").select("contest_id", F.lit(1).alias("leg_a"), F.lit(2).alias("leg_b"))
-    out = field.combo_table(pairs, df, "contest_id", "finish_rank", "p")
+    out = field.combo_table(pairs, df, "contest_id", "finish_rank", "p", oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), "pool", big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         r4("probability").alias("probability"),
@@ -332,7 +333,7 @@ select contest_id, finish_rank, {R('pp')} as place_prob, {R('pp * (1 + (price -
     "runs",
 )
 def f19(spark, sf):
-    out = field.rank3(card(spark, sf), "contest_id", "finish_rank", "p").withColumn("pp", 1 + (F.col("price") - 1) / 4)
+    out = field.rank3(card(spark, sf), "contest_id", "finish_rank", "p", oversized=oversized(spark, sf)).withColumn("pp", 1 + (F.col("price") - 1) / 4)
     prob, value = field.place_ev("n", "p_top2", "p_top3", "pp")
     return keyed(out, r4(prob).alias("place_prob"), r4(value).alias("place_ev"))
 
@@ -390,7 +391,7 @@ select contest_id, cast(x as bigint) as leg_a, cast(y as bigint) as leg_b, rank,
 )
 def f21(spark, sf):
     df = card(spark, sf).withColumn("score", F.col("draw") * 12.0)
-    out = field.overlay_pairs(df, "contest_id", "finish_rank", "p", "price", "score")
+    out = field.overlay_pairs(df, "contest_id", "finish_rank", "p", "price", "score", oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         big("rank").alias("rank"), r4("q_edge").alias("q_edge"), r4("qp_edge").alias("qp_edge"),
@@ -415,7 +416,7 @@ select contest_id, cast(x as bigint) as leg_a, cast(y as bigint) as leg_b, {R('q
 )
 def f22(spark, sf):
     df = card(spark, sf).withColumn("intent", F.col("weight") * 100 - F.col("finish_rank"))
-    out = field.core_intent(df, "contest_id", "finish_rank", "p", "price", "intent")
+    out = field.core_intent(df, "contest_id", "finish_rank", "p", "price", "intent", oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         *[r4(c).alias(c) for c in ("qp_model", "qp_market", "qp_edge", "est_payout")],

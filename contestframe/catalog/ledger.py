@@ -390,7 +390,7 @@ def a08(spark, sf):
     "runs",
 )
 def a09(spark, sf):
-    out = aggregates.slippage_stats(panel(spark, sf).withColumn("slip", F.col("slip")), "slip")
+    out = aggregates.slippage_stats(panel(spark, sf), "slip", views.table(spark, sf, "lineitem"))
     return out.select(big("n").alias("n"), *[r4(c).alias(c) for c in ("mean", "share_below_1", "p25", "p50", "p75")])
 
 
@@ -509,7 +509,7 @@ from runs where contest_date < date '2000-01-01'""",
 )
 def a23(spark, sf):
     df = base(spark, sf)
-    fills = aggregates.global_fill(df.select("elapsed", "contest_date"), ["elapsed"], ("contest_date", "2000-01-01"))["elapsed"]
+    fills = aggregates.global_fill(df.select("elapsed", "contest_date"), ["elapsed"], ("contest_date", "2000-01-01"), views.table(spark, sf, "lineitem"))["elapsed"]
     one = df.agg(F.count(F.lit(1)).alias("_n"))
     return one.select(*[r4(fills[k]).alias(k) for k in ("mean", "std", "median")])
 
@@ -620,7 +620,7 @@ def k02(spark, sf):
     df = card(spark, sf).withColumns(
         {"ev": F.round(C.ev("p", "price"), 9), "intent": F.round((F.col("weight") - 105) / 30, 9)}
     )
-    pairs, _ = policy.core_satellite(df, "contest_id", "finish_rank", "p", "price", "ev", "intent")
+    pairs, _ = policy.core_satellite(df, "contest_id", "finish_rank", "p", "price", "ev", "intent", oversized=views.oversized(spark, sf))
     return pairs.select(*[big(c).alias(c) for c in ("contest_id", "banker", "satellite", "tier")])
 
 
@@ -735,7 +735,7 @@ def k09(spark, sf):
     df = card(spark, sf).withColumns({"kp": F.col("p") * 1.5, "intent": (F.col("weight") - 105) / 30})
     df = df.withColumn("ev", C.ev("kp", "price"))
     # the value band is a ratio threshold: an EV column given as ratio minus 1 is lifted first
-    core, _ = policy.scan_overlays(df.withColumn("ratio", F.col("ev") + 1), "contest_id", "finish_rank", "kp", "price", "ratio", "intent")
+    core, _ = policy.scan_overlays(df.withColumn("ratio", F.col("ev") + 1), "contest_id", "finish_rank", "kp", "price", "ratio", "intent", oversized=views.oversized(spark, sf))
     return keyed(core, r4("ev").alias("ev"), r4(F.col("kelly") * 100).alias("kelly_pct"))
 
 

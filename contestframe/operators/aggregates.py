@@ -101,39 +101,44 @@ def pnl_by_month(tickets: DataFrame, date: str, bankroll: str | None = None, ord
     return tickets.groupBy(month).agg(*aggs)
 
 
-def quantiles(df: DataFrame, x: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of one column without bringing its values together.
+def _value_counts(df: DataFrame, x: str, bound: DataFrame | None) -> DataFrame:
+    """Distinct values of x with `_k` occurrences, `_cum` up to and including the value, `_total`.
 
-    Values are counted, the counts are accumulated in blocks along the value axis, and each
-    quantile is read off where the accumulated count passes its position.
+    The counts are accumulated in blocks along the value axis when there are many. `bound` is a
+    cheap frame with at least as many rows, asked for its size instead of `df`.
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_k"))
     counts = counts.withColumn("_all", F.lit(0))
+    rows = counts if bound is None else bound.select(F.lit(0).alias("_all"))
+    cuts = scale.probe(counts, ["_all"], x, counts_from=rows)
     frame = lambda part: W.partitionBy(*part).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
-    cuts = scale.probe(counts, ["_all"], x)
     summed = scale.running(counts, ["_all"], x, {"_cum": ("sum", "_k")}, frame, cuts)
-    n = counts.agg(F.sum("_k")).scalar()
-
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > position, F.col(x)))
-
-    out = []
-    for name, p in probs.items():
-        pos = (n - 1) * F.lit(p)
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        out.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
-    return summed.agg(*out)
-
-
-def slippage_stats(panel: DataFrame, slip: str) -> DataFrame:
-    """Mean, quartiles and share below 1 of a slippage column."""
-    quart = quantiles(panel, slip, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    row = quart.select(F.struct("p25", "p50", "p75")).scalar()
-    q = {name: row.getField(name) for name in ("p25", "p50", "p75")}
-    base = panel.agg(
-        F.count(slip).alias("n"), F.avg(slip).alias("mean"), F.avg((F.col(slip) < 1).cast("double")).alias("share_below_1")
+    if cuts is None:
+        return summed.withColumn("_total", F.sum("_k").over(W.partitionBy("_all")))
+    return summed.withColumn("_total", counts.agg(F.sum("_k")).scalar())
+
+
+def _quantile(x: str, p: float) -> Column:
+    """Interpolated quantile as an aggregate over `_value_counts` output."""
+    pos = (F.col("_total") - 1) * F.lit(p)
+    low = F.min(F.when(F.col("_cum") > F.floor(pos), F.col(x)))
+    high = F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(x)))
+    return low + (high - low) * F.max(pos - F.floor(pos))
+
+
+def quantiles(df: DataFrame, x: str, probs: dict[str, float], bound: DataFrame | None = None) -> DataFrame:
+    """Exact interpolated quantiles of one column without bringing its values together."""
+    return _value_counts(df, x, bound).agg(*[_quantile(x, p).alias(name) for name, p in probs.items()])
+
+
+def slippage_stats(panel: DataFrame, slip: str, bound: DataFrame | None = None) -> DataFrame:
+    """Count, mean, share below 1 and quartiles of a slippage column in one pass."""
+    n = F.sum("_k")
+    return _value_counts(panel, slip, bound).agg(
+        n.alias("n"), (F.sum(F.col("_k") * F.col(slip)) / n).alias("mean"),
+        (F.sum(F.when(F.col(slip) < 1, F.col("_k")).otherwise(0)) / n).alias("share_below_1"),
+        *[_quantile(slip, p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)],
     )
-    return base.withColumns(q)
 
 
 def coverage(ticks: DataFrame, contest: str, day: str, to_post: str, zones: dict[str, tuple[float, float]], approx: bool = False) -> DataFrame:
@@ -301,7 +306,7 @@ def front_runners(df: DataFrame, c: str, style: str, how: str = "join") -> DataF
     return out.withColumn("front_density", F.col("front_runners") / F.col("_n")).drop("_n")
 
 
-def global_fill(df: DataFrame, cols: Sequence[str], until: tuple[str, str] | None = None) -> dict[str, dict[str, Column]]:
+def global_fill(df: DataFrame, cols: Sequence[str], until: tuple[str, str] | None = None, bound: DataFrame | None = None) -> dict[str, dict[str, Column]]:
     """Mean, standard deviation and median of columns as scalar subqueries.
 
     `until` = (date column, cutoff) keeps the values to a training period.
@@ -311,7 +316,7 @@ def global_fill(df: DataFrame, cols: Sequence[str], until: tuple[str, str] | Non
         x: {
             "mean": known.agg(F.avg(x)).scalar(),
             "std": known.agg(F.stddev_samp(x)).scalar(),
-            "median": quantiles(known, x, {"m": 0.5}).scalar(),
+            "median": quantiles(known, x, {"m": 0.5}, bound).scalar(),
         }
         for x in cols
     }

@@ -181,16 +181,23 @@ def packs(df: DataFrame, c: str, e: str, n: str, cols: list[str], cfg: Config =
     return arrays.drop("_chunk")
 
 
-def split_fields(base: DataFrame, c: str, e: str, n: str, cols: list[str], cfg: Config = CFG) -> tuple[DataFrame, DataFrame | None]:
+def has_oversized(members: DataFrame, c: str, cfg: Config = CFG) -> bool:
+    """Whether some contest has more than cfg.field_limit members: one partial count per contest."""
+    return not scale.hot_keys(members, [c], cfg.field_limit).isEmpty()
+
+
+def split_fields(
+    base: DataFrame, c: str, e: str, n: str, cols: list[str], oversized: bool | None = None, cfg: Config = CFG
+) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary fields with the whole field as `_pack`, rows of oversized fields or None).
 
     An ordinary field has at most cfg.field_limit members and travels as one array. The limit is
-    tested inside the window, so an oversized field never builds that array; whether there is one is
-    asked with a partial count per contest.
+    tested inside the window, so an oversized field never builds that array. Callers that know a
+    narrow frame of members pass `oversized` from `has_oversized`; otherwise `base` itself is asked.
     """
     member = F.when(F.col(n) <= cfg.field_limit, F.struct(e, *cols))
     small = base.withColumn("_pack", F.collect_list(member).over(W.partitionBy(c))).where(F.col(n) <= cfg.field_limit)
-    if scale.hot_keys(base, [c], cfg.field_limit).isEmpty():
+    if not (has_oversized(base, c, cfg) if oversized is None else oversized):
         return small, None
     return small, base.where(F.col(n) > cfg.field_limit)
 
@@ -209,7 +216,7 @@ def _floor(x: Column) -> Column:
     return F.greatest(x, F.lit(TINY))
 
 
-def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
+def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", oversized: bool | None = None, cfg: Config = CFG) -> DataFrame:
     """Per entrant the sums that all pair and rank-three prices are made of.
 
     With g = p^gamma, S its sum and x running over the rest of the field:
@@ -227,7 +234,7 @@ def order_sums(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None
             (acc["v"] + x["_t"] / _floor(s - g - x["_g"])).alias("v"),
         ),
     )
-    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], cfg)
+    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], oversized, cfg)
     out = small.withColumn("_part", part).withColumns({"_u": F.col("_part.u"), "_v": F.col("_part.v")}).drop("_pack", "_part")
     if large is None:
         return out
@@ -249,9 +256,9 @@ def rank2(df: DataFrame, c: str, p: str, out: str, gamma: float | None = None, h
     return base.withColumn(out, value).drop("_n", "_p", "_g", "_s", "_t", "_ts")
 
 
-def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
+def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", oversized: bool | None = None, cfg: Config = CFG) -> DataFrame:
     """Adds p_rank1 .. p_rank3, p_top2 and p_top3; NULL where the field is smaller than the rank."""
-    base = order_sums(df, c, e, p, gamma, how, cfg)
+    base = order_sums(df, c, e, p, gamma, how, oversized, cfg)
     base = scale.attach(base, [c], {"_ts": F.sum("_t"), "_tu": F.sum(F.col("_t") * F.col("_u"))}, how)
     second = F.when(F.col("_n") >= 2, F.col("_g") * (F.col("_ts") - F.col("_t")))
     third = F.when(
@@ -263,7 +270,7 @@ def rank3(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how
     ).drop("_ts", "_tu", "_n", "_p", "_g", "_s", "_t", "_u", "_v")
 
 
-def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", cfg: Config = CFG) -> DataFrame:
+def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", oversized: bool | None = None, cfg: Config = CFG) -> DataFrame:
     """Adds p_rank4: each entrant sums the ordered triples it is part of against arrays of its field."""
     base = weights(df, c, p, gamma, how)
     base = base.withColumn("_t", F.col("_p") / _floor(F.col("_s") - F.col("_g")))
@@ -293,7 +300,7 @@ def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how
         zero = F.struct(F.lit(0.0).alias("lead"), F.lit(0.0).alias("tail"))
         return F.aggregate(others, zero, inner)
 
-    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], cfg)
+    small, large = split_fields(base, c, e, "_n", ["_g", "_t"], oversized, cfg)
     out = small.withColumn("_part", sums("_pack", "_pack"))
     out = out.withColumns({"_lead": F.col("_part.lead"), "_tail": F.col("_part.tail")}).drop("_pack", "_part")
     if large is not None:
@@ -311,19 +318,20 @@ def rank4(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how
     return out.withColumn("p_rank4", value).drop("_all", "_lead", "_tail", "_n", "_p", "_g", "_s", "_t")
 
 
-def rank_probs(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window") -> DataFrame:
+def rank_probs(df: DataFrame, c: str, e: str, p: str, gamma: float | None = None, how: str = "window", oversized: bool | None = None) -> DataFrame:
     """p_rank1 .. p_rank4 and p_top2 .. p_top4."""
-    out = rank4(rank3(df, c, e, p, gamma, how), c, e, p, gamma, how)
+    oversized = has_oversized(df, c) if oversized is None else oversized
+    out = rank4(rank3(df, c, e, p, gamma, how, oversized), c, e, p, gamma, how, oversized)
     return out.withColumn("p_top4", F.col("p_top3") + F.col("p_rank4"))
 
 
-def place_harville(df: DataFrame, c: str, e: str, p: str, out: str, places: int = 3, how: str = "window") -> DataFrame:
+def place_harville(df: DataFrame, c: str, e: str, p: str, out: str, places: int = 3, how: str = "window", oversized: bool | None = None) -> DataFrame:
     """Undiscounted probability of a finish in the first two or three."""
     if places == 2:
         return rank2(normalise(df, c, p, "_np", how), c, "_np", "_r2", 1.0, how).withColumn(
             out, F.col("_np") + F.coalesce(F.col("_r2"), F.lit(0.0))
         ).drop("_np", "_r2")
-    ranks = rank3(normalise(df, c, p, "_np", how), c, e, "_np", 1.0, how)
+    ranks = rank3(normalise(df, c, p, "_np", how), c, e, "_np", 1.0, how, oversized)
     total = sum((F.coalesce(F.col(f"p_rank{k}"), F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
     return ranks.withColumn(out, total).drop("_np", "p_rank1", "p_rank2", "p_rank3", "p_top2", "p_top3")
 
@@ -351,10 +359,10 @@ def both_top3(a: str, b: str) -> Column:
 SUMS = ["_n", "_p", "_g", "_s", "_t", "_u", "_v"]
 
 
-def price_pairs(pairs: DataFrame, df: DataFrame, c: str, e: str, a: str, b: str, p: str, prefix: str, gamma: float | None = None) -> DataFrame:
+def price_pairs(pairs: DataFrame, df: DataFrame, c: str, e: str, a: str, b: str, p: str, prefix: str, gamma: float | None = None, oversized: bool | None = None) -> DataFrame:
     """Adds `<prefix>_q` and `<prefix>_qp` (first two; first k, where k is 3 from seven runners, else 2)
     to a table of listed pairs with leg columns a and b."""
-    legs = order_sums(df, c, e, p, gamma).select(c, e, F.struct(*SUMS).alias("_leg"))
+    legs = order_sums(df, c, e, p, gamma, oversized=oversized).select(c, e, F.struct(*SUMS).alias("_leg"))
     first = legs.select(F.col(c).alias("_c1"), F.col(e).alias("_e1"), F.col("_leg").alias("_a"))
     second = legs.select(F.col(c).alias("_c2"), F.col(e).alias("_e2"), F.col("_leg").alias("_b"))
     out = pairs.join(first, (F.col(c) == F.col("_c1")) & (F.col(a) == F.col("_e1"))).join(
@@ -366,12 +374,12 @@ def price_pairs(pairs: DataFrame, df: DataFrame, c: str, e: str, a: str, b: str,
     ).drop("_c1", "_e1", "_a", "_c2", "_e2", "_b")
 
 
-def combo_table(pairs: DataFrame, df: DataFrame, c: str, e: str, p: str) -> DataFrame:
+def combo_table(pairs: DataFrame, df: DataFrame, c: str, e: str, p: str, oversized: bool | None = None) -> DataFrame:
     """Long form (pool, leg_a, leg_b, probability): place of every entrant, both pools of listed pairs."""
-    place = place_harville(df, c, e, p, "probability").select(
+    place = place_harville(df, c, e, p, "probability", oversized=oversized).select(
         c, F.lit("PLACE").alias("pool"), F.col(e).alias("leg_a"), F.lit(None).cast(df.schema[e].dataType).alias("leg_b"), "probability"
     )
-    priced = price_pairs(pairs, df, c, e, "leg_a", "leg_b", p, "m", gamma=1.0)
+    priced = price_pairs(pairs, df, c, e, "leg_a", "leg_b", p, "m", 1.0, oversized)
     rows = F.array(
         F.struct(F.lit("QUINELLA").alias("pool"), F.col("m_q").alias("probability")),
         F.struct(F.lit("QPL").alias("pool"), F.col("m_qp3").alias("probability")),
@@ -409,7 +417,7 @@ def absorption(df: DataFrame, c: str, p: str, place_price: str, out: str, how: s
     return df.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_w", "_i", "_ws", "_is", "_ok", "_ratio", "_med")
 
 
-def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str, cfg: Config = CFG) -> DataFrame:
+def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str, oversized: bool | None = None, cfg: Config = CFG) -> DataFrame:
     """The best pairs of each contest whose model probability beats the market's.
 
     Each entrant keeps at most `overlay_top` partners of a pack inside one array expression, so only
@@ -420,11 +428,12 @@ def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str,
         c, e, p, F.col(price).alias("_price"), (1 / F.col(price)).alias("_imp"),
         F.coalesce(F.col(score), F.lit(cfg.overlay_score)).alias("_score"),
     )
-    model = order_sums(legs, c, e, p)
+    oversized = has_oversized(legs, c, cfg) if oversized is None else oversized
+    model = order_sums(legs, c, e, p, oversized=oversized)
     model = model.select(c, e, "_imp", "_price", "_score", F.col("_n").alias("_size"), F.struct(*SUMS).alias("_m"))
-    market = order_sums(legs.select(c, e, "_imp"), c, e, "_imp").select(c, e, F.struct(*SUMS).alias("_k"))
+    market = order_sums(legs.select(c, e, "_imp"), c, e, "_imp", oversized=oversized).select(c, e, F.struct(*SUMS).alias("_k"))
     both = model.join(market, [c, e])
-    small, large = split_fields(both, c, e, "_size", ["_price", "_score", "_m", "_k"], cfg)
+    small, large = split_fields(both, c, e, "_size", ["_price", "_score", "_m", "_k"], oversized, cfg)
 
     def q(i: Column, j: Column) -> Column:
         return i["_t"] * j["_g"] + j["_t"] * i["_g"]
@@ -461,18 +470,18 @@ def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str,
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.overlay_top)
 
 
-def core_intent(df: DataFrame, c: str, e: str, p: str, price: str, intent: str, cfg: Config = CFG) -> DataFrame:
+def core_intent(df: DataFrame, c: str, e: str, p: str, price: str, intent: str, oversized: bool | None = None, cfg: Config = CFG) -> DataFrame:
     """Pairs of each value-band entrant with the contest's highest-intent entrant, priced undiscounted."""
     known = df.where(F.col(p).isNotNull() & F.col(price).isNotNull())
-    sized = scale.attach(known, [c], {"_size": F.count(F.lit(1))}).where("_size >= 4").drop("_size")
+    sized = scale.attach(known, [c], {"_size": F.count(F.lit(1))}, "window").where("_size >= 4").drop("_size")
     intended = sized.where(F.col(intent).isNotNull()).groupBy(c).agg(
         F.max_by(e, F.struct(F.col(intent), -F.col(e))).alias("leg_b"), F.max(intent).alias("intent_score")
     )
     core = sized.where(F.col(price).between(cfg.kelly_lo, cfg.kelly_hi)).select(c, F.col(e).alias("leg_a"), F.col(price).alias("core_price"))
     pairs = core.join(intended, c).where("leg_a <> leg_b")
     field = normalise(normalise(sized.withColumn("_imp", 1 / F.col(price)), c, p, "_pm"), c, "_imp", "_pk")
-    priced = price_pairs(pairs, field, c, e, "leg_a", "leg_b", "_pm", "model", 1.0)
-    priced = price_pairs(priced, field, c, e, "leg_a", "leg_b", "_pk", "market", 1.0)
+    priced = price_pairs(pairs, field, c, e, "leg_a", "leg_b", "_pm", "model", 1.0, oversized)
+    priced = price_pairs(priced, field, c, e, "leg_a", "leg_b", "_pk", "market", 1.0, oversized)
     edge = F.col("model_qp3") / F.col("market_qp3") - 1
     return priced.where(F.col("market_qp3") > 0).select(
         c, "leg_a", "leg_b", "core_price", "intent_score", F.col("model_qp3").alias("qp_model"),

@@ -46,7 +46,7 @@ def bankers(df: DataFrame, c: str, e: str, price: str, ev: str, cfg: Config = CF
     return topk.union_priority([one.select(*cols), two.select(*cols)], [c, e])
 
 
-def core_satellite(df: DataFrame, c: str, e: str, p: str, price: str, ev: str, intent: str, signals: Sequence[str] = (), cfg: Config = CFG):
+def core_satellite(df: DataFrame, c: str, e: str, p: str, price: str, ev: str, intent: str, signals: Sequence[str] = (), oversized: bool | None = None, cfg: Config = CFG):
     """(banker x satellite pairs with tier, place picks) of every contest with two priced entrants."""
     known = df.where(F.col(p).isNotNull() & F.col(price).isNotNull())
     known = scale.attach(known, [c], {"_size": F.count(F.lit(1))}, "window").where("_size >= 2")
@@ -58,8 +58,8 @@ def core_satellite(df: DataFrame, c: str, e: str, p: str, price: str, ev: str, i
     pairs = joins.cross_top(picked, legs, c, e, "_i", cfg.satellite_max).select(c, "banker", "satellite", "tier")
 
     both = known.select(c, e, price, p, (1 / F.col(price)).alias("_q"))
-    both = field.place_harville(both, c, e, p, "_pm")
-    both = field.place_harville(both, c, e, "_q", "_pk")
+    both = field.place_harville(both, c, e, p, "_pm", oversized=oversized)
+    both = field.place_harville(both, c, e, "_q", "_pk", oversized=oversized)
     value = F.col("_pm") * field.place_payout("_pk", cfg.takeout_place)
     picks = both.withColumn("place_value", value).where(
         (F.col("place_value") > cfg.place_pick_ev) & (F.col(price) >= cfg.place_pick_price)
@@ -234,14 +234,14 @@ def daily_card(scored: DataFrame, c: str, cfg: Config = CFG) -> DataFrame:
     )
 
 
-def scan_overlays(scored: DataFrame, c: str, e: str, p: str, price: str, ev: str, intent: str, top: int = 10, cfg: Config = CFG):
+def scan_overlays(scored: DataFrame, c: str, e: str, p: str, price: str, ev: str, intent: str, top: int = 10, oversized: bool | None = None, cfg: Config = CFG):
     """(core win picks, best banker x satellite pairs) of a whole day, the best `top` of each."""
     core = scored.where((F.col(ev) > cfg.kelly_min_ev) & F.col(price).between(cfg.kelly_lo, cfg.kelly_hi))
     core = core.withColumn("kelly", C.kelly_single(p, price, C.decay(price)))
-    pairs, _ = core_satellite(scored, c, e, p, price, ev, intent, cfg=cfg)
+    pairs, _ = core_satellite(scored, c, e, p, price, ev, intent, oversized=oversized, cfg=cfg)
     both = scored.select(c, e, p, (1 / F.col(price)).alias("_q"))
-    priced = field.price_pairs(pairs, both.drop("_q"), c, e, "banker", "satellite", p, "model", 1.0)
-    priced = field.price_pairs(priced, both.drop(p), c, e, "banker", "satellite", "_q", "market", 1.0)
+    priced = field.price_pairs(pairs, both.drop("_q"), c, e, "banker", "satellite", p, "model", 1.0, oversized)
+    priced = field.price_pairs(priced, both.drop(p), c, e, "banker", "satellite", "_q", "market", 1.0, oversized)
     priced = priced.withColumn("edge", F.col("model_qp3") / F.nullif(F.col("market_qp3"), F.lit(0.0)) - 1)
     return topk.top_n(core, ev, top, [c, e]), topk.top_n(priced, "edge", top, [c, "banker", "satellite"])
 

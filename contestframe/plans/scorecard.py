@@ -63,7 +63,7 @@ def score_card(
     card = card.withColumns({"delta": delta, "steam": steam, "trap": trap})
     card = field.fuse(card, c, "model", "market", F.col("w_fuse"), "p", F.col("delta"))
     card = card.withColumn("ev", C.ev("p", "price", C.decay("price", clamp=True)))
-    card = field.rank_probs(card, c, e, "p")
+    card = field.rank_probs(card, c, e, "p", oversized=field.has_oversized(seen.select(c, e).distinct(), c, cfg))
     size = F.count("price").over(field.W.partitionBy(c))
     card = card.withColumn("field_n", size)
     place_prob, place_ev = field.place_ev("field_n", "p_top2", "p_top3", "place_price")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from contestframe.operators.field import has_oversized
 from contestframe.scale import probe
 
 # Instants of the tick view that stand for the market's baseline, decision and post time.
@@ -111,3 +112,8 @@ def work_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 2 + 10).alias("time_400"),
         (F.col("l_linestatus") == "F").alias("is_fast"),
     )
+
+
+def oversized(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether some contest of the runs view is too large for one array; reads one column."""
+    return has_oversized(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contest_id")), "contest_id")
