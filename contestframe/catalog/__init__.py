@@ -6,7 +6,7 @@ import importlib
 
 from contestframe.catalog.base import ORACLES, QUERIES
 
-MODULES = ["history", "fields", "ledger", "tickq"]
+MODULES = ["history", "fields", "ledger", "tickq", "rules"]
 
 
 def _load() -> None:
