@@ -13,7 +13,7 @@ from contestframe import scale
 from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
 from contestframe.operators import field, joins, topk
-from contestframe.session import shared_dir
+from contestframe.session import checkpointed
 
 
 def eligible(pool: str, cfg: Config = CFG) -> Column:
@@ -95,14 +95,6 @@ def kelly_field(df: DataFrame, c: str, e: str, p: str, price: str, cfg: Config =
     return out.drop("_r", "_ok", "_taken", "_res", "_left", "_f")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def bankroll_path(
     ledger: DataFrame, strategy: str, order: str, fraction: str, price: str, won: str, cfg: Config = CFG,
     cuts: DataFrame | None = None,
@@ -119,7 +111,7 @@ def bankroll_path(
     if cfg.kelly_cap * cfg.stop_below >= cfg.min_bet:
         raise ValueError("the stop level must lie below the smallest bankroll that can place a bet")
     gain = F.col(fraction) * F.when(F.col(won) == 1, F.col(price) - 1).otherwise(-1.0)
-    bets = _checkpoint(ledger.where(F.col(fraction) > 0).withColumn("_placed", F.lit(True)))
+    bets = checkpointed(ledger.where(F.col(fraction) > 0).withColumn("_placed", F.lit(True)))
     frame = lambda part: W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     while True:
         steps = bets.groupBy(strategy, order).agg(F.ln(1 + F.sum(F.when(F.col("_placed"), gain).otherwise(0.0))).alias("_log"))
@@ -127,7 +119,7 @@ def bankroll_path(
         level = F.lit(cfg.bankroll) * F.exp(F.coalesce(F.col("_before"), F.lit(0.0)))
         judged = bets.join(path.select(strategy, order, level.alias("_level")), [strategy, order])
         judged = judged.withColumn("_now", F.col("_level") * F.col(fraction) >= cfg.min_bet)
-        judged = _checkpoint(judged)
+        judged = checkpointed(judged)
         if judged.where(F.col("_now") != F.col("_placed")).isEmpty():
             break
         bets = judged.withColumn("_placed", F.col("_now")).drop("_now", "_level")

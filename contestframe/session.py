@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     fresh = tempfile.mkdtemp(prefix="contestframe-")
     spark.conf.set("spark.checkpoint.dir", fresh)
     return fresh
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: cuts the lineage and fixes the rows."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

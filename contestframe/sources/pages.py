@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,16 +56,17 @@ def bind_columns(rows: DataFrame, page: str, header_map: dict[str, Sequence[str]
         words = header_map[name]
         hits = F.transform(
             "cells",
-            lambda x, i: F.when(
-                F.lit(False) if not words else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(x), w)), i
-            ),
+            lambda x, i: F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(x), w)), i),
         )
         known = F.filter(hits, lambda h: h.isNotNull())
         return F.get(known, F.lit(0)) if name in first else F.try_element_at(known, F.lit(-1))
 
     where = F.struct(*[position(n).alias(n) for n in header_map])
     found = sum((F.when(where[n].isNotNull(), 1).otherwise(0) for n in header_map), F.lit(0))
-    heads = rows.where(found >= 2).groupBy(page).agg(F.min(F.struct("row_no", where.alias("at"))).alias("_head"))
+    # a header row names two outputs somewhere in its text; only such rows are looked at cell by cell
+    named = [reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in header_map[n]]) for n in header_map]
+    likely = sum((F.when(x, 1).otherwise(0) for x in named), F.lit(0)) >= 2
+    heads = rows.where(likely).where(found >= 2).groupBy(page).agg(F.min(F.struct("row_no", where.alias("at"))).alias("_head"))
     body = rows.join(heads, page).where(F.col("row_no") > F.col("_head.row_no"))
     return body.select(
         *[c for c in rows.columns], *[F.when(F.col(f"_head.at.{n}").isNotNull(), F.get("cells", F.col(f"_head.at.{n}"))).alias(n) for n in header_map]
@@ -109,7 +111,7 @@ def attribute_text(lines: DataFrame, entrants: DataFrame, contest: str, line: st
     by_code = numbered.select(contest, "_no", "_line", F.explode("_codes").alias(code)).join(entrants.select(contest, code), [contest, code], "left_semi")
     named = entrants.where(F.length(name) > 0).select(contest, code, name)
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col(name), F.lit(r"\E\b"))
-    by_name = numbered.where(F.size("_codes") == 0).select(contest, "_no", "_line").join(named, contest).where(F.col("_line").rlike(quoted))
+    by_name = numbered.where(F.size("_codes") == 0).select(contest, "_no", "_line").join(named, contest).where(F.rlike("_line", quoted))
     hits = by_code.select(contest, code, "_no", "_line").unionByName(by_name.select(contest, code, "_no", "_line")).distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda s: s["_line"])
     return hits.groupBy(contest, code).agg(F.array_join(ordered, " ").alias("report"))

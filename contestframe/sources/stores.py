@@ -12,6 +12,7 @@ from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
 from contestframe.operators import joins, market, topk
 from contestframe.operators.windows import keep_one
+from contestframe.session import checkpointed
 
 # Declared columns of the append-only stores
 TICK_COLUMNS = [
@@ -95,9 +96,11 @@ def entrant_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """Dense integer code of a text key in its sorted order.
 
     Codes are given to the distinct keys only. They are range-partitioned, counted per partition and
-    numbered from the partition's offset, so no task sees all keys.
+    numbered from the partition's offset, so no task sees all keys. The range borders are sampled,
+    hence the checkpoint: both uses of the partition number must see the same rows.
     """
-    keys = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).withColumn("_p", F.spark_partition_id())
+    ranged = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col)
+    keys = checkpointed(ranged.withColumn("_p", F.spark_partition_id()))
     w = topk.W.partitionBy("_p").orderBy(col)
     sizes = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
     offset = F.coalesce(F.sum("_k").over(topk.W.orderBy("_p").rowsBetween(topk.W.unboundedPreceding, -1)), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from contestframe.config import CFG
 from contestframe.operators.field import has_oversized
 from contestframe.scale import probe
 
@@ -56,9 +57,15 @@ _RAW_KEY = {"entrant_id": "l_partkey", "rider_id": "l_suppkey", "contest_id": "l
 
 
 def hot(spark: SparkSession, sf_dir: str, frame: DataFrame, keys: list[str], order: str = "contest_ord"):
-    """Cut points of `frame` by `keys`; the hot check itself reads only the fact table's key column."""
+    """Cut points of `frame` by `keys`, None when no key is hot.
+
+    A table of at most hot_rows rows has no hot key, which its Parquet footers tell. Beyond that the
+    fact table's own key columns are counted when the keys are among them.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if lines.count() <= CFG.hot_rows:
+        return None
     if all(k in _RAW_KEY for k in keys):
-        lines = table(spark, sf_dir, "lineitem")
         narrow = lines.select(*[F.col(_RAW_KEY[k]).alias(k) for k in keys])
         return probe(frame, keys, order, counts_from=narrow)
     return probe(frame, keys, order)
