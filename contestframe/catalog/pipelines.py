@@ -265,7 +265,8 @@ where finish_rank <= 4 group by 1, 2""",
 def h05(spark, sf):
     """Report lines of the first four: odd ranks name the code, even ranks the name."""
     df = base(spark, sf).where("finish_rank <= 4")
-    code = F.concat(F.lit("K"), F.lpad((F.col("entrant_id") % 1000).cast("string"), 3, "0"))
+    letter = F.chr(F.lit(65) + F.floor(F.col("entrant_id") / 1000) % 26)
+    code = F.concat(letter, F.lpad((F.col("entrant_id") % 1000).cast("string"), 3, "0"))
     df = df.withColumns({"code": code, "name": F.concat(F.lit("RUNNER "), F.col("entrant_id").cast("string"), F.lit("X"))})
     line = F.when(F.col("finish_rank") % 2 == 1, F.concat(F.lit("Runner ("), "code", F.lit(") was checked near the 400 metres"))).otherwise(
         F.concat(F.lit("Near the turn "), F.initcap("name"), F.lit(" raced wide without cover"))

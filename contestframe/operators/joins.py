@@ -32,7 +32,7 @@ def decision_panel(base: DataFrame, decision: DataFrame, final: DataFrame, keys:
     )
 
 
-def event_window(
+def event_sums(
     runs: DataFrame,
     events: DataFrame,
     run_keys: Sequence[str],
@@ -43,7 +43,8 @@ def event_window(
     inputs: Sequence[str],
     aggs: dict[str, Column],
 ) -> DataFrame:
-    """Aggregates the entity's events of the `days` days before each run (the run day is outside).
+    """Per run key the aggregates of the entity's events of the `days` days before the run (its day is
+    outside); runs without such events are absent.
 
     Runs meet events in equal day buckets `days` wide: an event is listed in its own bucket and the
     next, so a busy entity is spread over time instead of meeting itself whole. `aggs` may use
@@ -55,12 +56,17 @@ def event_window(
         events.select(F.col(entity).alias("_e"), day.alias("_day"), *[F.col(c).alias(f"ev_{c}") for c in inputs])
         .withColumn("_bucket", F.explode(F.array(F.floor(F.col("_day") / span), F.floor(F.col("_day") / span) + 1)))
     )
-    left = runs.withColumn("_rd", F.unix_date(run_date)).withColumn("_rb", F.floor(F.col("_rd") / span))
+    needed = [*run_keys, entity, run_date, *[c for c in inputs if c in runs.columns and c not in (*run_keys, entity, run_date)]]
+    left = runs.select(*needed).withColumn("_rd", F.unix_date(run_date)).withColumn("_rb", F.floor(F.col("_rd") / span))
     hit = (F.col(entity) == F.col("_e")) & (F.col("_rb") == F.col("_bucket"))
     age = F.col("_rd") - F.col("_day")
     found = left.join(listed, hit).withColumn("_age", age).where((F.col("_age") > 0) & (F.col("_age") <= span))
-    summed = found.groupBy(*run_keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return runs.join(summed, list(run_keys), "left")
+    return found.groupBy(*run_keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
+
+
+def event_window(runs: DataFrame, events: DataFrame, run_keys: Sequence[str], *spec) -> DataFrame:
+    """All runs with their `event_sums`, NULL where there were no events."""
+    return runs.join(event_sums(runs, events, run_keys, *spec), list(run_keys), "left")
 
 
 def nearest_frame(

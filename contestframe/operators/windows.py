@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,41 +38,57 @@ class History:
         return W.partitionBy(*part).orderBy(self.order, *self.ties)
 
 
-def _rolling(df: DataFrame, h: History, n: int, aggs) -> DataFrame:
-    """aggs(window) over the last n contests (or rows) before the current one."""
+Aggs = Callable[[W], dict[str, Column]]
 
+
+def rolling(df: DataFrame, h: History, specs: Sequence[tuple[int, Aggs]]) -> DataFrame:
+    """Aggregates over the last n contests (or rows) before the current one, for several n at once.
+
+    Each spec is (n, function from a window to named columns); all share one numbering of the
+    key's contests and one exchange.
+    """
     def build(d: DataFrame, part: list[str]) -> DataFrame:
         if h.frame == "prior_row":
-            return d.withColumns(aggs(h.by_row(part).rowsBetween(-n, -1)))
-        numbered = d.withColumn("_dr", F.dense_rank().over(W.partitionBy(*part).orderBy(h.order)))
-        return numbered.withColumns(aggs(W.partitionBy(*part).orderBy("_dr").rangeBetween(-n, -1))).drop("_dr")
+            for n, aggs in specs:
+                d = d.withColumns(aggs(h.by_row(part).rowsBetween(-n, -1)))
+            return d
+        d = d.withColumn("_dr", F.dense_rank().over(W.partitionBy(*part).orderBy(h.order)))
+        for n, aggs in specs:
+            d = d.withColumns(aggs(W.partitionBy(*part).orderBy("_dr").rangeBetween(-n, -1)))
+        return d.drop("_dr")
+
+    return scale.bounded(df, h.keys, h.order, max(n for n, _ in specs), build, h.cuts)
+
+
+def mean_spec(x: str, out: str, fill: float | None = None) -> Aggs:
+    """Mean of x, `fill` without history."""
+    return lambda w: {out: F.avg(x).over(w) if fill is None else F.coalesce(F.avg(x).over(w), F.lit(fill))}
+
+
+def roi_spec(win: str, price: str, out: str) -> Aggs:
+    """Flat-stake return on investment, 0 without history."""
+    returned = F.when(F.col(win) == 1, F.col(price)).otherwise(0.0)
+
+    def roi(w):
+        bets = F.count(win).over(w)
+        return {out: F.when(bets > 0, (F.sum(returned).over(w) - bets) / bets).otherwise(0.0)}
 
-    return scale.bounded(df, h.keys, h.order, n, build, h.cuts)
+    return roi
 
 
 def rolling_mean(df: DataFrame, h: History, x: str, out: str, n: int = CFG.short_n, fill: float | None = None) -> DataFrame:
     """Mean of x over the last n contests."""
-    def mean(w):
-        m = F.avg(x).over(w)
-        return {out: m if fill is None else F.coalesce(m, F.lit(fill))}
-
-    return _rolling(df, h, n, mean)
+    return rolling(df, h, [(n, mean_spec(x, out, fill))])
 
 
 def rolling_rates(df: DataFrame, h: History, flags: dict[str, str], n: int = CFG.rolling_n, fill: float = 0.0) -> DataFrame:
     """Win or place rates over the last n contests; flags maps output name to 0/1 column."""
-    return _rolling(df, h, n, lambda w: {o: F.coalesce(F.avg(f).over(w), F.lit(fill)) for o, f in flags.items()})
+    return rolling(df, h, [(n, mean_spec(f, o, fill)) for o, f in flags.items()])
 
 
 def rolling_roi(df: DataFrame, h: History, win: str, price: str, out: str, n: int = CFG.rolling_n) -> DataFrame:
-    """Flat-stake return on investment over the last n contests, 0 without history."""
-    returned = F.when(F.col(win) == 1, F.col(price)).otherwise(0.0)
-
-    def roi(w):
-        bets = F.count(win).over(w)
-        return {out: F.when(bets > 0, (F.sum(returned).over(w) - bets) / bets).otherwise(0.0)}
-
-    return _rolling(df, h, n, roi)
+    """Flat-stake return on investment over the last n contests."""
+    return rolling(df, h, [(n, roi_spec(win, price, out))])
 
 
 def prior_expanding(df: DataFrame, h: History, x: str, mean: str, sd: str) -> DataFrame:
@@ -246,15 +262,19 @@ def lag_any(df: DataFrame, h: History, flags: dict[str, str], out: str) -> DataF
     return seen.withColumn(out, F.greatest(*[F.col(o) for o in flags], F.lit(0)))
 
 
-def rating_features(df: DataFrame, h: History, official: str, implied: str, c: str, class_max: str | None = None) -> DataFrame:
-    """Rating used (official when present), its gap to the class maximum and its change."""
+def rating_level(df: DataFrame, official: str, implied: str, c: str, class_max: str | None = None) -> DataFrame:
+    """Rating used (official when present, else implied) and its gap to the class maximum."""
     used = F.when(F.coalesce(F.col(official), F.lit(0)) > 0, F.col(official)).otherwise(F.coalesce(F.col(implied), F.lit(0)))
     rated = df.withColumn("rating_used", used.cast("double"))
     top = F.max("rating_used").over(W.partitionBy(c))
     if class_max is not None:
         top = F.coalesce(F.when(F.col(class_max) > 0, F.col(class_max)), top)
-    rated = rated.withColumn("rating_vs_max", F.col("rating_used") - top)
-    return lag_diff(rated, h, "rating_used", "rating_change")
+    return rated.withColumn("rating_vs_max", F.col("rating_used") - top)
+
+
+def rating_features(df: DataFrame, h: History, official: str, implied: str, c: str, class_max: str | None = None) -> DataFrame:
+    """`rating_level` and the change of the rating since the previous run."""
+    return lag_diff(rating_level(df, official, implied, c, class_max), h, "rating_used", "rating_change")
 
 
 def drawdown(df: DataFrame, by: Sequence[str], order: str, equity: str, cuts: DataFrame | None = None) -> DataFrame:
