@@ -49,7 +49,7 @@ def bind_columns(rows: DataFrame, page: str, header_map: dict[str, Sequence[str]
     """Names the cells by the page's header row, found by its texts.
 
     `header_map` gives for each output the words one of which its header contains. The header is the
-    first row in which two outputs are recognised; only rows below it are kept. Outputs in `first`
+    first row in which two cells are recognised; only rows below it are kept. Outputs in `first`
     take their first matching cell, the others the last one.
     """
     def position(name: str) -> Column:
@@ -62,11 +62,11 @@ def bind_columns(rows: DataFrame, page: str, header_map: dict[str, Sequence[str]
         return F.get(known, F.lit(0)) if name in first else F.try_element_at(known, F.lit(-1))
 
     where = F.struct(*[position(n).alias(n) for n in header_map])
-    found = sum((F.when(where[n].isNotNull(), 1).otherwise(0) for n in header_map), F.lit(0))
+    spots = F.array_distinct(F.filter(F.array(*[where[n] for n in header_map]), lambda i: i.isNotNull()))
     # a header row names two outputs somewhere in its text; only such rows are looked at cell by cell
     named = [reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in header_map[n]]) for n in header_map]
     likely = sum((F.when(x, 1).otherwise(0) for x in named), F.lit(0)) >= 2
-    heads = rows.where(likely).where(found >= 2).groupBy(page).agg(F.min(F.struct("row_no", where.alias("at"))).alias("_head"))
+    heads = rows.where(likely).where(F.size(spots) >= 2).groupBy(page).agg(F.min(F.struct("row_no", where.alias("at"))).alias("_head"))
     body = rows.join(heads, page).where(F.col("row_no") > F.col("_head.row_no"))
     return body.select(
         *[c for c in rows.columns], *[F.when(F.col(f"_head.at.{n}").isNotNull(), F.get("cells", F.col(f"_head.at.{n}"))).alias(n) for n in header_map]
@@ -81,8 +81,8 @@ def payout_tokens(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """
     c = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)\bQUINELLA\s+PLACE\b", "QPL"), r"(?i)\bFIRST\s+4\b", "FIRST4")
     section = F.regexp_extract(c, r"(?is)dividend(.*?)(?:dividend\s+note|$)", 1)
-    pair = r"(?:\s+[^\s]*\d[^\s]*\s+[\d,]+(?:\.\d+)?(?=\s|$))"
     names = "|".join(POOL_PAYS)
+    pair = rf"(?:\s+(?!(?:{names})\s)[^\s]*\d[^\s]*\s+[\d,]+(?:\.\d+)?(?=\s|$))"
     groups = F.regexp_extract_all(F.concat(F.lit(" "), section), F.lit(rf"(?i)(?<=\s)((?:{names}){pair}+)"), 1)
     pools = df.select(*keep, F.posexplode(groups).alias("group_no", "_g"))
     tokens = F.split(F.trim("_g"), r"\s+")
