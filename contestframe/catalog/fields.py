@@ -284,7 +284,7 @@ def f15(spark, sf):
     legs = df.where("finish_rank <= 3").groupBy("contest_id").agg(F.max("finish_rank").alias("_top"))
     listed = F.array(*[F.struct(F.lit(a).alias("leg_a"), F.lit(b).alias("leg_b")) for a, b in ((1, 2), (1, 3), (2, 3))])
     pairs = legs.select("contest_id", F.inline(listed))
-    out = field.price_pairs(pairs, df, "contest_id", "finish_rank", "leg_a", "leg_b", "p", "m", oversized=oversized(spark, sf))
+    out = field.price_pairs(pairs, df, "contest_id", "finish_rank", "leg_a", "leg_b", {"m": "p"}, oversized=oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         r4("m_q").alias("quinella"), r4("m_qp").alias("both_k"), r4("m_qp3").alias("both_top3"),

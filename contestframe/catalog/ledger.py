@@ -245,7 +245,7 @@ select contest_id, cast(leg_a as bigint) as leg_a, cast(leg_b as bigint) as leg_
     "runs",
 )
 def t04(spark, sf):
-    out = topk.top_pairs(base(spark, sf), "contest_id", "finish_rank", "price", 5)
+    out = topk.top_pairs(base(spark, sf), ["contest_id"], "finish_rank", "price", 5)
     return out.select(
         *[big(c).alias(c) for c in ("contest_id", "leg_a", "leg_b", "pair_rank")], r4("pair_score").alias("pair_score")
     )
@@ -673,12 +673,10 @@ select milestone, pool, {MONEY}, count(slip) as slips, {R('avg(slip)')} as mean_
 )
 def k06(spark, sf):
     frame = audit(spark, sf).withColumns({c: F.round(c, 9) for c in ("p", "ev", "place_ev")})
-    settled = policy.settle_audit(frame, views.payouts(spark, sf))
-    slips = policy.slippage_rows(settled).groupBy("milestone", "pool").agg(F.count("slippage").alias("slips"), F.avg("slippage").alias("mean_slip"))
-    out = aggregates.pnl(settled, ["milestone", "pool"]).join(slips, ["milestone", "pool"], "left")
-    return money(out, "milestone", "pool").join(
-        out.select("milestone", "pool", big(F.coalesce("slips", F.lit(0))).alias("slips"), r4("mean_slip").alias("mean_slip")), ["milestone", "pool"]
-    )
+    settled = policy.with_slippage(policy.settle_audit(frame, views.payouts(spark, sf)))
+    slips = [F.count("slippage").alias("slips"), F.avg("slippage").alias("mean_slip")]
+    out = aggregates.pnl(settled, ["milestone", "pool"], extra=slips)
+    return money(out, "milestone", "pool", big("slips").alias("slips"), r4("mean_slip").alias("mean_slip"))
 
 
 @register(

@@ -70,10 +70,10 @@ def _money() -> list[Column]:
     ]
 
 
-def pnl(tickets: DataFrame, keys: Sequence[str], rollup: bool = False) -> DataFrame:
+def pnl(tickets: DataFrame, keys: Sequence[str], rollup: bool = False, extra: Sequence[Column] = ()) -> DataFrame:
     """Bets, money and rates by keys; `rollup` adds the totals (NULL keys)."""
     grouped = tickets.rollup(*keys) if rollup else tickets.groupBy(*keys)
-    return grouped.agg(*_money())
+    return grouped.agg(*_money(), *extra)
 
 
 def price_band(price: str, edges: Sequence[float]) -> Column:

@@ -336,42 +336,57 @@ def place_harville(df: DataFrame, c: str, e: str, p: str, out: str, places: int
     return ranks.withColumn(out, total).drop("_np", "p_rank1", "p_rank2", "p_rank3", "p_top2", "p_top3")
 
 
-def quinella(a: str, b: str) -> Column:
-    """P(two legs finish first and second) from the order sums of legs `a` and `b` (struct columns)."""
-    i, j = F.col(a), F.col(b)
+def quinella(i: Column, j: Column) -> Column:
+    """P(two legs finish first and second) from the order sums of the legs (structs of SUMS)."""
     return i["_t"] * j["_g"] + j["_t"] * i["_g"]
 
 
-def both_top3(a: str, b: str) -> Column:
+def both_top3(i: Column, j: Column) -> Column:
     """P(both legs finish in the first three): the third runner is summed out in closed form."""
-    i, j = F.col(a), F.col(b)
-    s = i["_s"]
-    last = _floor(s - i["_g"] - j["_g"])
+    last = _floor(i["_s"] - i["_g"] - j["_g"])
     return (
-        quinella(a, b)
+        quinella(i, j)
         + i["_t"] * j["_g"] * (i["_u"] - j["_g"] / last)
         + j["_t"] * i["_g"] * (j["_u"] - i["_g"] / last)
-        + i["_g"] * j["_g"] * (i["_v"] - j["_t"] / last)
-        + i["_g"] * j["_g"] * (j["_v"] - i["_t"] / last)
+        + i["_g"] * j["_g"] * (i["_v"] + j["_v"] - (i["_t"] + j["_t"]) / last)
     )
 
 
 SUMS = ["_n", "_p", "_g", "_s", "_t", "_u", "_v"]
 
 
-def price_pairs(pairs: DataFrame, df: DataFrame, c: str, e: str, a: str, b: str, p: str, prefix: str, gamma: float | None = None, oversized: bool | None = None) -> DataFrame:
-    """Adds `<prefix>_q` and `<prefix>_qp` (first two; first k, where k is 3 from seven runners, else 2)
-    to a table of listed pairs with leg columns a and b."""
-    legs = order_sums(df, c, e, p, gamma, oversized=oversized).select(c, e, F.struct(*SUMS).alias("_leg"))
-    first = legs.select(F.col(c).alias("_c1"), F.col(e).alias("_e1"), F.col("_leg").alias("_a"))
-    second = legs.select(F.col(c).alias("_c2"), F.col(e).alias("_e2"), F.col("_leg").alias("_b"))
+def leg_sums(df: DataFrame, c: str, e: str, vectors: dict[str, str], gamma: float | None = None, oversized: bool | None = None) -> DataFrame:
+    """Contest, entrant and one struct of order sums per probability vector (name -> column).
+
+    The vectors are worked off one after the other on the same partitioning, without joins.
+    """
+    oversized = has_oversized(df, c) if oversized is None else oversized
+    out = df
+    for name, p in vectors.items():
+        out = order_sums(out, c, e, p, gamma, oversized=oversized).withColumn(name, F.struct(*SUMS)).drop(*SUMS)
+    return out
+
+
+def price_pairs(
+    pairs: DataFrame, df: DataFrame, c: str, e: str, a: str, b: str, vectors: dict[str, str], gamma: float | None = None, oversized: bool | None = None
+) -> DataFrame:
+    """Prices a table of listed pairs (leg columns a and b) under each probability vector.
+
+    Adds `<name>_q` (first two), `<name>_qp3` (both in the first three) and `<name>_qp` (the pool's
+    rule: first three from seven runners, else first two).
+    """
+    legs = leg_sums(df, c, e, vectors, gamma, oversized)
+    first = legs.select(F.col(c).alias("_c1"), F.col(e).alias("_e1"), *[F.col(n).alias(f"_a_{n}") for n in vectors])
+    second = legs.select(F.col(c).alias("_c2"), F.col(e).alias("_e2"), *[F.col(n).alias(f"_b_{n}") for n in vectors])
     out = pairs.join(first, (F.col(c) == F.col("_c1")) & (F.col(a) == F.col("_e1"))).join(
         second, (F.col(c) == F.col("_c2")) & (F.col(b) == F.col("_e2"))
     )
-    top3 = F.when(F.col("_a")["_n"] >= 7, both_top3("_a", "_b")).otherwise(quinella("_a", "_b"))
-    return out.withColumns(
-        {f"{prefix}_q": quinella("_a", "_b"), f"{prefix}_qp": top3, f"{prefix}_qp3": both_top3("_a", "_b")}
-    ).drop("_c1", "_e1", "_a", "_c2", "_e2", "_b")
+    for n in vectors:
+        i, j = F.col(f"_a_{n}"), F.col(f"_b_{n}")
+        out = out.withColumns(
+            {f"{n}_q": quinella(i, j), f"{n}_qp3": both_top3(i, j), f"{n}_qp": F.when(i["_n"] >= 7, both_top3(i, j)).otherwise(quinella(i, j))}
+        )
+    return out.drop("_c1", "_e1", "_c2", "_e2", *[f"_{s}_{n}" for n in vectors for s in ("a", "b")])
 
 
 def combo_table(pairs: DataFrame, df: DataFrame, c: str, e: str, p: str, oversized: bool | None = None) -> DataFrame:
@@ -379,7 +394,7 @@ def combo_table(pairs: DataFrame, df: DataFrame, c: str, e: str, p: str, oversiz
     place = place_harville(df, c, e, p, "probability", oversized=oversized).select(
         c, F.lit("PLACE").alias("pool"), F.col(e).alias("leg_a"), F.lit(None).cast(df.schema[e].dataType).alias("leg_b"), "probability"
     )
-    priced = price_pairs(pairs, df, c, e, "leg_a", "leg_b", p, "m", 1.0, oversized)
+    priced = price_pairs(pairs, df, c, e, "leg_a", "leg_b", {"m": p}, 1.0, oversized)
     rows = F.array(
         F.struct(F.lit("QUINELLA").alias("pool"), F.col("m_q").alias("probability")),
         F.struct(F.lit("QPL").alias("pool"), F.col("m_qp3").alias("probability")),
@@ -429,29 +444,17 @@ def overlay_pairs(df: DataFrame, c: str, e: str, p: str, price: str, score: str,
         F.coalesce(F.col(score), F.lit(cfg.overlay_score)).alias("_score"),
     )
     oversized = has_oversized(legs, c, cfg) if oversized is None else oversized
-    model = order_sums(legs, c, e, p, oversized=oversized)
-    model = model.select(c, e, "_imp", "_price", "_score", F.col("_n").alias("_size"), F.struct(*SUMS).alias("_m"))
-    market = order_sums(legs.select(c, e, "_imp"), c, e, "_imp", oversized=oversized).select(c, e, F.struct(*SUMS).alias("_k"))
-    both = model.join(market, [c, e])
+    both = leg_sums(legs, c, e, {"_m": p, "_k": "_imp"}, oversized=oversized).withColumn("_size", F.col("_m._n"))
     small, large = split_fields(both, c, e, "_size", ["_price", "_score", "_m", "_k"], oversized, cfg)
 
-    def q(i: Column, j: Column) -> Column:
-        return i["_t"] * j["_g"] + j["_t"] * i["_g"]
-
     def qp(i: Column, j: Column) -> Column:
-        last = _floor(i["_s"] - i["_g"] - j["_g"])
-        third = (
-            i["_t"] * j["_g"] * (i["_u"] - j["_g"] / last)
-            + j["_t"] * i["_g"] * (j["_u"] - i["_g"] / last)
-            + i["_g"] * j["_g"] * (i["_v"] + j["_v"] - (i["_t"] + j["_t"]) / last)
-        )
-        return q(i, j) + F.when(F.col("_size") >= 7, third).otherwise(0.0)
+        return F.when(F.col("_size") >= 7, both_top3(i, j)).otherwise(quinella(i, j))
 
     def against(model_p: Column, market_p: Column) -> Column:
         return F.when(market_p > TINY, model_p / market_p - 1).otherwise(0.0)
 
     def scored(x: Column) -> Column:
-        q_edge = against(q(F.col("_m"), x["_m"]), q(F.col("_k"), x["_k"]))
+        q_edge = against(quinella(F.col("_m"), x["_m"]), quinella(F.col("_k"), x["_k"]))
         qp_edge = against(qp(F.col("_m"), x["_m"]), qp(F.col("_k"), x["_k"]))
         return F.struct(
             F.greatest(q_edge, qp_edge).alias("best_edge"), x[e].alias("leg_b"),
@@ -480,8 +483,7 @@ def core_intent(df: DataFrame, c: str, e: str, p: str, price: str, intent: str,
     core = sized.where(F.col(price).between(cfg.kelly_lo, cfg.kelly_hi)).select(c, F.col(e).alias("leg_a"), F.col(price).alias("core_price"))
     pairs = core.join(intended, c).where("leg_a <> leg_b")
     field = normalise(normalise(sized.withColumn("_imp", 1 / F.col(price)), c, p, "_pm"), c, "_imp", "_pk")
-    priced = price_pairs(pairs, field, c, e, "leg_a", "leg_b", "_pm", "model", 1.0, oversized)
-    priced = price_pairs(priced, field, c, e, "leg_a", "leg_b", "_pk", "market", 1.0, oversized)
+    priced = price_pairs(pairs, field, c, e, "leg_a", "leg_b", {"model": "_pm", "market": "_pk"}, 1.0, oversized)
     edge = F.col("model_qp3") / F.col("market_qp3") - 1
     return priced.where(F.col("market_qp3") > 0).select(
         c, "leg_a", "leg_b", "core_price", "intent_score", F.col("model_qp3").alias("qp_model"),

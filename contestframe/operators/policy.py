@@ -160,33 +160,32 @@ def settle_audit(audit: DataFrame, payouts: DataFrame, cfg: Config = CFG) -> Dat
     """Settled tickets of the four pools for every (contest, milestone).
 
     WIN and PLACE tickets are the eligible rows; QUINELLA and QPL box the best pairs of them, by
-    summed probability and by summed place EV.
+    summed probability and by summed place EV. Both sides are listed in one pass over the audit.
     """
     frame = ["contest_id", "milestone"]
-    win, place = audit.where(eligible("WIN", cfg)), audit.where(eligible("PLACE", cfg))
-    spot = F.concat_ws("|", *frame)
-
-    def single(rows: DataFrame, pool: str, price: str) -> DataFrame:
-        return rows.select(*frame, F.lit(pool).alias("pool"), F.col("number").cast("string").alias("combo"), F.col(price).alias("odds_exec"))
-
-    def box(rows: DataFrame, pool: str, score: str) -> DataFrame:
-        best = topk.top_pairs(rows.withColumn("_spot", spot), "_spot", "number", score, cfg.max_pairs)
-        key = best.select(
-            F.substring_index("_spot", "|", 1).cast("bigint").alias("contest_id"), F.substring_index("_spot", "|", -1).alias("milestone"),
-            F.lit(pool).alias("pool"), C.pair_key("leg_a", "leg_b").alias("combo"), F.lit(None).cast("double").alias("odds_exec"),
-        )
-        return key
-
-    tickets = topk.union_all(
-        single(win, "WIN", "price"), single(place, "PLACE", "place_price"), box(win, "QUINELLA", "p"), box(place, "QPL", "place_ev")
+    sides = F.array(
+        F.struct(F.lit("WIN").alias("pool"), F.col("price").alias("odds_exec"), F.col("p").alias("rank_by"), eligible("WIN", cfg).alias("ok")),
+        F.struct(F.lit("PLACE").alias("pool"), F.col("place_price").alias("odds_exec"), F.col("place_ev").alias("rank_by"), eligible("PLACE", cfg).alias("ok")),
     )
-    return joins.settle(tickets.withColumn("stake", F.lit(cfg.stake)), payouts)
+    listed = audit.select(*frame, "number", F.inline(F.filter(sides, lambda s: s["ok"])))
+    single = listed.select(*frame, "pool", F.col("number").cast("string").alias("combo"), "odds_exec")
+    boxed = topk.top_pairs(listed, [*frame, "pool"], "number", "rank_by", cfg.max_pairs)
+    double = boxed.select(
+        *frame, F.when(F.col("pool") == "WIN", "QUINELLA").otherwise("QPL").alias("pool"), C.pair_key("leg_a", "leg_b").alias("combo"),
+        F.lit(None).cast("double").alias("odds_exec"),
+    )
+    return joins.settle(topk.union_all(single, double).withColumn("stake", F.lit(cfg.stake)), payouts)
 
 
 def slippage_rows(settled: DataFrame) -> DataFrame:
     """Executed against official price of the settled winners."""
     paid = settled.where(F.col("payout").isNotNull() & F.col("odds_exec").isNotNull())
-    return paid.withColumn("official", F.col("payout") / 10).withColumn("slippage", F.col("odds_exec") - F.col("official"))
+    return with_slippage(paid)
+
+
+def with_slippage(settled: DataFrame) -> DataFrame:
+    """Adds official price and slippage, NULL for tickets that did not pay or have no own price."""
+    return settled.withColumn("official", F.col("payout") / 10).withColumn("slippage", F.col("odds_exec") - F.col("official"))
 
 
 def daily_card(scored: DataFrame, c: str, cfg: Config = CFG) -> DataFrame:
@@ -232,8 +231,7 @@ def scan_overlays(scored: DataFrame, c: str, e: str, p: str, price: str, ev: str
     core = core.withColumn("kelly", C.kelly_single(p, price, C.decay(price)))
     pairs, _ = core_satellite(scored, c, e, p, price, ev, intent, oversized=oversized, cfg=cfg)
     both = scored.select(c, e, p, (1 / F.col(price)).alias("_q"))
-    priced = field.price_pairs(pairs, both.drop("_q"), c, e, "banker", "satellite", p, "model", 1.0, oversized)
-    priced = field.price_pairs(priced, both.drop(p), c, e, "banker", "satellite", "_q", "market", 1.0, oversized)
+    priced = field.price_pairs(pairs, both, c, e, "banker", "satellite", {"model": p, "market": "_q"}, 1.0, oversized)
     priced = priced.withColumn("edge", F.col("model_qp3") / F.nullif(F.col("market_qp3"), F.lit(0.0)) - 1)
     return topk.top_n(core, ev, top, [c, e]), topk.top_n(priced, "edge", top, [c, "banker", "satellite"])
 

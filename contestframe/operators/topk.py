@@ -26,18 +26,32 @@ def top_n(df: DataFrame, score: str, n: int, ties: Sequence[str] = ()) -> DataFr
     return df.orderBy(F.col(score).desc_nulls_last(), *ties).limit(n)
 
 
-def top_pairs(df: DataFrame, c: str, e: str, score: str, n: int) -> DataFrame:
-    """The n pairs of each contest with the highest summed score.
+def top_pairs(df: DataFrame, by: Sequence[str], e: str, score: str, n: int) -> DataFrame:
+    """The n pairs of each group with the highest summed score.
 
     A pair that uses the entrant ranked r is beaten by the r - 2 pairs of the leader with ranks
-    2 .. r - 1, so only the n + 1 best entrants can be part of the result.
+    2 .. r - 1, so only the n + 1 best entrants can be part of the result. Those few are packed
+    into one array, and the pairs are formed inside it.
     """
-    best = top_k(df, [c], score, n + 1, [e], "_r").select(c, e, score, "_r")
-    left = best.select(c, F.col(e).alias("leg_a"), F.col(score).alias("_sa"), F.col("_r").alias("_ra"))
-    right = best.select(c, F.col(e).alias("leg_b"), F.col(score).alias("_sb"), F.col("_r").alias("_rb"))
-    met = left.join(right, c).where("_ra < _rb").withColumn("pair_score", F.col("_sa") + F.col("_sb"))
-    w = W.partitionBy(c).orderBy(F.col("pair_score").desc(), "_ra", "_rb")
-    return met.withColumn("pair_rank", F.row_number().over(w)).where(F.col("pair_rank") <= n).drop("_sa", "_sb", "_ra", "_rb")
+    best = top_k(df, by, score, n + 1, [e], "_r").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_r", F.col(e).alias("e"), F.col(score).cast("double").alias("s")))).alias("_best")
+    )
+    after = lambda x: F.filter("_best", lambda y: y["_r"] > x["_r"])
+    formed = F.flatten(
+        F.transform(
+            "_best",
+            lambda x: F.transform(
+                after(x),
+                lambda y: F.struct(
+                    (-(x["s"] + y["s"])).alias("_neg"), x["_r"].alias("_ra"), y["_r"].alias("_rb"), x["e"].alias("leg_a"), y["e"].alias("leg_b")
+                ),
+            ),
+        )
+    )
+    kept = best.select(*by, F.posexplode(F.slice(F.array_sort(formed), 1, n)).alias("_p", "_pair"))
+    return kept.select(
+        *by, F.col("_pair.leg_a").alias("leg_a"), F.col("_pair.leg_b").alias("leg_b"), (-F.col("_pair._neg")).alias("pair_score"), (F.col("_p") + 1).alias("pair_rank")
+    )
 
 
 def by_conviction(df: DataFrame, tier: str, ev: str, *ties: str) -> DataFrame:

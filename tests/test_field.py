@@ -70,7 +70,7 @@ def test_harville_invariants(spark):
     place = by(field.place_harville(df, "c", "e", "p", "pl"), "pl")
     assert abs(sum(place.values()) - 3) < 1e-9
     pairs = spark.createDataFrame([(0, a, b) for a in range(5) for b in range(a + 1, 5)], "c int, a int, b int")
-    priced = field.price_pairs(pairs, df, "c", "e", "a", "b", "p", "m", 1.0).collect()
+    priced = field.price_pairs(pairs, df, "c", "e", "a", "b", {"m": "p"}, 1.0).collect()
     assert abs(sum(r["m_qp3"] for r in priced) - 3) < 1e-9
     assert abs(sum(r["m_q"] for r in priced) - 1) < 1e-9
 

@@ -165,7 +165,7 @@ def test_top_pairs_needs_only_the_best(spark, sf):
     from contestframe.operators import topk
 
     df = views.runs(spark, sf)
-    got = {(r["contest_id"], r["pair_rank"]): r["pair_score"] for r in topk.top_pairs(df, "contest_id", "finish_rank", "price", 5).collect()}
+    got = {(r["contest_id"], r["pair_rank"]): r["pair_score"] for r in topk.top_pairs(df, ["contest_id"], "finish_rank", "price", 5).collect()}
     legs: dict = {}
     for r in df.select("contest_id", "price").collect():
         legs.setdefault(r[0], []).append(r[1])
