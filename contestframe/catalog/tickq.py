@@ -219,14 +219,85 @@ def scored(spark, sf):
     return score_card(df, profiles(spark, sf), at(DEC), at("2024-01-20 00:05:00"), flow_window=2 * 86400, recent_window=5 * 86400)
 
 
-@register("f27_score_card")
+# The card in SQL: the same steps as the plan, with brute-force order statistics.
+SCORED = f"""tk as (select *, 1 + (price - 1) / (3 + entrant_id % 3) as place_price from ticks where ts <= timestamp '{DEC}'),
+sm as (select contest_id, entrant_id, arg_max(price, ts) as price, arg_max(place_price, ts) as place_price,
+    coalesce(arg_max(price, ts) filter (where ts <= timestamp '{DEC}' - interval 2 day), arg_min(price, ts)) as base_price,
+    coalesce(arg_max(place_price, ts) filter (where ts <= timestamp '{DEC}' - interval 2 day), arg_min(place_price, ts)) as base_place,
+    coalesce(arg_min(price, ts) filter (where ts >= timestamp '{DEC}' - interval 5 day), arg_min(price, ts)) as recent_price from tk group by 1, 2),
+oa as (select contest_id, min(ts) as open_at from tk where price > 1.01 group by 1),
+op as (select tk.contest_id, entrant_id, arg_min(price, ts) as open_price from tk join oa on tk.contest_id = oa.contest_id and ts >= open_at group by 1, 2),
+pf as (select entrant_id, 1/price as last_p, case when draw <= 1 then 'Leader' when draw <= 3 then 'Presser' else 'Closer' end as style, draw,
+    case when track like '1%' then 'HV' else 'ST' end as venue from (select *, row_number() over (partition by entrant_id order by contest_ord desc, finish_rank desc) as rn from runs) where rn = 1),
+c0 as (select sm.*, open_price, last_p, style, draw, venue, case when style is null then 1.0 else 1.1 end as mult,
+    max(case when sm.price > 1.01 then 1 else 0 end) over (partition by sm.contest_id) = 1 as live
+  from sm left join op using (contest_id, entrant_id) left join pf on pf.entrant_id = sm.entrant_id),
+c1 as (select *, avg(case when live and last_p is not null then 1.0 else 0 end) over (partition by contest_id) as known from c0),
+c2 as (select *, case when known >= 0.5 and live then power(last_p, 1 / 1.75) end as pz, sum(case when style = 'Leader' then 1 else 0 end) over (partition by contest_id) as leaders from c1),
+c3 as (select *, pz / sum(pz) over (partition by contest_id) as prior, mult * coalesce(case when leaders >= 3 then case style when 'Leader' then -0.15 when 'Closer' then 0.1 end
+    when leaders = 1 then case style when 'Leader' then 0.2 end
+    when leaders = 0 and venue = 'HV' then case when style = 'Presser' and draw between 1 and 4 then 0.1 when style = 'Closer' and draw >= 8 then -0.15 end end, 0) as shift from c2),
+c4 as (select *, 1 / (1 + exp(-(ln(least(prior, 1 - 1e-12) / (1 - least(prior, 1 - 1e-12))) + shift))) as moved,
+    max(case when prior is not null and shift <> 0 then 1 else 0 end) over (partition by contest_id) as any_shift from c3),
+c5 as (select *, case when any_shift = 1 then moved / sum(moved) over (partition by contest_id) else prior end as model,
+    1/price - 1/open_price as d1, 1/price - 1/recent_price as d2 from c4),
+c6 as (select *, case when d1 is null then 50 else least(greatest(50 + 200 * (d1 - avg(d1) over (partition by contest_id)), 0), 100) end as s1,
+    case when d2 is null then 50 else least(greatest(50 + 200 * (d2 - avg(d2) over (partition by contest_id)), 0), 100) end as s2 from c5),
+ql as (select contest_id, list(1/price) as ql, case when sum(power(1/price, 2)) <= 1 and sum(power(1/price, 0.01)) >= 1 then 1 else 0 end as ok from c6 group by 1),
+qb as (select contest_id, ok, list_reduce(list_prepend(struct_pack(lo := 0.01::double, hi := 2.0::double),
+        list_transform(range(60), lambda i: struct_pack(lo := i::double, hi := 0.0::double))),
+        lambda a, x: case when list_sum(list_transform(ql, lambda v: power(v, (a.lo + a.hi) / 2))) > 1
+          then struct_pack(lo := (a.lo + a.hi) / 2, hi := a.hi) else struct_pack(lo := a.lo, hi := (a.lo + a.hi) / 2) end) as r from ql),
+c7 as (select c6.*, case when abs(s2 - 50) > abs(s1 - 50) then s2 else s1 end as score, 0.85 - 0.6 / (1 + exp(-0.02 * (300 - 360))) as w,
+    case when ok = 0 then (1/price) / sum(1/price) over (partition by c6.contest_id) else power(1/price, (r.lo + r.hi) / 2) end as market,
+    (price - base_price) / base_price as vel, ln((price - 1) / (base_price - 1)) <= ln(0.85) and price / place_price < base_price / base_place as steam
+  from c6 join qb on qb.contest_id = c6.contest_id),
+c8 as (select *, case when model is not null then (1 - w) * ln(model / (1 - model)) + w * ln(market / (1 - market)) else ln(market / (1 - market)) end
+    + case when steam then 0.1 + 0.25 * least(abs(vel) / 0.15, 1) else 0 end as z from c7),
+c9 as (select *, exp(z) / sum(exp(z)) over (partition by contest_id) as p, count(*) over (partition by contest_id) as n from c8),
+cg as (select *, power(p, 0.75 + least(greatest((n - 4) / 10.0, 0), 1) * 0.13) as g from c9),
+w as (select *, sum(g) over (partition by contest_id) as s from cg),
+r2 as (select b.contest_id, b.entrant_id, sum(a.p / (a.s - a.g) * b.g) as r2 from w a join w b on a.contest_id = b.contest_id and a.entrant_id <> b.entrant_id group by 1, 2),
+r3 as (select d.contest_id, d.entrant_id, sum(a.p / (a.s - a.g) * b.g / (a.s - a.g - b.g) * d.g) as r3 from w a join w b on a.contest_id = b.contest_id and a.entrant_id <> b.entrant_id
+  join w d on a.contest_id = d.contest_id and d.entrant_id not in (a.entrant_id, b.entrant_id) group by 1, 2),
+r4 as (select x.contest_id, x.entrant_id, sum(a.p / (a.s-a.g) * b.g / (a.s-a.g-b.g) * d.g / (a.s-a.g-b.g-d.g) * x.g) as r4
+  from w a join w b on a.contest_id = b.contest_id and a.entrant_id <> b.entrant_id
+  join w d on a.contest_id = d.contest_id and d.entrant_id not in (a.entrant_id, b.entrant_id)
+  join w x on a.contest_id = x.contest_id and x.entrant_id not in (a.entrant_id, b.entrant_id, d.entrant_id) group by 1, 2),
+d0 as (select w.*, r4, case when n >= 7 then p + r2 + r3 when n >= 4 then p + r2 end as place_prob, p * price * least(power(4.0/price, 1.25), 1) - 1 as ev
+  from w left join r2 using (contest_id, entrant_id) left join r3 using (contest_id, entrant_id) left join r4 using (contest_id, entrant_id)),
+d1 as (select *, place_prob * place_price as place_ev, p >= 0.16 and ev >= 0.15 and price between 2.2 and 14 and score >= 50 as pw from d0),
+d2 as (select *, coalesce(((place_price between 1.8 and 4 and place_ev >= 1.15) or (place_price > 4 and place_ev >= 1.3)) and score >= 50, false) as pp from d1),
+scored as (select *, case when not pw and pp and ev + 1 >= 1.25 and price > 14 then 'EXOTIC' when pw and pp then 'DUAL VALUE' when pw then 'PRIME W' when pp then 'PRIME P' else 'PASS' end as verdict,
+  case when score >= 75 then 'STEAMER' when score < 40 then 'DRIFTER' else 'STABLE' end as flow, case when price > 1 then least(greatest(ev / (price - 1) * 0.15, 0), 0.02) else 0 end as kelly from d2)"""
+
+
+@register(
+    "f27_score_card",
+    f"""with {SCORED} select contest_id, entrant_id, 'PRE_POST' as state, case when leaders >= 3 then 'MELTDOWN' when leaders = 1 then 'LONE' when leaders = 0 then 'SLOW' else 'NORMAL' end as pace,
+  flow, verdict, {R('price')} as price, {R('market')} as market, {R('model')} as model, {R('p')} as p, {R('ev')} as ev, {R('score')} as score, {R('place_prob')} as place_prob,
+  {R('place_ev')} as place_ev, {R('kelly')} as kelly, {R('w')} as w_fuse, {R('r4')} as p_rank4 from scored""",
+    "runs ticks",
+)
 def f27(spark, sf):
     out = scored(spark, sf)
     nums = ["price", "market", "model", "p", "ev", "score", "place_prob", "place_ev", "kelly", "w_fuse", "p_rank4"]
     return ids(out, "state", "pace", "flow", "verdict", *[r4(c).alias(c) for c in nums])
 
 
-@register("a19_meeting_overview")
+@register(
+    "a19_meeting_overview",
+    f"""with {SCORED}, o as (select contest_id, count(*) as n_valid, sum(case when score >= 75 then 1 else 0 end) as steam, sum(case when verdict <> 'PASS' then 1 else 0 end) as primes,
+    (sum(1/price) - 1) * 100 as overround, max(greatest(ev + 1, coalesce(place_ev, 0))) as best from scored group by 1),
+b as (select contest_id, arg_max(pool, v) as pool, arg_max(entrant_id, v) as who from (select contest_id, entrant_id, ev + 1 as v, 'W' as pool from scored
+  union all select contest_id, entrant_id, place_ev, 'P' from scored where place_ev is not null) group by 1),
+t as (select contest_id, string_agg(cast(entrant_id as varchar), ', ' order by p desc) as top4 from (select *, row_number() over (partition by contest_id order by p desc) as k from scored) where k <= 4 group by 1)
+select contest_id, n_valid, 0::bigint as n_pre, cast(steam as bigint) as steam, cast(primes as bigint) as primes, {R('overround')} as overround,
+  {R('case when n_valid >= 8 and overround >= 15 then best end')} as best_value, case when n_valid >= 8 and overround >= 15 then pool end as best_pool,
+  case when n_valid >= 8 and overround >= 15 then cast(who as varchar) end as best_entrant, top4, cast(case when n_valid >= 8 and overround >= 15 then 0 else 1 end as bigint) as thin
+from o join b using (contest_id) join t using (contest_id)""",
+    "runs ticks",
+)
 def a19(spark, sf):
     out = aggregates.meeting_overview(scored(spark, sf).withColumn("label", F.col("entrant_id").cast("string")), "contest_id", "label")
     return out.select(
@@ -235,19 +306,39 @@ def a19(spark, sf):
     )
 
 
-@register("a20_field_kpis")
+@register(
+    "a20_field_kpis",
+    f"""with {SCORED} select contest_id, count(*) as active, 0::bigint as pre_open, cast(count_if(score >= 75) as bigint) as steamers, cast(count_if(score < 40) as bigint) as drifters,
+  {R('max(ev)')} as top_ev from scored group by 1""",
+    "runs ticks",
+)
 def a20(spark, sf):
     out = aggregates.field_kpis(scored(spark, sf), "contest_id")
     return out.select(big("contest_id").alias("contest_id"), *[big(c).alias(c) for c in ("active", "pre_open", "steamers", "drifters")], r4("top_ev").alias("top_ev"))
 
 
-@register("k08_daily_card")
+@register(
+    "k08_daily_card",
+    f"""with {SCORED}, m as (select contest_id from scored group by 1 having count(*) >= 8 and (sum(1/price) - 1) * 100 >= 15),
+pl as (select s.*, case verdict when 'DUAL VALUE' then 'WP' when 'EXOTIC' then 'EX' when 'PRIME W' then 'W' when 'PRIME P' then 'P' end as play from scored s join m using (contest_id) where verdict <> 'PASS'),
+ch as (select *, case when play in ('W', 'WP') then p * 100 else place_prob * 100 end as chance from pl)
+select contest_id, entrant_id, play, case when score >= 70 or steam or chance >= case when play in ('W', 'WP') then 20 else 40 end then 'HIGH' else 'MED' end as tier, {R('chance')} as chance,
+  {R("case when play in ('W', 'WP') then case when p * 4 >= 1.15 then 1.15 / p else power(1.15 / (p * power(4.0, 1.25)), -4.0) end end")} as buy_win,
+  {R("case when play in ('P', 'WP', 'EX') then case when place_price > 4 then 1.3 else 1.15 end / place_prob end")} as buy_place from ch""",
+    "runs ticks",
+)
 def k08(spark, sf):
     out = policy.daily_card(scored(spark, sf), "contest_id")
-    return ids(out, "play", "tier", "why", *[r4(c).alias(c) for c in ("chance", "buy_win", "buy_place")])
+    return ids(out, "play", "tier", *[r4(c).alias(c) for c in ("chance", "buy_win", "buy_place")])
 
 
-@register("k10_k11_formation_report")
+@register(
+    "k10_k11_formation_report",
+    f"""with {SCORED}, t as (select *, row_number() over (partition by contest_id order by p desc, entrant_id) as position from scored)
+select contest_id, entrant_id, flow || ' (#' || entrant_id || case when draw is not null then ' [D' || draw || ']' else '' end || ')' as label, position, verdict,
+  {R('p')} as p, {R('price')} as price, {R('open_price')} as open_price from t where position <= 3""",
+    "runs ticks",
+)
 def k10(spark, sf):
     live = scored(spark, sf)
     opening = live.select("contest_id", "entrant_id", "open_price")
