@@ -748,3 +748,18 @@ def k12(spark, sf):
     df = card(spark, sf).withColumn("ev", C.ev(F.col("p") * 1.5, "price"))
     newest = df.where("ev > 0").agg(F.max("contest_id")).scalar()
     return keyed(policy.value_bets(df, "contest_id", newest, "ev", 5, ["finish_rank"]), r4("ev").alias("ev"))
+
+
+@register(
+    "t01_t05_t06_orders",
+    f"""with {KELLY} select contest_id, finish_rank, {R('evr')} as ev_ratio, row_number() over (order by case when fraction > 0.01 then 0 else 1 end, round(evr, 9) desc, contest_id, finish_rank) as place
+from kelly order by place limit 50""",
+    "runs",
+)
+def t05(spark, sf):
+    """The 50 first plays in conviction order: tier, then expected value, NULLs last."""
+    df = kelly(spark, sf).withColumns({"tier": F.when(F.col("fraction") > 0.01, "HIGH").otherwise("MED"), "ev_ratio": F.round("ev_ratio", 9)})
+    first = topk.by_conviction(df, "tier", "ev_ratio", "contest_id", "finish_rank").limit(50)
+    w = topk.W.orderBy(F.when(F.col("tier") == "HIGH", 0).otherwise(1), F.col("ev_ratio").desc(), "contest_id", "finish_rank")
+    out = topk.chronological(first.withColumn("place", F.row_number().over(w)), "place")
+    return keyed(topk.nulls_last(out, "ev_ratio", "place"), r4("ev_ratio").alias("ev_ratio"), big("place").alias("place"))

@@ -303,3 +303,127 @@ def h15(spark, sf):
     df = base(spark, sf).withColumns({"o": F.col("contest_ord") * 100 + F.col("finish_rank"), "remark": remark})
     out = pages.form_remarks(df, "entrant_id", "o", "remark").join(pages.energy(df, "entrant_id", "o", "remark"), "entrant_id")
     return out.select(big("entrant_id").alias("entrant_id"), "remarks", big("energy").alias("energy"))
+
+
+def _cells(*texts):
+    """One table row of the given cell texts."""
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), t, F.lit("</td>")) for t in texts], F.lit("</tr>"))
+
+
+def _text(c: str):
+    return F.col(c).cast("string")
+
+
+def _pages(df, key: str, head: str, row, title=""):
+    """One page per key: title, header row and the rows in sorted order."""
+    body = F.array_join(F.array_sort(F.collect_list(row)), "")
+    rows = df.groupBy(key).agg(body.alias("body"))
+    return rows.select(key, F.concat(F.lit(f"<html>{title}<table><tr>{head}</tr>"), "body", F.lit("</table></html>")).alias("html"))
+
+
+@register(
+    "h06_trackwork_pages",
+    f"""select cast(entrant_id as bigint) as entrant_id, strftime(activity_date, '%Y-%m-%d') as day, 'R' || rider_id as rider, {R('round(time_400 * 2 + 1e-9, 1)')} as time_800,
+  {R('round(time_400 + 1e-9, 1)')} as time_400, case when is_fast then 'Fast Gallop' else 'Swimming' end as work from work_events""",
+    "work_events",
+)
+def h06(spark, sf):
+    """A trackwork page per entrant, written from the work events and read back."""
+    df = views.work_events(spark, sf)
+    times = F.format_string("%.1f %.1f", F.col("time_400") * 2, F.col("time_400"))
+    row = _cells(
+        F.date_format("activity_date", "d MMM yyyy"), F.lit("AWT"), F.when(F.col("is_fast"), "Fast Gallop").otherwise("Swimming"), times,
+        F.concat(F.lit("R"), _text("rider_id")), F.lit("B"),
+    )
+    head = "<th>Date</th><th>Course</th><th>Exercise</th><th>Time</th><th>Rider</th><th>Gear</th>"
+    out = pages.parse_trackwork(_pages(df, "entrant_id", head, row, "<h2>Trackwork</h2>"), "html", "entrant_id")
+    return out.select(
+        big("entrant_id").alias("entrant_id"), F.date_format("activity_date", "yyyy-MM-dd").alias("day"), "rider", r4("time_800").alias("time_800"),
+        r4("time_400").alias("time_400"), F.col("work_type").alias("work"),
+    )
+
+
+@register(
+    "h07_trial_pages",
+    f"""select cast(entrant_id as bigint) as entrant_id, strftime(contest_date, '%Y-%m-%d') as day, cast(finish_rank as bigint) as finish_pos, cast(draw as bigint) as field_size,
+  {R('finish_rank / 2')} as margin, '0:5' || (draw % 10) || '.30' as time from runs""",
+    "runs",
+)
+def h07(spark, sf):
+    clock = F.concat(F.lit("0:5"), (F.col("draw") % 10).cast("string"), F.lit(".30"))
+    row = _cells(
+        F.date_format("contest_date", "d MMM yyyy"), F.lit("Turf"), _text("finish_rank"), _text("draw"), clock,
+        F.concat(F.format_string("%.1f", F.col("finish_rank") / 2), F.lit("L")), F.lit("A Rider"),
+    )
+    made = _pages(base(spark, sf), "entrant_id", "<th>Barrier trial</th>", row)
+    out = pages.parse_trials(made, "html", "entrant_id")
+    return out.select(
+        big("entrant_id").alias("entrant_id"), F.date_format("trial_date", "yyyy-MM-dd").alias("day"), big("finish_pos").alias("finish_pos"),
+        big("field_size").alias("field_size"), r4("margin").alias("margin"), "time",
+    )
+
+
+@register(
+    "h10_card_pages",
+    f"""select contest_id, 'K' || lpad(cast(entrant_id % 1000 as varchar), 3, '0') as entrant_code, cast(40 + draw as bigint) as rating,
+  case when draw % 2 = 0 then 'TT' end as gear, cast(case when draw % 3 = 0 then 5 else 0 end as bigint) as allowance, 60::bigint as band_max from runs""",
+    "runs",
+)
+def h10(spark, sf):
+    code = F.concat(F.lit("K"), F.lpad((F.col("entrant_id") % 1000).cast("string"), 3, "0"))
+    rider = F.when(F.col("draw") % 3 == 0, "A Rider (-5)").otherwise("A Rider")
+    row = _cells(_text("finish_rank"), F.lit("Runner"), code, rider, (40 + F.col("draw")).cast("string"), F.when(F.col("draw") % 2 == 0, "TT").otherwise(""))
+    head = "<th>No</th><th>Horse</th><th>Brand No</th><th>Jockey</th><th>Rtg.</th><th>Gear</th>"
+    out = pages.parse_card_html(_pages(base(spark, sf), "contest_id", head, row, "<p>Class 4 (60-40)</p>"), "html", "contest_id")
+    return out.select(
+        big("contest_id").alias("contest_id"), "entrant_code", big("rating").alias("rating"), "gear", big("allowance").alias("allowance"), big("band_max").alias("band_max")
+    )
+
+
+@register(
+    "h11_odds_pages",
+    f"""select contest_id, cast(finish_rank as bigint) as number, 'RUNNER ' || entrant_id as name, {R('case when draw <> 3 then round(price + 1e-9, 1) end')} as win_price,
+  {R('round(1 + (price - 1) / 4 + 1e-9, 2)')} as place_price from runs where draw <> 5 and contest_id % 7 <> 0""",
+    "runs",
+)
+def h11(spark, sf):
+    """Odds pages: draw 3 shows 999, draw 5 is scratched, every seventh page shows another contest."""
+    name = F.concat(F.lit("Runner "), _text("entrant_id"), F.when(F.col("draw") == 5, " Scratched").otherwise(" (AUS)"))
+    win = F.when(F.col("draw") == 3, "999").otherwise(F.format_string("%.1f", F.col("price")))
+    row = _cells(_text("finish_rank"), name, _text("draw"), win, F.format_string("%.2f", F.round(1 + (F.col("price") - 1) / 4 + 1e-9, 2)))
+    made = _pages(base(spark, sf), "contest_id", "<th>No.</th><th>Horse</th><th>Draw</th><th>Win</th><th>Place</th>", row)
+    shown = F.when(F.col("contest_id") % 7 == 0, F.col("contest_id") + 1).otherwise(F.col("contest_id")).cast("string")
+    made = made.withColumn("html", F.concat(F.lit("<h2>Race "), shown, F.lit("</h2>"), "html"))
+    out = pages.parse_odds(made, "html", "contest_id", F.col("contest_id").cast("int"))
+    return out.select(big("contest_id").alias("contest_id"), big("number").alias("number"), "name", r4("win_price").alias("win_price"), r4("place_price").alias("place_price"))
+
+
+@register(
+    "h13_draw_stat_pages",
+    f"""select track, cast(draw as bigint) as draw, {R('round(avg(win) * 100 + 1e-9, 1)')} as win_pct, {R('round(avg(case when finish_rank <= 3 then 1 else 0 end) * 100 + 1e-9, 1)')} as place_pct from runs group by 1, 2""",
+    "runs",
+)
+def h13(spark, sf):
+    stats = base(spark, sf).groupBy("track", "draw").agg((F.avg("win") * 100).alias("w"), (F.avg(C.is_place("finish_rank")) * 100).alias("p"))
+    row = _cells(_text("draw"), F.format_string("%.1f%%", F.round(F.col("w") + 1e-9, 1)), F.format_string("%.1f%%", F.round(F.col("p") + 1e-9, 1)))
+    out = pages.parse_draw_stats(_pages(stats, "track", "<th>Draw</th><th>Win %</th><th>Place %</th>", row), "html", "track")
+    return out.select("track", big("draw").alias("draw"), r4("win_pct").alias("win_pct"), r4("place_pct").alias("place_pct"))
+
+
+@register(
+    "h14_schedule_json",
+    """select strftime(cast(o_orderdate as date), '%Y-%m-%d') as day, case when o_orderpriority like '1%' then 'HV' else 'ST' end as venue, cast(o_orderkey as bigint) as race_no,
+  case when o_orderstatus = 'F' then 'CLOSED' else 'OPEN' end as status, strftime(cast(o_orderdate as date), '%Y-%m-%d') || ' 11:10' as post from orders""",
+)
+def h14(spark, sf):
+    day = F.to_date("o_orderdate")
+    race = F.struct(
+        _text("o_orderkey").alias("no"), F.date_format(day, "yyyy-MM-dd'T'11:10:00'Z'").alias("postTime"), F.when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("OPEN").alias("status")
+    )
+    venue = F.when(F.col("o_orderpriority").startswith("1"), "HV").otherwise("ST")
+    meetings = views.table(spark, sf, "orders").groupBy(F.date_format(day, "yyyyMMdd").alias("date"), venue.alias("venueCode")).agg(F.collect_list(race).alias("races"))
+    body = meetings.select(F.to_json(F.struct(F.array(F.struct("date", "venueCode", "races")).alias("meetings"))).alias("body"))
+    out = pages.parse_schedule(body, "body")
+    return out.select(
+        F.date_format("contest_date", "yyyy-MM-dd").alias("day"), "venue", big("race_no").alias("race_no"), "status", F.date_format("post_at", "yyyy-MM-dd HH:mm").alias("post")
+    )

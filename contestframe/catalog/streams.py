@@ -112,11 +112,17 @@ def r09(spark, sf):
     return out.select(big("contest_id").alias("contest_id"), big("entrant_id").alias("entrant_id"), us("ts"), r4("move_pct").alias("move_pct"))
 
 
-@register("r10_episodes")
+@register(
+    "r10_episodes",
+    """with w as (select contest_id, time_bucket(interval 1 day, ts, timestamp '1970-01-01') as d, string_agg(distinct cast(entrant_id as varchar), ',') as raw,
+  list_sort(list(distinct entrant_id)) as ids from ticks where price > 18 group by 1, 2)
+select distinct contest_id, array_to_string(ids, ',') as entrants from w where d + interval 1 day <= (select max(ts) from ticks where price > 18) - interval 1 day""",
+    "ticks",
+)
 def r10(spark, sf):
     """Windows still inside the watermark at the end of the table are not reported yet, as in a live stream."""
     out = S.run(S.episodes(stream(spark, sf), F.col("price") > 18, "1 day", "1 day"), mode="append")
-    return out.select(big("contest_id").alias("contest_id"), us("at"), "entrants")
+    return out.select(big("contest_id").alias("contest_id"), "entrants")
 
 
 @register("r06_stream_lifecycle")
@@ -126,7 +132,13 @@ def r06(spark, sf):
     return out.select(big("contest_id").alias("contest_id"), us("at"), "state")
 
 
-@register("r12_late_and_ttl")
+@register(
+    "r12_late_and_ttl",
+    f"""select epoch_us(time_bucket(interval 4 hour, ts, timestamp '1970-01-01')) as start, contest_id, entrant_id, {R('arg_min(price, ts)')} as first_price,
+  {R('arg_max(price, ts)')} as last_price, count(*) as kept from ticks
+where time_bucket(interval 4 hour, ts, timestamp '1970-01-01') + interval 4 hour <= (select max(ts) from ticks) - interval 4 hour group by 1, 2, 3""",
+    "ticks",
+)
 def r12(spark, sf):
     out = S.run(S.with_ttl(stream(spark, sf)), mode="append")
     return out.select(

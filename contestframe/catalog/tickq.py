@@ -10,7 +10,7 @@ from contestframe.functions import columns as C
 from contestframe.operators import aggregates, field, joins, market, policy
 from contestframe.plans.scorecard import score_card
 from contestframe.scale import probe
-from contestframe.sources import views
+from contestframe.sources import stores, views
 
 BASE, DEC, POST = views.BASELINE_AT, views.DECISION_AT, views.POST_AT
 KEYS = ["contest_id", "entrant_id"]
@@ -107,6 +107,22 @@ def j10(spark, sf):
     return ids(out, *[r4(c).alias(c) for c in ("price", "open_price", "move_pct", "tick_delta")])
 
 
+@register(
+    "s05_label_ticks",
+    f"""with b as (select t.*, h.price as base from (select *, ts - interval 2 day as base_at from ticks) t
+  asof left join ticks h on t.contest_id = h.contest_id and t.entrant_id = h.entrant_id and t.base_at >= h.ts)
+select contest_id, entrant_id, epoch_us(ts) as ts, case when ts <= timestamp '{POST}' - interval 90 second then 'PRE_POST' when ts <= timestamp '{POST}' then 'TURBO_APPROACH' else 'LOADING_DELAY' end as state,
+  {R('(price - base) / base')} as velocity, {R(f"(epoch_us(timestamp '{POST}') - epoch_us(ts)) / 1e6")} as time_to_post from b""",
+    "ticks",
+)
+def s05(spark, sf):
+    df = views.ticks(spark, sf)
+    posts = df.select("contest_id").distinct().withColumn("post_at", at(POST))
+    busy = probe(df.withColumn("_at", F.unix_micros("ts")), KEYS, "_at", counts_from=df.select(*KEYS))
+    out = stores.label_ticks(df, posts, window=2 * 86400, cuts=busy)
+    return ids(out, us("ts"), "state", r4("velocity").alias("velocity"), r4("time_to_post").alias("time_to_post"))
+
+
 @register(
     "w22_r06_lifecycle",
     f"""with l as (select *, lag(price) over (partition by contest_id, entrant_id order by ts) as prev from ticks where ts <= timestamp '{POST}' + interval 1 hour),
@@ -123,7 +139,8 @@ def w22(spark, sf):
     now = F.lit(POST).cast("timestamp") + F.expr("interval 1 hour")
     slow = dataclasses.replace(CFG, frozen=3600.0)
     df = views.ticks(spark, sf).where(F.col("ts") <= now)
-    moved = market.last_move(df, "contest_id", "entrant_id", "ts", "price", now, slow)
+    busy = probe(df.withColumn("_us", F.unix_micros("ts")), KEYS, "_us", counts_from=df.select(*KEYS))
+    moved = market.last_move(df, "contest_id", "entrant_id", "ts", "price", now, slow, busy)
     out = market.lifecycle(moved, at(POST), now, slow)
     return out.select(big("contest_id").alias("contest_id"), us("last_move"), "state")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestframe import scale
 from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
 from contestframe.operators import field, joins, market
@@ -33,7 +34,8 @@ def score_card(
         seen, [c, e], "ts", now, {"flow": flow_window * unit, "recent": recent_window * unit}, ["price", "place_price"]
     )
     opening = market.open_price(seen, c, e, "ts", "price")
-    moved = market.last_move(seen, c, e, "ts", "price", now, cfg)
+    busy = scale.probe(seen.withColumn("_us", F.unix_micros("ts")), [c, e], "_us", counts_from=seen.select(c, e))
+    moved = market.last_move(seen, c, e, "ts", "price", now, cfg, busy)
     before = joins.prev_poll(seen, [c, e], "ts", ["price", "place_price"]).select(
         c, e, F.col("price").alias("prev_price"), F.col("place_price").alias("prev_place")
     )

@@ -125,15 +125,15 @@ def read_ticks(spark: SparkSession, path: str, day: str | None = None, venue: st
     return df if venue is None else df.where(F.col("venue") == venue.upper())
 
 
-def label_ticks(ticks: DataFrame, posts: DataFrame, cfg: Config = CFG) -> DataFrame:
+def label_ticks(ticks: DataFrame, posts: DataFrame, window: int = 90, cuts: DataFrame | None = None, cfg: Config = CFG) -> DataFrame:
     """Adds time_to_post, t_eff, state and the trailing velocity to ticks (contest_id, entrant_id, ts, price).
 
-    The velocity base of a tick is the entrant's newest price at least 90 seconds older, found as of
-    a shifted clock.
+    The velocity base of a tick is the entrant's newest price at least `window` seconds older, found
+    as of a shifted clock; `cuts` splits busy entrants along `_at` (microseconds).
     """
-    late = ticks.withColumn("_base_at", F.timestamp_micros(F.unix_micros("ts") - 90_000_000))
+    late = ticks.withColumn("_base_at", F.timestamp_micros(F.unix_micros("ts") - window * 1_000_000))
     history = ticks.select("contest_id", "entrant_id", F.col("ts").alias("_h_at"), F.col("price").alias("_h_price"))
-    based = joins.asof_join(late, history, ["contest_id", "entrant_id"], "_base_at", "_h_at", ["_h_price"])
+    based = joins.asof_join(late, history, ["contest_id", "entrant_id"], "_base_at", "_h_at", ["_h_price"], cuts)
     df = based.join(posts, "contest_id", "left").withColumn("time_to_post", (F.unix_micros("post_at") - F.unix_micros("ts")) / 1e6)
     base = F.col("asof__h_price")
     return df.withColumns(
