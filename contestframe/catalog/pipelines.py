@@ -19,10 +19,10 @@ def feature_input(spark, sf):
     return df.withColumns(
         {
             "klass": F.lit("Class 3"), "going": F.when(F.col("distance") > 1600, "WET").otherwise("GOOD"), "sec1": F.col("elapsed") / 4,
-            "early_position": F.col("draw"), "gear": F.when(F.col("price") > 20, "B").otherwise("TT"),
+            "early_position": F.col("draw"), "places_gained": F.col("draw") - F.col("finish_rank"), "gear": F.when(F.col("price") > 20, "B").otherwise("TT"),
             "incident": F.when(F.col("draw") >= 5, "raced wide without cover").when(F.col("finish_rank") >= 4, "checked near the turn").otherwise(""),
             "official_rating": F.lit(0), "class_max": F.lit(None).cast("double"), "body_weight": F.col("weight") * 10,
-            "rider_text": F.lit("A Rider"), "apprentice": F.col("rider_id") % 2 == 0, "claim_scraped": F.lit(0),
+            "rider_text": F.lit("A Rider"), "prior_wins": F.when(F.col("rider_id") % 2 == 0, 0), "claim_scraped": F.lit(0),
         }
     )
 

@@ -30,6 +30,11 @@ CLASS_MAX = {"class 1": 105, "class 2": 100, "class 3": 80, "class 4": 60, "clas
 CLAIM_LADDER = [(20, 10), (45, 7), (70, 5), (95, 3)]
 REST_EDGES = [7, 14, 30, 60, 120]
 REST_LABELS = ["Short_Backup", "Quick_Return", "Optimal", "Freshened", "Spell", "Long_Layoff"]
+# Career wins of apprentice riders before the data window
+PRIOR_WINS = {
+    "C L Chau": 5, "M F Poon": 45, "K H Chan": 24, "H T Mo": 40, "Y L Chung": 0,
+    "E C W Wong": 0, "P N Wong": 0, "H N Wong": 28, "C Wong": 30,
+}
 VENUES = {"HV": "HV", "ST": "ST", "HAPPY VALLEY": "HV", "SHA TIN": "ST"}
 
 
@@ -201,6 +206,11 @@ def claim_ladder(wins: Column | str) -> Column:
     return out.otherwise(0)
 
 
+def prior_wins(rider: Column | str) -> Column:
+    """Wins of an apprentice before the data window, NULL for other riders."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIOR_WINS.items() for x in kv]), F.trim(_c(rider)))
+
+
 def resolve_claim(inline: Column, ladder: Column, scraped: Column) -> Column:
     """The first of inline, ladder and scraped claim that is not zero, else 0."""
     zero = F.lit(0)

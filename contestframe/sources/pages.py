@@ -66,8 +66,10 @@ def bind_columns(rows: DataFrame, page: str, header_map: dict[str, Sequence[str]
     # a header row names two outputs somewhere in its text; only such rows are looked at cell by cell
     named = [reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in header_map[n]]) for n in header_map]
     likely = sum((F.when(x, 1).otherwise(0) for x in named), F.lit(0)) >= 2
-    heads = rows.where(likely).where(F.size(spots) >= 2).groupBy(page).agg(F.min(F.struct("row_no", where.alias("at"))).alias("_head"))
-    body = rows.join(heads, page).where(F.col("row_no") > F.col("_head.row_no"))
+    candidate = F.when(likely, F.when(F.size(spots) >= 2, F.struct("row_no", where.alias("at"))))
+    # the rows of one page are one window, so the page text is taken apart once
+    body = rows.withColumn("_cand", candidate).withColumn("_head", F.min("_cand").over(W.partitionBy(page)))
+    body = body.where(F.col("row_no") > F.col("_head.row_no"))
     return body.select(
         *[c for c in rows.columns], *[F.when(F.col(f"_head.at.{n}").isNotNull(), F.get("cells", F.col(f"_head.at.{n}"))).alias(n) for n in header_map]
     )

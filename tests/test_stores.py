@@ -94,3 +94,32 @@ def test_drop_store(spark):
     spark.sql("create or replace temp view keepme as select 1 as x")
     stores.drop_store(spark, "no_such_store")
     assert spark.table("keepme").count() == 1
+
+
+def test_csv_to_features(spark, tmp_path):
+    """From files to the feature frame and back from the feature store."""
+    from contestframe.plans.features import FEATURES, build_features, from_store
+
+    head = HEAD + ",running_position,horse_weight,track_condition,sec1_time"
+    for day in range(1, 6):
+        lines = []
+        for race in (1, 2, 10):
+            for i in range(1, 5):
+                who = (i + day + race) % 6
+                rider = "C L Chau" if i == 2 else f"R {i}"
+                lines.append(
+                    f'Sha Tin,2026/03/0{day},{race},Class 4,1200,"TURF - ""A"" Course",H{who},K{who:03d},{i if i < 4 else "DNF" if race == 2 else 4},{70 + i / 10},{rider},T {i % 2},{115 + i},{i},{2 + i},{5 - i} 2 {i},1100,GOOD,{13 + i / 10}'
+                )
+        write(str(tmp_path / "raw"), f"2026-03-0{day}.csv", head, *lines)
+    clean = stores.clean_runs(stores.read_runs(spark, str(tmp_path / "raw")))
+    assert clean.count() == 5 * (4 + 3 + 4)
+    feats = build_features(from_store(clean), lambda *_: None)
+    stores.write_features(feats, str(tmp_path / "features"), FEATURES)
+    back = spark.read.parquet(str(tmp_path / "features"))
+    assert back.count() == clean.count() and set(back.columns) == set(FEATURES)
+    first = back.where("contest_id = '2026-03-01_Race1'").collect()
+    assert all(r["career_starts"] == 0 and r["entrant_win_rate"] == 0 and r["days_since_last"] == 365 for r in first)
+    assert {r["claim"] for r in back.where("finish_rank = 2 and contest_date = '2026-03-01'").collect()} == {10}
+    race10 = back.where("contest_id = '2026-03-01_Race10'").collect()
+    assert max(r["career_starts"] for r in race10) == 2  # race 10 comes after races 1 and 2
+    assert all(abs(r["speed_figure"]) <= 4.5 for r in back.collect())
