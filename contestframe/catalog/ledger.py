@@ -649,9 +649,13 @@ def audit(spark, sf):
     return df.withColumn("ev", C.ev("p", "price"))
 
 
-@register(
-    "k06_k07_settle_audit",
-    f"""with {AUDIT},
+def settled_tickets(spark, sf):
+    """Settled tickets of the audit frames; scores are rounded so that ties rank alike everywhere."""
+    frame = audit(spark, sf).withColumns({c: F.round(c, 9) for c in ("p", "ev", "place_ev")})
+    return policy.settle_audit(frame, views.payouts(spark, sf))
+
+
+SETTLED = f"""{AUDIT},
 we as (select * from audit where round(ev, 9) >= 0.15 and price between 2.2 and 14 and round(p, 9) >= 0.16 and coalesce(score, 50) >= 50),
 pe as (select * from audit where round(place_ev, 9) >= 1.15 and place_price >= 1.5 and coalesce(score, 50) >= 50),
 wr as (select *, row_number() over (partition by contest_id, milestone order by round(p, 9) desc, number) as r from we),
@@ -667,13 +671,17 @@ t as (select contest_id, milestone, 'WIN' as pool, cast(number as varchar) as co
   union all select contest_id, milestone, 'QUINELLA', combo, null from qp where k <= 5
   union all select contest_id, milestone, 'QPL', combo, null from pp where k <= 5),
 tk as (select t.*, 100.0 as stake, coalesce(payout * 10, 0) as returned, odds_exec - payout / 10 as slip
-  from t left join payouts y on t.contest_id = y.contest_id and t.pool = y.pool and t.combo = y.combo)
+  from t left join payouts y on t.contest_id = y.contest_id and t.pool = y.pool and t.combo = y.combo)"""
+
+
+@register(
+    "k06_k07_settle_audit",
+    f"""with {SETTLED}
 select milestone, pool, {MONEY}, count(slip) as slips, {R('avg(slip)')} as mean_slip from tk group by 1, 2""",
     "runs payouts",
 )
 def k06(spark, sf):
-    frame = audit(spark, sf).withColumns({c: F.round(c, 9) for c in ("p", "ev", "place_ev")})
-    settled = policy.with_slippage(policy.settle_audit(frame, views.payouts(spark, sf)))
+    settled = policy.with_slippage(settled_tickets(spark, sf))
     slips = [F.count("slippage").alias("slips"), F.avg("slippage").alias("mean_slip")]
     out = aggregates.pnl(settled, ["milestone", "pool"], extra=slips)
     return money(out, "milestone", "pool", big("slips").alias("slips"), r4("mean_slip").alias("mean_slip"))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from contestframe.catalog.base import big, r4, register
 from contestframe.catalog.history import R, base, keyed
-from contestframe.catalog.ledger import audit
+from contestframe.catalog.ledger import SETTLED, settled_tickets
 from contestframe.functions import columns as C
-from contestframe.operators import policy, topk
 from contestframe.plans.features import build_features
 from contestframe.sources import pages, stores, views
 
@@ -153,10 +152,18 @@ def s13(spark, sf):
     return keyed(out, *[r4(c).alias(c) for c in ("true_prob", "overround", "market_share")])
 
 
-@register("s15_settlement_json")
+@register(
+    "s15_settlement_json",
+    f"""with {SETTLED} select contest_id, milestone, pool, count(*) as n, {R('sum(stake)')} as staked, {R('sum(returned)')} as returned from tk group by 1, 2, 3""",
+    "runs payouts",
+)
 def s15(spark, sf):
-    settled = policy.settle_audit(audit(spark, sf), views.payouts(spark, sf))
-    return stores.settlement_json(settled).select(big("contest_id").alias("contest_id"), "milestone", "document")
+    """The exported documents, read back into rows."""
+    made = stores.settlement_json(settled_tickets(spark, sf))
+    shape = "struct<contest_id: bigint, milestone: string, pools: array<struct<pool: string, n: bigint, staked: double, returned: double>>>"
+    body = made.select(F.from_json("document", shape).alias("d"))
+    out = body.select("d.contest_id", "d.milestone", F.inline("d.pools"))
+    return out.select("contest_id", "milestone", "pool", "n", r4("staked").alias("staked"), r4("returned").alias("returned"))
 
 
 @register(
