@@ -1,3 +1,81 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_url_filter"] = r"""
+with parts as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+urls as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
+rules(rule_host, rule_path, action) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (
+  select page_id, max(row(length(rule_host || rule_path), length(rule_host), rule_host || rule_path, action)) as best
+  from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id)
+select page_id, host, path, best[3] as rule, coalesce(best[4], 'allow') as verdict
+from urls left join fits using (page_id)
+"""
+
+ORACLES["op9_chat_format"] = r"""
+with chats as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+steps as (
+  select *, lag(role) over (partition by conv_id order by turn, role, text) as earlier,
+    lead(role) over (partition by conv_id order by turn, role, text) as later,
+    length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) as size from chats)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + size + length('<|im_end|>') + 1)::bigint as formatted_chars,
+  bool_and(case when earlier is null then role in ('system', 'user')
+    else (earlier || '>' || role) in ('system>user', 'user>assistant', 'assistant>user') end
+    and (later is not null or role = 'assistant')) as valid
+from steps group by conv_id
+"""
+
+ORACLES["op4_quality_rules"] = r"""
+with docs as (
+  select row_number() over () as n, doc_id, coalesce(text, '') as text, coalesce(source, '') as host from documents),
+words as (
+  select n, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word,
+    generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as place from docs),
+windows as (
+  select n, place, lead(word) over w as second, lead(word, 2) over w as third, word as first from words
+  window w as (partition by n order by place)),
+twice as (
+  select n, place from (select *, count(*) over (partition by n, first, second, third) as found from windows where third is not null)
+  where found > 1),
+repeats as (
+  select n, count(distinct place + k) as n_repeat_words from twice, (values (0), (1), (2)) as t(k) group by n),
+own_lines as (select n, host, unnest(string_split(text, chr(10))) as line from docs),
+line_counts as (
+  select n, count(*) - count(distinct line) as n_dup_lines from own_lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by n),
+normal as (
+  select n, host, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as plain from own_lines),
+hashed as (select n, host, line, md5(plain) as hash from normal where plain <> ''),
+lows as (select n, list_sort(list_distinct(list(hash))) as low from hashed group by n),
+told as (
+  select distinct host, hash, case when hash = low[1] then coalesce(low[2], '') else low[1] end as told_by from hashed join lows using (n)),
+common as (
+  select t.host, hash from told t join (select host, count(*) as docs from docs group by host) d on t.host = d.host
+  group by t.host, hash, docs having count(*) > 10 and count(*) > docs * 0.01),
+removed as (
+  select n, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as gone
+  from hashed join common using (host, hash) group by n),
+counts as (
+  select doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(gone, 0) as gone
+  from docs left join repeats using (n) left join line_counts using (n) left join removed using (n)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and 100 * (n_words - gone) >= 30 * n_words and 100 * n_symbols <= 30 * n_words as kept
+from judged
+"""
