@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestframe.llm import chat, quality, secrets, urls
+from contestframe.llm import chat, chunks, decontam, langid, licenses, quality, secrets, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(docs).select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out))
+    done = langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model)
+    return done.select("doc_id", "held_out", "language.lang_pred", "language.score", F.size("language.spans").cast("bigint").alias("n_spans"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -34,12 +48,33 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    starts = F.transform(base, lambda s: s["start"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["similarity"])), F.lit(0.0)).alias("score"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the longest fitting rule for the url of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents with smaller ids hold too."""
+    found = chunks.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "n_words")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,9 +93,20 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the items they overlap."""
+    found = decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "n_equal", "item_words", F.round(F.col("n_equal") / F.col("n_words"), 4).alias("similarity"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_decontaminate": op10_decontaminate,
 }
