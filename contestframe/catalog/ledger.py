@@ -125,14 +125,17 @@ def j04(spark, sf):
 @register(
     "j11_pairs",
     f"""select a.contest_id, cast(a.finish_rank as bigint) as leg_a, cast(b.finish_rank as bigint) as leg_b,
-  {R('a.price * b.price')} as product from
-  (select *, row_number() over (partition by contest_id order by weight desc, finish_rank) as r from runs) a
-  join (select *, row_number() over (partition by contest_id order by weight desc, finish_rank) as r from runs) b
-  on a.contest_id = b.contest_id and a.finish_rank < b.finish_rank and a.r <= 4 and b.r <= 4""",
-    "runs",
+  {R('a.price * b.price')} as product from runs a join runs b on a.contest_id = b.contest_id and a.finish_rank < b.finish_rank
+  join (select contest_id, cast(split_part(combo, '/', 1) as bigint) as l, cast(split_part(combo, '/', 2) as bigint) as h
+    from payouts where pool in ('QUINELLA', 'QPL') group by all) p on p.contest_id = a.contest_id and p.l = a.finish_rank and p.h = b.finish_rank""",
+    "runs payouts",
 )
 def j11(spark, sf):
-    out = joins.pairs(base(spark, sf), "contest_id", "finish_rank", "weight", 4, ["price"])
+    df = base(spark, sf)
+    leg = F.split("combo", "/")
+    paid = views.payouts(spark, sf, df).where(F.col("pool").isin("QUINELLA", "QPL"))
+    listed = paid.select("contest_id", big(F.get(leg, F.lit(1))).alias("leg_a"), big(F.get(leg, F.lit(0))).alias("leg_b"))
+    out = joins.pairs(df.withColumn("finish_rank", big("finish_rank")), listed, "contest_id", "finish_rank", ["price"])
     return out.select(
         big("contest_id").alias("contest_id"), big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),
         r4(F.col("price_a") * F.col("price_b")).alias("product"),
@@ -141,15 +144,17 @@ def j11(spark, sf):
 
 @register(
     "j12_triples",
-    """with t as (select *, row_number() over (partition by contest_id order by weight desc, finish_rank) as r from runs),
-k as (select contest_id, finish_rank from t where r <= 3)
-select a.contest_id, cast(a.finish_rank as bigint) as first, cast(b.finish_rank as bigint) as second, cast(c.finish_rank as bigint) as third
-from k a join k b on a.contest_id = b.contest_id and a.finish_rank <> b.finish_rank
-join k c on a.contest_id = c.contest_id and c.finish_rank not in (a.finish_rank, b.finish_rank)""",
+    """select a.contest_id, cast(a.finish_rank as bigint) as first, cast(b.finish_rank as bigint) as second, cast(c.finish_rank as bigint) as third
+from runs a join runs b on a.contest_id = b.contest_id and b.finish_rank = a.finish_rank + 1
+join runs c on a.contest_id = c.contest_id and c.finish_rank = a.finish_rank + 2""",
     "runs",
 )
 def j12(spark, sf):
-    out = joins.triples(base(spark, sf), "contest_id", "finish_rank", "weight", 3)
+    """Every run with the two behind it, as a list of combinations that names absent entrants too."""
+    df = base(spark, sf).withColumn("finish_rank", big("finish_rank"))
+    r = F.col("finish_rank")
+    listed = df.select("contest_id", r.alias("first"), (r + 1).alias("second"), (r + 2).alias("third"))
+    out = joins.triples(df, listed, "contest_id", "finish_rank")
     return out.select(*[big(c).alias(c) for c in ("contest_id", "first", "second", "third")])
 
 
@@ -760,14 +765,19 @@ def k12(spark, sf):
 
 @register(
     "t01_t05_t06_orders",
-    f"""with {KELLY} select contest_id, finish_rank, {R('evr')} as ev_ratio, row_number() over (order by case when fraction > 0.01 then 0 else 1 end, round(evr, 9) desc, contest_id, finish_rank) as place
-from kelly order by place limit 50""",
+    f"""with {KELLY}, e as (select contest_id, finish_rank, fraction, case when finish_rank % 5 > 0 then round(evr, 9) end as ev from kelly)
+select contest_id, finish_rank, {R('ev')} as ev_ratio,
+  row_number() over (order by case when fraction > 0.01 then 0 else 1 end, ev desc nulls last, contest_id, finish_rank) as place,
+  row_number() over (order by ev desc nulls last, contest_id, finish_rank) as plain_place,
+  row_number() over (order by contest_id, finish_rank) as time_place from e""",
     "runs",
 )
 def t05(spark, sf):
-    """The 50 first plays in conviction order: tier, then expected value, NULLs last."""
-    df = kelly(spark, sf).withColumns({"tier": F.when(F.col("fraction") > 0.01, "HIGH").otherwise("MED"), "ev_ratio": F.round("ev_ratio", 9)})
-    first = topk.by_conviction(df, "tier", "ev_ratio", "contest_id", "finish_rank").limit(50)
-    w = topk.W.orderBy(F.when(F.col("tier") == "HIGH", 0).otherwise(1), F.col("ev_ratio").desc(), "contest_id", "finish_rank")
-    out = topk.chronological(first.withColumn("place", F.row_number().over(w)), "place")
-    return keyed(topk.nulls_last(out, "ev_ratio", "place"), r4("ev_ratio").alias("ev_ratio"), big("place").alias("place"))
+    """All plays with their place in conviction order, by expected value (some are NULL) and in time."""
+    tier, known = F.when(F.col("fraction") > 0.01, "HIGH").otherwise("MED"), F.when(F.col("finish_rank") % 5 > 0, F.round("ev_ratio", 9))
+    df = kelly(spark, sf).withColumn("tier", tier).withColumn("ev_ratio", known)
+    ties = ("contest_id", "finish_rank")
+    out = topk.placed(df, topk.conviction("tier", "ev_ratio", *ties))
+    out = topk.placed(out, [F.col("ev_ratio").desc_nulls_last(), *[F.col(t).asc() for t in ties]], "plain_place")
+    out = topk.placed(out, [F.col(t).asc() for t in ties], "time_place")
+    return keyed(out, r4("ev_ratio").alias("ev_ratio"), *[big(c).alias(c) for c in ("place", "plain_place", "time_place")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contestframe.catalog.base import big, r4, register
@@ -158,7 +159,7 @@ def p23(spark, sf):
 def p24(spark, sf):
     pace = F.when(F.col("draw") % 2 == 0, "SLOW")
     df = base(spark, sf).withColumn("packed", C.pack_flags({"pace": pace, "draw": F.col("draw")}, {"steam": F.col("win") == 1}))
-    df = df.withColumn("f", C.parse_flags("packed"))
+    df = df.withColumn("f", C.parse_flags("packed"))  # the draw stands first or second, with values equal to its place
     combo = C.combo_key(F.concat(F.col("draw").cast("string"), F.lit(", "), F.col("finish_rank").cast("string")))
     return keyed(
         df, F.try_element_at("f.ctx", F.lit("pace")).alias("pace"), F.try_element_at("f.ctx", F.lit("draw")).cast("bigint").alias("draw_tag"),
@@ -300,16 +301,14 @@ def x03(spark, sf):
 
 @register(
     "x02_group_functions",
-    f"""with r as (select *, row_number() over (partition by entrant_id order by contest_ord desc, finish_rank desc) as rn from runs),
-s as (select entrant_id, list(price order by contest_ord, finish_rank) as xs from r where rn <= 20 group by 1)
+    f"""with s as (select entrant_id, list(price order by contest_ord, finish_rank) as xs from runs group by 1)
 select cast(entrant_id as bigint) as entrant_id, {R('list_reduce(xs, lambda a, x: a * (1 - 2.0/6) + x * 2.0/6)')} as ewm from s""",
     "runs",
 )
 def x02g(spark, sf):
     from contestframe.functions.groups import ewm_agg
-    from contestframe.operators.topk import top_k
 
-    df = base(spark, sf).withColumn("o", F.col("contest_ord") * 100 + F.col("finish_rank"))
-    last = top_k(df, ["entrant_id"], "o", 20)
-    out = last.groupBy("entrant_id").agg(ewm_agg("price", "o", span=5).alias("ewm"))
+    newest = Window.partitionBy("entrant_id").orderBy(F.col("contest_ord").desc(), F.col("finish_rank").desc())
+    df = base(spark, sf).withColumn("newer", F.row_number().over(newest) - 1)
+    out = df.groupBy("entrant_id").agg(ewm_agg("price", "newer", span=5).alias("ewm"))
     return out.select(big("entrant_id").alias("entrant_id"), r4("ewm").alias("ewm"))

@@ -30,11 +30,14 @@ CLASS_MAX = {"class 1": 105, "class 2": 100, "class 3": 80, "class 4": 60, "clas
 CLAIM_LADDER = [(20, 10), (45, 7), (70, 5), (95, 3)]
 REST_EDGES = [7, 14, 30, 60, 120]
 REST_LABELS = ["Short_Backup", "Quick_Return", "Optimal", "Freshened", "Spell", "Long_Layoff"]
+# Pools that pay only the legs in their order
+ORDERED_POOLS = ("FORECAST", "TIERCE", "QUARTET")
 # Career wins of apprentice riders before the data window
 PRIOR_WINS = {
     "C L Chau": 5, "M F Poon": 45, "K H Chan": 24, "H T Mo": 40, "Y L Chung": 0,
     "E C W Wong": 0, "P N Wong": 0, "H N Wong": 28, "C Wong": 30,
 }
+# Venue aliases
 VENUES = {"HV": "HV", "ST": "ST", "HAPPY VALLEY": "HV", "SHA TIN": "ST"}
 
 
@@ -134,9 +137,26 @@ def has_any(col: Column | str, words: Sequence[str]) -> Column:
     return F.coalesce(_c(col).rlike(pattern), F.lit(False))
 
 
-def combo_key(col: Column | str) -> Column:
-    """'7/2', '2,7' and '7 2' all become '2/7'."""
-    return F.array_join(F.array_sort(F.split(F.trim(_c(col)), r"[,\s/]+")), "/")
+def combo_key(col: Column | str, pool: Column | str | None = None) -> Column:
+    """'7/2', '2,7' and '7 2' all become '2/7'; with a pool in which the order counts, it is kept."""
+    legs = F.split(F.trim(_c(col)), r"[,\s/]+")
+    if pool is None:
+        return F.array_join(F.array_sort(legs), "/")
+    kept = F.upper(F.trim(_c(pool))).isin(*ORDERED_POOLS)
+    return F.array_join(F.when(kept, legs).otherwise(F.array_sort(legs)), "/")
+
+
+def combo_codes(payouts: DataFrame, runners: DataFrame, contest: str, number: str, code: str) -> DataFrame:
+    """Payouts (contest, pool, combo of numbers) with `combo_codes`: the same legs as entrant codes.
+
+    A leg whose number has no code keeps the number. Each leg is one row of an equi-join on contest and number.
+    """
+    legs = payouts.select(contest, "pool", "combo").distinct()
+    each = legs.select(contest, "pool", "combo", F.posexplode(F.split(F.trim("combo"), r"[,\s/]+")).alias("_at", "_leg"))
+    known = runners.where(F.col(code).isNotNull()).groupBy(contest, F.col(number).cast("string").alias("_leg")).agg(F.min(code).alias("_code"))
+    met = each.join(known, [contest, "_leg"], "left").groupBy(contest, "pool", "combo").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_code", "_leg").alias("c")))), lambda s: s["c"]), "/").alias("combo_codes"))
+    return payouts.join(met, [contest, "pool", "combo"], "left")
 
 
 def pair_key(a: Column | str, b: Column | str) -> Column:
@@ -146,7 +166,7 @@ def pair_key(a: Column | str, b: Column | str) -> Column:
 
 def parse_flags(col: Column | str, known: Sequence[str] = ("pace", "nl", "v", "adj", "draw")) -> Column:
     """'pace=SLOW|nl=0|steam' -> struct(ctx map of the known keys, tags array of the rest)."""
-    tokens = F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), r"\|"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), r"\|"), lambda t: F.trim(t)), lambda t: t != "")
 
     def key(t: Column) -> Column:
         return F.lower(F.trim(F.substring_index(t, "=", 1)))

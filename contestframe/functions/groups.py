@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ewm_agg(x: str, order: str, span: int) -> Column:
-    """Exponentially weighted mean of a bounded group, oldest value as the seed."""
-    alpha = 2.0 / (span + 1)
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(x).cast("double").alias("x")))), lambda s: s["x"])
-    return F.aggregate(
-        values, F.lit(None).cast("double"), lambda acc, v: F.when(acc.isNull(), v).otherwise(acc * (1 - alpha) + v * alpha)
-    )
+def ewm_agg(x: str, newer: str, span: int) -> Column:
+    """Exponentially weighted mean of a group, the oldest value as the seed.
+
+    `newer` is the number of rows of the group behind a row, so 0 for the newest. The mean is a sum of weighted
+    values, combined map-side; weights fade with age, the oldest row gets what is left.
+    """
+    keep = 1 - 2.0 / (span + 1)
+    age = F.col(newer).cast("double")
+    value = F.col(x).cast("double")
+    weight = F.pow(F.lit(keep), age)
+    seed = F.max_by(value, age) * F.pow(F.lit(keep), F.max(age) + 1)
+    return F.sum(value * weight) * (1 - keep) + seed
 
 
 def ndcg_agg(score: str, rel: str, tie: str, k: int) -> Column:

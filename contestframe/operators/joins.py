@@ -139,19 +139,32 @@ def prev_poll(ticks: DataFrame, keys: Sequence[str], at: str, cols: Sequence[str
     return below.groupBy(*keys).agg(F.max(F.struct(F.col(at), *cols)).alias("_row")).select(*keys, "_row.*")
 
 
-def pairs(df: DataFrame, c: str, e: str, score: str, k: int, carry: Sequence[str] = ()) -> DataFrame:
-    """Unordered pairs among the k best-scored entrants of each contest (leg_a is the smaller id)."""
-    best = _best(df, c, e, score, k)
-    left = best.select(c, F.col(e).alias("leg_a"), *[F.col(x).alias(f"{x}_a") for x in carry])
-    right = best.select(c, F.col(e).alias("leg_b"), *[F.col(x).alias(f"{x}_b") for x in carry])
-    return left.join(right, c).where("leg_a < leg_b")
+def legs(df: DataFrame, listed: DataFrame, c: str, e: str, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Listed combinations (contest and one column per leg) with each leg's columns, suffixed by its name.
+
+    The combinations come from a table, so a field of any size costs what is listed; a combination in which an
+    entrant does not run, or runs twice, is left out.
+    """
+    out = listed
+    for n in names:
+        side = df.select(c, F.col(e).alias(n), *[F.col(x).alias(f"{x}_{n}") for x in carry])
+        out = out.join(side, [c, n])
+    for i, n in enumerate(names):
+        for m in names[:i]:
+            out = out.where(F.col(n) != F.col(m))
+    return out
+
+
+def pairs(df: DataFrame, listed: DataFrame, c: str, e: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Listed pairs (leg_a, leg_b) as unordered pairs, leg_a the smaller id, each once."""
+    low, high = F.least("leg_a", "leg_b"), F.greatest("leg_a", "leg_b")
+    one = listed.select(c, low.alias("a"), high.alias("b")).distinct()
+    return legs(df, one, c, e, ["a", "b"], carry).withColumnsRenamed({"a": "leg_a", "b": "leg_b"})
 
 
-def triples(df: DataFrame, c: str, e: str, score: str, k: int) -> DataFrame:
-    """Ordered triples of distinct entrants among the k best-scored of each contest."""
-    best = _best(df, c, e, score, k)
-    one, two, three = (best.select(c, F.col(e).alias(n)) for n in ("first", "second", "third"))
-    return one.join(two, c).where("first <> second").join(three, c).where("third <> first and third <> second")
+def triples(df: DataFrame, listed: DataFrame, c: str, e: str) -> DataFrame:
+    """Listed ordered triples (first, second, third) of distinct entrants, each once."""
+    return legs(df, listed.select(c, "first", "second", "third").distinct(), c, e, ["first", "second", "third"])
 
 
 def _best(df: DataFrame, c: str, e: str, score: str, k: int) -> DataFrame:
@@ -164,18 +177,23 @@ def cross_top(bankers: DataFrame, satellites: DataFrame, c: str, e: str, score:
 
     A banker can be at most one of them, so the n + 1 best satellites of a contest are enough.
     """
-    legs = _best(satellites, c, e, score, n + 1).select(c, F.col(e).alias("satellite"), F.col(score).alias("satellite_score"))
-    met = bankers.withColumnRenamed(e, "banker").join(legs, c).where("banker <> satellite")
+    best = _best(satellites, c, e, score, n + 1).select(c, F.col(e).alias("satellite"), F.col(score).alias("satellite_score"))
+    met = bankers.withColumnRenamed(e, "banker").join(best, c).where("banker <> satellite")
     w = W.partitionBy(c, "banker").orderBy(F.col("satellite_score").desc(), "satellite")
     return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def settle(tickets: DataFrame, payouts: DataFrame, stake: str = "stake", per: float = 10.0) -> DataFrame:
-    """Tickets (contest_id, pool, combo, stake) with `returned`; a combination not paid returns 0."""
-    paid = payouts.select("contest_id", "pool", C.combo_key("combo").alias("combo"), "payout")
-    return tickets.join(paid, ["contest_id", "pool", "combo"], "left").withColumn(
+def settle(tickets: DataFrame, payouts: DataFrame, stake: str = "stake", per: float = 10.0, combo: str = "combo") -> DataFrame:
+    """Tickets (contest_id, pool, combo, stake) with `returned`; a combination not paid returns 0.
+
+    `combo` names the column of legs on both sides: numbers, or `combo_codes` for entrant codes. Legs are
+    compared in their order only in pools that pay by order; a payout listed again counts once.
+    """
+    key = C.combo_key(combo, "pool")
+    paid = payouts.select("contest_id", "pool", key.alias("_key"), "payout").groupBy("contest_id", "pool", "_key").agg(F.max("payout").alias("payout"))
+    return tickets.withColumn("_key", key).join(paid, ["contest_id", "pool", "_key"], "left").withColumn(
         "returned", F.coalesce(F.col("payout") / per * F.col(stake), F.lit(0.0))
-    )
+    ).drop("_key")
 
 
 def covered(df: DataFrame, payouts: DataFrame, c: str = "contest_id") -> DataFrame:

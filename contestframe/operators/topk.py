@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contestframe.session import checkpointed
+
 
 def chronological(df: DataFrame, *order: str) -> DataFrame:
     """Global order; meant for the last step before a sink."""
@@ -54,9 +56,28 @@ def top_pairs(df: DataFrame, by: Sequence[str], e: str, score: str, n: int) -> D
     )
 
 
+def conviction(tier: str, ev: str, *ties: str) -> list[Column]:
+    """Order of conviction: HIGH tier first, then falling expected value, NULL last."""
+    return [F.when(F.col(tier) == "HIGH", 0).otherwise(1).asc(), F.col(ev).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
+
+
 def by_conviction(df: DataFrame, tier: str, ev: str, *ties: str) -> DataFrame:
     """HIGH tier first, then falling expected value."""
-    return df.orderBy(F.when(F.col(tier) == "HIGH", 0).otherwise(1), F.col(ev).desc_nulls_last(), *ties)
+    return df.orderBy(*conviction(tier, ev, *ties))
+
+
+def placed(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """Adds the row's place (from 1) in a global order whose columns leave no ties.
+
+    Rows are range-partitioned, numbered within their range, and moved by the rows of the ranges before, so no
+    task sees all rows. The checkpoint fixes the ranges, whose borders are sampled.
+    """
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    joined = ranged.withColumn("_n", number).join(sizes.select("_range", before.alias("_before")), "_range")
+    return joined.withColumn(out, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
 
 
 def nulls_last(df: DataFrame, x: str, *ties: str) -> DataFrame:

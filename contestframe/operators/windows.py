@@ -104,7 +104,7 @@ def prior_expanding(df: DataFrame, h: History, x: str, mean: str, sd: str) -> Da
     # Block moments are merged about the key's own mean, so that no large squares cancel.
     spread = scale.with_blocks(df, h.keys, h.order, h.cuts).where("_last > 0")
     centre = spread.groupBy(*h.keys).agg(F.avg(x).alias("_k"))
-    centred = spread.join(F.broadcast(centre), list(h.keys)).withColumn("_d", F.col(x) - F.col("_k"))
+    centred = spread.join(centre, list(h.keys)).withColumn("_d", F.col(x) - F.col("_k"))
     before = scale.carry(
         centred,
         h.keys,
@@ -112,7 +112,7 @@ def prior_expanding(df: DataFrame, h: History, x: str, mean: str, sd: str) -> Da
         {c: (lambda col, win: F.sum(col).over(win)) for c in ("_cn", "_cs", "_cq")}
         | {"_ck": lambda col, win: F.first(col).over(win)},
     )
-    both = local.join(F.broadcast(before), [*h.keys, "_blk"], "left")
+    both = local.join(before, [*h.keys, "_blk"], "left")
     n1, n2 = F.col("_n"), F.coalesce(F.col("_cn"), F.lit(0))
     m1, q1 = F.coalesce(F.col("_m"), F.lit(0.0)), F.coalesce(F.col("_v"), F.lit(0.0)) * F.col("_n")
     m2 = F.when(n2 > 0, F.col("_ck") + F.col("_cs") / n2).otherwise(0.0)

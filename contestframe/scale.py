@@ -10,8 +10,9 @@ border travels as a small table:
 * unbounded look-back (running sums, maxima, moments): per-block totals are accumulated over the
   blocks of the key and added to the local result (`carry`).
 
-Both tables have a size bound: there are at most rows / hot_rows hot keys and max_blocks blocks
-for each. `probe` returns None when no key is hot, which keeps the plan a single plain window.
+There are at most rows / hot_rows hot keys with rows / block_rows blocks in all; Spark broadcasts the small
+tables only while they are small. `probe` returns None when no key is hot, which keeps the plan a single
+plain window.
 """
 
 from __future__ import annotations
@@ -42,14 +43,16 @@ def cut_points(
     """keys + `_cuts`: ascending border values of `order` for each hot key."""
     per_block = CFG.block_rows if block_rows is None else block_rows
     hot = hot_keys(df, keys, hot_rows)
-    shares = [i / CFG.max_blocks for i in range(1, CFG.max_blocks)]
+    most = hot.agg(F.max("_n")).first()[0] or 0
+    blocks = max(2, -(-most // per_block))  # as many as the largest key needs
+    shares = [i / blocks for i in range(1, blocks)]
     grid = (
         df.select(*keys, order)
-        .join(F.broadcast(hot), list(keys))
+        .join(hot, list(keys))
         .groupBy(*keys)
-        .agg(F.percentile_approx(order, shares, 10_000).alias("_grid"), F.first("_n").alias("_n"))
+        .agg(F.percentile_approx(order, shares, max(10_000, 10 * blocks)).alias("_grid"), F.first("_n").alias("_n"))
     )
-    step = F.greatest(F.lit(1), F.floor(F.lit(CFG.max_blocks * per_block) / F.col("_n"))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(blocks * per_block) / F.col("_n"))).cast("int")
     thinned = F.filter(F.col("_grid"), lambda _, i: (i + 1) % step == 0)
     return grid.select(*keys, F.array_sort(F.array_distinct(thinned)).alias("_cuts"))
 
@@ -76,7 +79,7 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame)
     """Adds `_blk` (0 for keys that are not hot) and `_last` (number of the key's final block)."""
     block = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return (
-        df.join(F.broadcast(cuts), list(keys), "left")
+        df.join(cuts, list(keys), "left")
         .withColumn("_blk", F.when(F.col("_cuts").isNull(), 0).otherwise(block))
         .withColumn("_last", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")))
         .drop("_cuts")
@@ -163,7 +166,7 @@ def running(
         {f"_c_{n}": funcs[k](c) for n, (k, c) in outputs.items()},
         {f"_c_{n}": (lambda col, w, k=k: joined[k](col).over(w)) for n, (k, _) in outputs.items()},
     )
-    out = local.join(F.broadcast(before), [*keys, "_blk"], "left")
+    out = local.join(before, [*keys, "_blk"], "left")
 
     def combine(name: str, kind: str) -> Column:
         here, past = F.col(name), F.col(f"_c_{name}")

@@ -16,8 +16,8 @@ runners: array<struct<id: string, horse: struct<code: string, name_en: string, n
 currentRating: string, gearInfo: string, jockey: struct<allowance: string, name_en: string>>>>>>>>>"""
 SCHEDULE_SCHEMA = "struct<meetings: array<struct<date: string, venueCode: string, races: array<struct<no: string, postTime: string, status: string>>>>>"
 
-# How many combinations each pool pays
-POOL_PAYS = {"WIN": 1, "PLACE": 3, "QUINELLA": 1, "QPL": 3, "FORECAST": 1, "TIERCE": 1, "TRIO": 1, "FIRST4": 1, "QUARTET": 1}
+# Pool names
+POOLS = ["WIN", "PLACE", "QUINELLA", "QPL", "FORECAST", "TIERCE", "TRIO", "FIRST4", "QUARTET"]
 
 
 def _empty_to_null(c: Column) -> Column:
@@ -79,11 +79,11 @@ def payout_tokens(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """(pool, combo, payout) of a payout section written as running text.
 
     The section starts at the word dividend and ends at its note. A pool name is followed by pairs
-    of combination and amount; a pool never takes more pairs than it pays.
+    of combination and amount, which end at the next pool name; a dead heat has more of them than usual.
     """
     c = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)\bQUINELLA\s+PLACE\b", "QPL"), r"(?i)\bFIRST\s+4\b", "FIRST4")
     section = F.regexp_extract(c, r"(?is)dividend(.*?)(?:dividend\s+note|$)", 1)
-    names = "|".join(POOL_PAYS)
+    names = "|".join(POOLS)
     pair = rf"(?:\s+(?!(?:{names})\s)[^\s]*\d[^\s]*\s+[\d,]+(?:\.\d+)?(?=\s|$))"
     groups = F.regexp_extract_all(F.concat(F.lit(" "), section), F.lit(rf"(?i)(?<=\s)((?:{names}){pair}+)"), 1)
     pools = df.select(*keep, F.posexplode(groups).alias("group_no", "_g"))
@@ -95,9 +95,8 @@ def payout_tokens(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
         F.sequence(F.lit(1), "_n"), lambda i: F.struct(F.get("_t", i * 2 - 1).alias("combo"), F.get("_t", i * 2).alias("amount"))
     )
     rows = listed.where("_n > 0").select(*keep, "group_no", "pool", F.posexplode(pairs).alias("pair_no", "_pair"))
-    pays = F.element_at(F.create_map(*[F.lit(x) for kv in POOL_PAYS.items() for x in kv]), F.col("pool"))
     amount = F.replace(F.col("_pair.amount"), F.lit(","), F.lit("")).try_cast("double")
-    return rows.where(F.col("pair_no") < pays).select(
+    return rows.select(
         *keep, "group_no", "pool", "pair_no", F.col("_pair.combo").alias("combo"), amount.alias("payout")
     )
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,33 +40,33 @@ def csv_paths(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str]
     return sorted(p for p in found if p.endswith(suffix))
 
 
-def read_runs(spark: SparkSession, path: str, max_columns: int = 64) -> DataFrame:
-    """All run CSVs below a folder, every column as text, whatever order their headers have.
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All run CSVs below a folder and its sub-folders, every column as text, whatever order their headers have.
 
-    A user schema binds by position, so the scan names columns by position and each row finds its
-    values through the header of its own file. Headers come from one job that keeps the first line
-    of each file; the driver sees only the distinct column names.
+    One job keeps the first line of each file; the driver sees the distinct headers with their files, which it
+    lists for any scan. Files of one header are one scan with that schema, and the scans are united by name.
+    Of columns with one name the first counts.
     """
     def source(reader):
-        return reader.option("pathGlobFilter", "*.csv")
+        return reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
 
     first = (
         source(spark.read).text(path)
         .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), "value")
         .where("_start = 0").groupBy("_file").agg(F.first("value").alias("_line"))
     )
-    plain = F.regexp_replace("_line", "[\"\uFEFF\r]", "")
-    headers = first.select("_file", F.transform(F.split(plain, ","), F.trim).alias("_names"))
-    names = [r[0] for r in headers.select(F.explode("_names").alias("n")).distinct().orderBy("n").collect()]
-    if not names:
+    grouped = first.groupBy("_line").agg(F.sort_array(F.collect_list("_file")).alias("_files")).orderBy("_line").collect()
+    scans = []
+    for line, files in grouped:
+        names = [n.strip() for n in next(csv.reader([line.lstrip("\ufeff").rstrip("\r")]), [])]
+        kept = [n for k, n in enumerate(names) if n and n not in names[:k]]
+        spots = [n if n in kept and n not in names[:k] else f"_skip{k}" for k, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in spots])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+        scans.append(rows.csv([unquote(f) for f in files]).select(*[f"`{n}`" for n in kept]))
+    if not scans:
         raise FileNotFoundError(f"no CSV files below {path}")
-    generic = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
-    rows = source(spark.read.schema(generic)).option("header", True).option("escape", '"').csv(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("_file"), F.array(*generic.names).alias("_cells"))
-    spot = {n: F.array_position("_names", n) for n in names}
-    return rows.join(headers, "_file").select(
-        *[F.when(spot[n] > 0, F.get("_cells", (spot[n] - 1).cast("int"))).alias(n) for n in names]
-    )
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
 
 
 def with_defaults(df: DataFrame, spec: dict[str, object]) -> DataFrame:
@@ -105,7 +109,7 @@ def entrant_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     sizes = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
     offset = F.coalesce(F.sum("_k").over(topk.W.orderBy("_p").rowsBetween(topk.W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_p", offset.alias("_start"))
-    coded = keys.withColumn("_r", F.row_number().over(w)).join(F.broadcast(starts), "_p").select(col, (F.col("_start") + F.col("_r") - 1).alias(out))
+    coded = keys.withColumn("_r", F.row_number().over(w)).join(starts, "_p").select(col, (F.col("_start") + F.col("_r") - 1).alias(out))
     return df.join(coded, col, "left")
 
 
@@ -161,16 +165,32 @@ def migrate(df: DataFrame, columns: Sequence[str], types: dict[str, str] | None
 
 def read_payouts(stores: Iterable[DataFrame], keys: Sequence[str] = ("contest_id", "pool", "combo")) -> DataFrame:
     """Union of payout stores; the first store wins a key that several have."""
-    keyed = [s.withColumn("combo", C.combo_key("combo")) for s in stores]
+    keyed = [s.withColumn("combo", C.combo_key("combo", "pool")) for s in stores]
     return topk.union_priority(keyed, list(keys))
 
 
-def append_new(df: DataFrame, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
-    """Appends the rows whose keys the Parquet store does not have; a second run adds nothing."""
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet store at a path, partitioned or not; None where nothing is stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_new(df: DataFrame, spark: SparkSession, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """Appends the rows whose keys the Parquet store does not have; a second run adds nothing.
+
+    With `partition_by` (which must follow from the keys) only the folders that the new rows fall into are read.
+    """
     fresh = keep_one(df, keys, [c for c in df.columns if c not in keys] or list(keys))
-    if csv_paths(spark, path, ".parquet"):
-        fresh = joins.new_only(fresh, spark.read.parquet(path).select(*keys), keys)
-    fresh.write.mode("append").parquet(path)
+    have = stored(spark, path)
+    if have is not None:
+        if partition_by:
+            have = have.join(fresh.select(*partition_by).distinct(), list(partition_by), "left_semi")
+        fresh = joins.new_only(fresh, have.select(*keys), keys)
+    fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def to_star(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
