@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from contestframe.llm import licenses, secrets
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op2_url_filter"] = r"""
@@ -79,3 +83,72 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and 100 * (n_words - gone) >= 30 * n_words and 100 * n_symbols <= 30 * n_words as kept
 from judged
 """
+
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        f"({n}, '{t.label}', {t.slack}, {t.cover}, {str(t in licenses.PHRASES).lower()}, '{t.words}')" for n, t in enumerate(licenses.TEMPLATES))
+    return rf"""
+with docs as (
+  select row_number() over () as n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+templates(template, label, slack, cover, phrase, wording) as (values {rows}),
+listed as (select template, unnest(string_split(wording, ' ')) as one, generate_subscripts(string_split(wording, ' '), 1) - 1 as place from templates),
+sizes as (select template, count(*) as size from listed group by template),
+wanted as (select *, lead(one) over (partition by template order by place) as two from listed),
+words as (select n, unnest(words) as one, generate_subscripts(words, 1) - 1 as place from docs),
+grams as (select *, lead(one) over (partition by n order by place) as two from words),
+votes as (
+  select n, template, g.place as here, w.place as there, g.place - w.place as diagonal
+  from grams g join wanted w on g.one = w.one and g.two = w.two),
+lines as (select distinct n, template, diagonal from votes),
+gaps as (select *, diagonal - lag(diagonal) over (partition by n, template order by diagonal) as gap from lines),
+runs as (
+  select n, template, diagonal, sum(case when gap <= slack then 0 else 1 end) over (partition by n, template order by diagonal) as run
+  from gaps join templates using (template)),
+covered as (
+  select n, template, run, count(distinct there + k) as hit, min(here) as start
+  from votes join runs using (n, template, diagonal), (values (0), (1)) as t(k) group by n, template, run),
+spans as (
+  select n, label, phrase, start, hit / size as similarity
+  from covered join templates using (template) join sizes using (template) where hit / size >= cover),
+found as (
+  select n, count(*) filter (phrase) as n_base, min(start) filter (phrase) as first_word, max(start) filter (phrase) as last_word,
+    string_agg(distinct label, ',' order by label) filter (phrase) as base_labels, string_agg(distinct label, ',' order by label) as labels,
+    max(similarity) as score from spans group by n)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from docs left join found using (n)
+"""
+
+
+def _secret_sql() -> str:
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = []
+    for n, r in enumerate(secrets.RULES):
+        pattern = assign if r.kind == "assign" else r.pattern
+        kinds.append(f"""select n, {n} as rule, '{r.kind}' as kind, {r.least} as least, string_split_regex(text, '{pattern}') as parts,
+      regexp_extract_all(text, '{pattern}') as hits, regexp_extract_all(text, '{pattern}', {r.group}) as vals from docs""")
+    return f"""
+with docs as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(kinds)}),
+each as (
+  select n, rule, kind, least, generate_subscripts(hits, 1) as i, unnest(hits) as hit, unnest(vals) as val, parts, hits
+  from found where len(hits) > 0),
+spans as (
+  select n, rule, kind, list_sum(list_transform(parts[1:i], lambda x: length(x)))::bigint
+    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::bigint as start, length(hit) as size
+  from each where length(val) >= least),
+sums as (
+  select n, count(*) filter (rule = 0) as n_assign, count(*) filter (rule = 1) as n_access, count(*) filter (rule = 2) as n_hex,
+    string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, rule) filter (rule < 3) as base,
+    string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, rule) as spans from spans group by n)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join sums using (n)
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
+ORACLES["op7_secret_scan"] = _secret_sql()

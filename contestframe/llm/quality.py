@@ -125,3 +125,9 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", limits: Lim
     depleted = left_words * 100 < n * limits.min_left_percent
     noisy = F.col("c.n_symbols") * 100 > n * limits.max_symbol_percent
     return cut.select("row", "left_text", "c.*", failed.alias("base_failed"), F.coalesce(~failed & ~depleted & ~noisy, F.lit(False)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = LIMITS) -> DataFrame:
+    """The rows of the documents that are kept, without their boilerplate lines."""
+    done = clean(docs, text, host, limits).where("kept")
+    return done.select(*[F.col("left_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

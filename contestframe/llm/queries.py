@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestframe.llm import chat, chunks, decontam, langid, licenses, quality, secrets, simhash, urls
+from contestframe.llm import bpe, chat, chunks, decontam, langid, licenses, quality, secrets, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_config() -> str:
+    """The word-level BPE tokenizer file, read on the driver."""
+    import public_tokenizers
+
+    return bpe.read_config(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_digests(encoded: DataFrame, config: str) -> DataFrame:
+    """The digests of the ids and of the text they decode to, beside the other columns."""
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), config))
+    return decoded.select(
+        *[c for c in encoded.columns if c != "ids"],
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as digests."""
+    config = tokenizer_config()
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents"), config), config)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -102,6 +126,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
+    "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
