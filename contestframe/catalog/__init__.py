@@ -6,7 +6,7 @@ import importlib
 
 from contestframe.catalog.base import ORACLES, QUERIES
 
-MODULES = ["history", "fields", "ledger", "tickq", "rules", "pipelines", "streams", "models"]
+MODULES = ["history", "fields", "ledger", "tickq", "rules", "pipelines", "streams", "models", "stored"]
 
 
 def _load() -> None:

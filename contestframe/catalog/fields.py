@@ -28,6 +28,11 @@ b as (select contest_id, ok, list_reduce(list_prepend(struct_pack(lo := 0.01::do
           else struct_pack(lo := a.lo, hi := (a.lo + a.hi) / 2) end) as r from s)"""
 
 
+def neutral():
+    """Tie order that says nothing about the result: a hash of the row's key."""
+    return F.md5(F.concat_ws(":", F.col("contest_id").cast("string"), F.col("finish_rank").cast("string")))
+
+
 def card(spark, sf, *extra):
     """Runs with a model vector p from the draw and a market vector q from the price."""
     df = base(spark, sf).select("contest_id", "finish_rank", "draw", "price", "weight", "elapsed", "win", *extra)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contestframe.catalog.base import big, r4, register
-from contestframe.catalog.fields import CARD, DEVIG, POWERED, card
+from contestframe.catalog.fields import CARD, DEVIG, POWERED, card, neutral
 from contestframe.catalog.history import R, base, history, keyed
 from contestframe.functions import columns as C
 from contestframe.operators import aggregates, field, joins, policy, topk, windows
@@ -414,23 +414,47 @@ def a11(spark, sf):
 @register(
     "a12_ndcg",
     f"""with {CARD}, g as (select *, case finish_rank when 1 then 3 when 2 then 2 when 3 then 1 else 0 end as rel,
-    row_number() over (partition by contest_id order by p desc, finish_rank) as r,
-    row_number() over (partition by contest_id order by case finish_rank when 1 then 3 when 2 then 2 when 3 then 1 else 0 end desc, finish_rank) as i
+    row_number() over (partition by contest_id order by round(p, 9) desc, md5(contest_id || ':' || finish_rank)) as r,
+    row_number() over (partition by contest_id order by case finish_rank when 1 then 3 when 2 then 2 when 3 then 1 else 0 end desc, md5(contest_id || ':' || finish_rank)) as i
   from card where n > 1)
 select contest_id, {R('''sum(case when r <= 3 then (power(2, rel) - 1) / log2(r + 1) else 0 end)
   / sum(case when i <= 3 then (power(2, rel) - 1) / log2(i + 1) else 0 end)''')} as ndcg from g group by 1""",
     "runs",
 )
 def a12(spark, sf):
-    df = card(spark, sf).where("n > 1").withColumn("rel", C.relevance("finish_rank"))
-    out = aggregates.ndcg(df, "contest_id", "p", "rel", 3, ["finish_rank"])
+    df = card(spark, sf).where("n > 1").withColumn("rel", C.relevance("finish_rank")).withColumns({"p": F.round("p", 9), "tie": neutral()})
+    out = aggregates.ndcg(df, "contest_id", "p", "rel", 3, ["tie"])
     return out.select(big("contest_id").alias("contest_id"), r4("ndcg").alias("ndcg"))
 
 
-@register("a13_bootstrap_roi")
+def _poisson_sql(u: str) -> str:
+    """Weight of a replicate: how many steps of the Poisson(1) distribution lie below u."""
+    mass, acc, steps = 0.36787944117144233, 0.0, []
+    for k in range(aggregates.POISSON_STEPS):
+        acc += mass
+        steps.append(f"case when {u} > {acc!r} then 1 else 0 end")
+        mass /= k + 1
+    return " + ".join(steps)
+
+
+def _md5_sql(text: str) -> str:
+    return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+
+
+@register(
+    "a13_bootstrap_roi",
+    f"""with g as (select {_md5_sql("contest_id || ':' || finish_rank")} % 256 as cell, count(*) * 10.0 as stake,
+    sum(case when finish_rank = 1 then 10.0 * price else 0 end) as returned from runs where price between 4.5 and 8 group by 1),
+s as (select *, ({_md5_sql("cell || ':' || k || ':7'")} + 0.5) / 4294967296.0 as u from g cross join range(1, 10001) r(k)),
+w as (select k, stake, returned, {_poisson_sql("u")} as w from s),
+r as (select (sum(w * returned) - sum(w * stake)) / sum(w * stake) * 100 as roi from w group by k having sum(w * stake) > 0)
+select count(*) as replicates, {R('avg(roi)')} as mean, {R('quantile_cont(roi, 0.025)')} as lo, {R('quantile_cont(roi, 0.975)')} as hi,
+  {R('avg(case when roi <= 0 then 1.0 else 0.0 end)')} as p_loss from r""",
+    "runs",
+)
 def a13(spark, sf):
     df = tickets(spark, sf).where("price between 4.5 and 8")
-    out = aggregates.bootstrap_roi(df, ["contest_id", "finish_rank"], replicates=200)
+    out = aggregates.bootstrap_roi(df, ["contest_id", "finish_rank"])
     return out.select(big("replicates").alias("replicates"), *[r4(c).alias(c) for c in ("mean", "lo", "hi", "p_loss")])
 
 

@@ -62,25 +62,28 @@ def r05(spark, sf):
 
 
 @register(
-    "r02_r03_stream_baseline",
-    f"""select contest_id, entrant_id, {R('arg_min(price, ts)')} as base_price, {R('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6')} as age
-from ticks group by 1, 2 having (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 >= 900""",
+    "r03_stream_baseline",
+    f"""with w as (select t.*, epoch_us(time_bucket(interval 1 day, ts, timestamp '1970-01-01')) + (k + 1) * 86400000000 as end from ticks t cross join range(4) r(k))
+select "end", contest_id, entrant_id, {R('arg_min(price, ts)')} as base_price, {R('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6')} as age
+from w group by 1, 2, 3 having (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 >= 900""",
     "ticks",
 )
 def r03(spark, sf):
-    out = S.run(S.baseline(S.drop_late(stream(spark, sf))), ["contest_id", "entrant_id"])
-    return out.select(big("contest_id").alias("contest_id"), big("entrant_id").alias("entrant_id"), r4("base_price").alias("base_price"), r4("age").alias("age"))
+    """Baselines over a retention of four days, one for each day, as the tick table spans weeks."""
+    out = S.run(S.baseline(S.drop_late(stream(spark, sf)), keep="4 days", slide="1 day"), ["end", "contest_id", "entrant_id"])
+    return out.select(us("end"), big("contest_id").alias("contest_id"), big("entrant_id").alias("entrant_id"), r4("base_price").alias("base_price"), r4("age").alias("age"))
 
 
 @register(
     "r07_milestones",
-    f"""with m as (select contest_id, milestone from ticks cross join (values ('T-5m', 5), ('T-2m', 2)) v(milestone, d)
+    f"""with m as (select contest_id, milestone from ticks cross join (values ('T-5m', 5), ('T-2m', 2), ('CLOSED', 0)) v(milestone, d)
   where (epoch_us(timestamp '{POST}') - epoch_us(ts)) / 86400e6 <= d) select distinct contest_id, milestone from m""",
     "ticks",
 )
 def r07(spark, sf):
     timed = S.to_post(stream(spark, sf), posts(spark, sf))
-    out = S.run(S.milestones(timed, (("T-5m", 5 * 86400), ("T-2m", 2 * 86400)), delay="40 days"), mode="append")
+    marks = (("T-5m", 5 * 86400), ("T-2m", 2 * 86400))
+    out = S.run(S.milestones(timed, marks, closed=F.col("to_post") <= 0, delay="40 days"), mode="append")
     return out.select(big("contest_id").alias("contest_id"), "milestone")
 
 
@@ -133,10 +136,10 @@ def r06(spark, sf):
 
 
 @register(
-    "r12_late_and_ttl",
-    f"""select epoch_us(time_bucket(interval 4 hour, ts, timestamp '1970-01-01')) as start, contest_id, entrant_id, {R('arg_min(price, ts)')} as first_price,
-  {R('arg_max(price, ts)')} as last_price, count(*) as kept from ticks
-where time_bucket(interval 4 hour, ts, timestamp '1970-01-01') + interval 4 hour <= (select max(ts) from ticks) - interval 4 hour group by 1, 2, 3""",
+    "r02_r12_late_and_ttl",
+    f"""with w as (select t.*, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') - k * interval 1 hour as start from ticks t cross join range(4) r(k))
+select epoch_us(start) as start, contest_id, entrant_id, {R('arg_min(price, ts)')} as first_price, {R('arg_max(price, ts)')} as last_price, count(*) as kept from w
+where start + interval 4 hour <= (select max(ts) from ticks) - interval 4 hour group by 1, 2, 3""",
     "ticks",
 )
 def r12(spark, sf):

@@ -175,21 +175,27 @@ def ndcg(df: DataFrame, c: str, score: str, rel: str, k: int, ties: Sequence[str
 POISSON_STEPS = 16
 
 
-def bootstrap_roi(tickets: DataFrame, row_key: Sequence[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
+def _hashed(*parts: Column | str) -> Column:
+    """32-bit number from the md5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])), 1, 8), 16, 10).cast("bigint")
+
+
+def bootstrap_roi(tickets: DataFrame, row_key: Sequence[str], replicates: int = 10_000, seed: int = 7, cells: int = 256) -> DataFrame:
     """Percentile interval of the ROI from Poisson(1) resampling.
 
-    A ticket's weight in a replicate is the inverse Poisson distribution at a hash of (row key,
-    replicate, seed), so the result does not depend on partitioning. Replicates are summed map-side;
-    only one row per replicate and task is shuffled.
+    Tickets are summed into a fixed number of cells by a hash of their key, combined map-side; the cells are
+    resampled, so the work of the replicates does not grow with the tickets. A cell's weight in a replicate is
+    the inverse Poisson distribution at a hash of cell, replicate and seed.
     """
-    u = (F.pmod(F.xxhash64(*row_key, "replicate", F.lit(seed)), F.lit(2**40)) + 0.5) / float(2**40)
+    groups = tickets.groupBy((_hashed(*row_key) % cells).alias("cell")).agg(F.sum("stake").alias("stake"), F.sum("returned").alias("returned"))
+    u = (_hashed("cell", "replicate", F.lit(str(seed))) + 0.5) / float(2**32)
     mass, acc, weight = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(POISSON_STEPS):
         acc += mass
         weight = weight + F.when(u > acc, 1).otherwise(0)
         mass /= k + 1
-    spread = tickets.select(
-        *row_key, "stake", "returned", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    spread = groups.select(
+        "cell", "stake", "returned", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     ).withColumn("_w", weight)
     per = spread.groupBy("replicate").agg(
         F.sum(F.col("_w") * F.col("stake")).alias("_s"), F.sum(F.col("_w") * F.col("returned")).alias("_t")

@@ -24,8 +24,8 @@ STAGES = (("T-15m", 900), ("T-10m", 600), ("T-3m", 180), ("T-45s", 45), ("T-12s"
 MILESTONES = (("T-5m", 300), ("T-2m", 120))
 
 
-def tick_stream(spark: SparkSession, path: str, schema, ttl: str = TTL, max_files: int | None = None) -> DataFrame:
-    """Ticks of a growing Parquet folder as an unbounded table; ticks older than the TTL are late."""
+def tick_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Ticks of a growing Parquet folder as an unbounded table; `drop_late` says when a tick is too old."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -59,13 +59,16 @@ def recent(stream: DataFrame, window: str = "10 minutes", slide: str = "1 minute
     return out.select(F.col("w.end").alias("end"), "contest_id", "entrant_id", "recent_price")
 
 
-def baseline(stream: DataFrame, age_seconds: int = 900) -> DataFrame:
-    """Oldest price of each entrant once it is at least `age_seconds` older than the newest tick."""
-    out = stream.groupBy("contest_id", "entrant_id").agg(
-        F.min(F.struct("ts", "price")).alias("_old"), F.max("ts").alias("newest")
+def baseline(stream: DataFrame, age_seconds: int = 900, keep: str = TTL, slide: str = "15 minutes") -> DataFrame:
+    """Oldest retained price of each entrant once it is at least `age_seconds` older than the newest tick.
+
+    Ticks are retained for `keep`: every `slide` has a window of that length, whose state goes with the watermark.
+    """
+    out = stream.groupBy(F.window("ts", keep, slide).alias("w"), "contest_id", "entrant_id").agg(
+        F.min_by("price", "ts").alias("base_price"), F.min("ts").alias("oldest"), F.max("ts").alias("newest")
     )
-    age = (F.unix_micros("newest") - F.unix_micros("_old.ts")) / 1e6
-    return out.select("contest_id", "entrant_id", F.col("_old.price").alias("base_price"), age.alias("age")).where(F.col("age") >= age_seconds)
+    age = (F.unix_micros("newest") - F.unix_micros("oldest")) / 1e6
+    return out.select(F.col("w.end").alias("end"), "contest_id", "entrant_id", "base_price", age.alias("age")).where(F.col("age") >= age_seconds)
 
 
 def to_post(stream: DataFrame, posts: DataFrame) -> DataFrame:
@@ -116,7 +119,8 @@ def episodes(stream: DataFrame, steam: Column, window: str, delay: str = TTL) ->
     sets = hot.groupBy(F.window("ts", window), "contest_id").agg(F.sort_array(F.collect_set("entrant_id")).alias("_set"))
     key = F.array_join(F.transform("_set", lambda x: x.cast("string")), ",")
     keyed = sets.select("contest_id", F.window_time("window").alias("at"), key.alias("entrants"))
-    return keyed.dropDuplicates(["contest_id", "entrants"])
+    # a set is reported anew once the watermark has passed it by the delay; until then its state is kept
+    return keyed.dropDuplicatesWithinWatermark(["contest_id", "entrants"])
 
 
 LIFECYCLE_SCHEMA = "contest_id bigint, at timestamp, state string"
@@ -193,9 +197,9 @@ def lifecycle(stream: DataFrame, posts: DataFrame, delay: str = TTL, cfg: Config
     )
 
 
-def with_ttl(stream: DataFrame, ttl: str = TTL) -> DataFrame:
-    """Retained snapshots: per entrant the first and last price of the TTL windows that are still open."""
-    return drop_late(stream, ttl).groupBy(F.window("ts", ttl, ttl), "contest_id", "entrant_id").agg(
+def with_ttl(stream: DataFrame, ttl: str = TTL, slide: str = "1 hour") -> DataFrame:
+    """Retained snapshots: first and last price of each entrant over the last `ttl`, one window for each `slide`."""
+    return drop_late(stream, ttl).groupBy(F.window("ts", ttl, slide), "contest_id", "entrant_id").agg(
         F.min_by("price", "ts").alias("first_price"), F.max_by("price", "ts").alias("last_price"), F.count(F.lit(1)).alias("kept")
     )
 

@@ -60,8 +60,16 @@ def test_staged_alerts(spark, day):
 
 
 def test_baseline_age(spark, day):
-    got = {r["entrant_id"]: r["base_price"] for r in S.run(S.baseline(S.drop_late(stream(spark, day))), ["contest_id", "entrant_id"]).collect()}
-    assert got == {1: 5.0}
+    got = S.run(S.baseline(S.drop_late(stream(spark, day))), ["end", "contest_id", "entrant_id"]).collect()
+    assert {r["entrant_id"] for r in got} == {1} and 5.0 in {r["base_price"] for r in got}
+
+
+def test_baseline_forgets_old_prices(spark, tmp_path):
+    """Only ticks of the last four hours count: the price of the morning is no baseline in the evening."""
+    folder = str(tmp_path / "ticks")
+    files(spark, folder, [(1, 1, 8.0, "2026-09-09 08:00:00")], [(1, 1, 6.0, "2026-09-09 20:00:00"), (1, 1, 5.0, "2026-09-09 20:30:00")])
+    got = S.run(S.baseline(S.drop_late(stream(spark, folder))), ["end", "contest_id", "entrant_id"]).collect()
+    assert {(r["base_price"], r["age"]) for r in got} == {(6.0, 1800.0)}
 
 
 def test_late_ticks_are_dropped(spark, tmp_path):
