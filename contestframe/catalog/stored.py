@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from contestframe.catalog.base import big, r4, register
-from contestframe.catalog.fields import CARD, card, neutral
+from contestframe.catalog.fields import CARD, HARVILLE, card, neutral
 from contestframe.catalog.history import R, base, keyed
 from contestframe.catalog.pipelines import result_pages
+from contestframe.config import CFG
 from contestframe.functions import columns as C
 from contestframe.functions.groups import ndcg_agg
 from contestframe.operators import policy
@@ -164,7 +166,22 @@ def x02n(spark, sf):
     return out.select(big("contest_id").alias("contest_id"), r4("ndcg").alias("ndcg"))
 
 
-@register("k02_place_picks")
+def _market_places() -> str:
+    """The place sums of HARVILLE once more, over the market vector q."""
+    text = HARVILLE.split(",\npl as", 1)[1].replace("a.p", "a.q").replace("b.p", "b.q").replace("d.p", "d.q")
+    for name in ("pl", "pk", "ph"):
+        text = re.sub(rf"\b{name}\b", f"m{name}", text)
+    return "mpl as" + text
+
+
+@register(
+    "k02_place_picks",
+    f"""with {HARVILLE}, {_market_places()},
+v as (select ph.contest_id, ph.finish_rank, ph.price, ph.n, (ph.p + ph.r2 + ph.r3) * 0.825 / greatest(mph.q + mph.r2 + mph.r3, 1e-9) as value
+  from ph join mph using (contest_id, finish_rank))
+select contest_id, finish_rank, {R('value')} as place_value from v where n >= 2 and value > {CFG.place_pick_ev} and price >= {CFG.place_pick_price}""",
+    "runs",
+)
 def k02_picks(spark, sf):
     """Place picks of the core and satellite policy."""
     df = card(spark, sf).withColumns({"ev": F.round(C.ev("p", "price"), 9), "intent": F.round((F.col("weight") - 105) / 30, 9)})

@@ -129,14 +129,13 @@ def baseline_join(now: DataFrame, base: DataFrame, keys: Sequence[str], col: str
 
 
 def prev_poll(ticks: DataFrame, keys: Sequence[str], at: str, cols: Sequence[str]) -> DataFrame:
-    """Rows of the second-latest instant of each key.
+    """Row of the second-latest instant of each key.
 
-    The newest instant is an aggregate that is joined back; the rows below it are aggregated again,
-    so no key is sorted.
+    One pass: the rank filter keeps the two newest instants of a key in every task before they are shuffled.
     """
-    newest = ticks.groupBy(*keys).agg(F.max(at).alias("_newest"))
-    below = ticks.join(newest, list(keys)).where(F.col(at) < F.col("_newest"))
-    return below.groupBy(*keys).agg(F.max(F.struct(F.col(at), *cols)).alias("_row")).select(*keys, "_row.*")
+    w = W.partitionBy(*keys).orderBy(F.col(at).desc())
+    two = ticks.select(*keys, at, *cols).withColumn("_r", F.dense_rank().over(w)).where("_r <= 2")
+    return two.where("_r = 2").groupBy(*keys).agg(F.max(F.struct(F.col(at), *cols)).alias("_row")).select(*keys, "_row.*")
 
 
 def legs(df: DataFrame, listed: DataFrame, c: str, e: str, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

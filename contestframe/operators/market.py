@@ -1,4 +1,4 @@
-"""Operators on the tick stream at rest. Ticks of a busy contest are only ever aggregated, never sorted whole."""
+"""Operators on the tick stream at rest. Ticks of a busy contest are aggregated or rank-limited per task; struct minima and maxima sort a task's rows by key."""
 
 from __future__ import annotations
 

@@ -105,14 +105,19 @@ def attribute_text(lines: DataFrame, entrants: DataFrame, contest: str, line: st
     """Joins report lines to the entrants they speak of and concatenates them per entrant.
 
     A line that carries bracketed codes goes to those codes; any other line goes to every entrant of
-    its contest whose whole name it contains. Codes meet by equality, names inside their contest.
+    its contest whose whole name it contains. Codes meet by equality, names by contest and first word, then
+    the whole name is verified.
     """
     long = lines.where(F.length(F.trim(line)) > min_len).withColumn("_line", F.trim(line))
     numbered = long.withColumn("_no", F.col("line_no")).withColumn("_codes", F.array_distinct(F.regexp_extract_all("_line", F.lit(r"\(([A-Z]\d{3})\)"), 1)))
     by_code = numbered.select(contest, "_no", "_line", F.explode("_codes").alias(code)).join(entrants.select(contest, code), [contest, code], "left_semi")
-    named = entrants.where(F.length(name) > 0).select(contest, code, name)
+    def words(text: Column) -> Column:
+        return F.regexp_extract_all(F.upper(text), F.lit(r"\w+"), 0)
+
+    named = entrants.where(F.length(name) > 0).select(contest, code, name, F.get(words(F.col(name)), F.lit(0)).alias("_word"))
+    plain = numbered.where(F.size("_codes") == 0).select(contest, "_no", "_line", F.explode(F.array_distinct(words(F.col("_line")))).alias("_word"))
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col(name), F.lit(r"\E\b"))
-    by_name = numbered.where(F.size("_codes") == 0).select(contest, "_no", "_line").join(named, contest).where(F.rlike("_line", quoted))
+    by_name = plain.join(named, [contest, "_word"]).where(F.rlike("_line", quoted))
     hits = by_code.select(contest, code, "_no", "_line").unionByName(by_name.select(contest, code, "_no", "_line")).distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda s: s["_line"])
     return hits.groupBy(contest, code).agg(F.array_join(ordered, " ").alias("report"))
