@@ -1 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks carry the functions of this package with them, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,8 @@ a chunk ends, so cuts depend on the text around them only and an insertion moves
 by a 128-bit digest. A first pass counts one half of the digests, map-side first, and keeps those that occur
 again; only their chunks go on to the exact comparison by the whole digest. Of the documents with a chunk the one
 with the smallest id keeps it. Runs of neighbouring chunks that others keep are repeated passages, if the
-run and the chunks on both sides of it, into which the passage may reach, have `min_words` words together.
+run and the chunks on both sides of it, into which the passage may reach, have `min_words` words together and
+one document keeps most of the run. A chunk that a run repeats is counted once there.
 
 Defined results: null and empty texts have no chunk; a text without a cut is one chunk; repeats within one
 document only are no finding; equal ids with different texts are different documents, equal rows are one; null
@@ -81,20 +82,33 @@ def chunk_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
-    """_id, _sum, start, end (code points), n_words, first_ids: passages that documents with smaller ids keep."""
+    """_id, _sum, start, end (code points), n_words, first_id: passages that other documents keep.
+
+    `first_id` keeps the most words of the passage; a chunk of a few common words may have another keeper.
+    """
     rows = chunk_rows(docs, doc_id, text)
     again = written(rows.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low"))
     seen = written(rows.join(again, "low"))
     first = F.min(F.struct("_id", "_sum"))
     owners = seen.groupBy("low", "high").agg(first.alias("first"), F.max(F.struct("_id", "_sum")).alias("last")).where("first <> last or (first <=> last) is null")
     others = seen.join(written(owners.select("low", "high", "first")), ["low", "high"]).where(~F.struct("_id", "_sum").eqNullSafe(F.col("first")))
-    places = others.select("_id", "_sum", "seq", "start", "end", "words", "before", "after", F.col("first._id").alias("owner")).dropDuplicates(["_id", "_sum", "seq"])
+    places = others.select("_id", "_sum", "seq", "low", "high", "start", "end", "words", "before", "after", F.col("first._id").alias("owner")).dropDuplicates(["_id", "_sum", "seq"])
     doc = Window.partitionBy("_id", "_sum").orderBy("seq")
-    runs = places.withColumn("run", F.col("seq") - F.row_number().over(doc)).groupBy("_id", "_sum", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"), F.array_sort(F.collect_set("owner")).alias("first_ids"))
-    enough = (F.col("n_words") >= min_run) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words)
-    return runs.where(enough).select("_id", "_sum", "start", "end", "n_words", "first_ids")
+    placed = places.withColumn("run", F.col("seq") - F.row_number().over(doc))
+    once = placed.groupBy("_id", "_sum", "run", "owner", "low", "high").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("words").alias("fresh"),
+        F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"))
+    parts = once.groupBy("_id", "_sum", "run", "owner").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sum("fresh").alias("fresh"),
+        F.min_by("before", "start").alias("before"), F.max_by("after", "end").alias("after"))
+    runs = parts.groupBy("_id", "_sum", "run").agg(
+        F.min_by("before", "start").alias("before"), F.max_by("after", "end").alias("after"),
+        F.min_by("owner", F.struct(-F.col("fresh"), "owner")).alias("first_id"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
+        F.sum("fresh").alias("fresh"), F.max("fresh").alias("most"))
+    # chunks that meet by chance have a keeper each, those of a passage mostly the same one; one that repeats counts once
+    enough = (F.col("most") >= min_run) & (F.col("most") * 2 > F.col("fresh")) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words)
+    return runs.where(enough).select("_id", "_sum", "start", "end", "n_words", "first_id")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

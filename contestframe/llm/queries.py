@@ -96,7 +96,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that documents with smaller ids hold too."""
     found = chunks.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("_id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "n_words")
+    return found.select(F.col("_id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "n_words")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
