@@ -6,8 +6,8 @@ one document, exact or near, count once: a line's documents are told apart by th
 other lines, which copies share. Boilerplate lines are removed; a document left with too few of its words is
 rejected, as are those that fail a rule on their own counts.
 
-The table of boilerplate lines is written to the shared folder; joined by host it holds at most the mean lines
-of a document over `max_share` for each host, and Spark broadcasts it only below its threshold.
+One pass over the texts writes counts and line hashes to the shared folder; what follows works on those. Lines and
+the table of boilerplate lines meet in a join on host and hash that Spark may broadcast or split.
 
 Defined results: a null text has no words and is rejected by `min_words`; it stays null; a null host is a host
 of its own; repeated rows get one result each; a document without a line is not depleted; columns beside id,
@@ -16,6 +16,8 @@ text and host are carried by `clean` and not read.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestframe.llm.texts import LOWER, UPPER, blank_words, on_key, written
+from contestframe.llm.texts import LOWER, UPPER, blank_words, keyed, on_key, written
 
+_PLAIN = str.maketrans(UPPER + "0123456789", LOWER + "0000000000")
+_BLANKS = re.compile("[\\x20\\x09-\\x0D]+")
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -77,57 +81,66 @@ def _counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def counts(text: Column) -> Column:
-    """Struct of the counts within one text."""
+def _line_words(text: str | None) -> list[dict]:
+    """The md5 of every normalised line with a word, and the words under it, repeats included."""
+    found: dict[str, int] = {}
+    for line in (text or "").split("\n"):
+        plain = _BLANKS.sub(" ", line.translate(_PLAIN)).strip(" ")
+        if plain:
+            digest = hashlib.md5(plain.encode(), usedforsecurity=False).hexdigest()
+            found[digest] = found.get(digest, 0) + plain.count(" ") + 1
+    return [{"line": k, "words": n} for k, n in sorted(found.items())]
 
-    def run(texts: pa.Array) -> pa.Array:
-        columns = zip(*map(_counts, texts.to_pylist()), strict=True) if len(texts) else [[]] * len(COUNTS)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(COUNTS))
-
-    return F.arrow_udf(run, ", ".join(f"{c} bigint" for c in COUNTS))(text)
 
+def measured(text: Column) -> Column:
+    """Struct of the counts within one text and of its line hashes in order, each with its words."""
+    line = pa.list_(pa.struct([("line", pa.string()), ("words", pa.int64())]))
 
-def _normal(line: Column) -> Column:
-    plain = F.translate(line, UPPER + "0123456789", LOWER + "0000000000")
-    return F.trim(F.regexp_replace(plain, "[\\x20\\x09-\\x0D]+", " "))
-
+    def run(texts: pa.Array) -> pa.Array:
+        bodies = texts.to_pylist()
+        columns = zip(*map(_counts, bodies), strict=True) if bodies else [[]] * len(COUNTS)
+        return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([_line_words(t) for t in bodies], line)], [*COUNTS, "lines"])
 
-def line_hashes(text: Column) -> Column:
-    """The md5 of every normalised line, null for a line without a word."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(_normal(x) != "", F.md5(_normal(x))))
+    return F.arrow_udf(run, ", ".join(f"{c} bigint" for c in COUNTS) + ", lines array<struct<line:string,words:bigint>>")(text)
 
 
-def boilerplate(docs: DataFrame, text: str, host: str, limits: Limits = LIMITS) -> DataFrame:
-    """host, line: hashes of the lines above the limits."""
-    lines = docs.select(F.col(host).alias("host"), F.array_sort(F.array_distinct(F.array_compact(line_hashes(F.col(text))))).alias("lines"))
-    each = lines.select("host", F.get("lines", F.lit(0)).alias("low"), F.coalesce(F.get("lines", F.lit(1)), F.lit("")).alias("next"), F.explode("lines").alias("line"))
+def boilerplate(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """host, line: the lines above the limits. `rows`: host and lines of every document."""
+    hashes = F.transform("lines", lambda x: x["line"])
+    each = rows.select("host", F.get(hashes, F.lit(0)).alias("low"), F.coalesce(F.get(hashes, F.lit(1)), F.lit("")).alias("next"), F.explode(hashes).alias("line"))
     told = each.select("host", "line", F.when(F.col("line") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("told_by"))
     # one row for each document that differs, then plain counts
     found = told.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limits.max_docs)
-    sizes = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("docs"))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("docs"))
     return on_key(found, sizes, "inner", ("host",)).where(F.col("n") > F.col("docs") * limits.max_share).select("host", "line")
 
 
-def clean(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = LIMITS) -> DataFrame:
-    """The rows as a struct `row`, with `left_text` (boilerplate lines removed), counts, `base_failed` and `kept`."""
-    known = docs.columns
-    bad = written(boilerplate(docs, text, host, limits)).groupBy("host").agg(F.collect_set("line").alias("bad"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in known]).alias("row"), F.col(text).alias("body"), F.col(host).alias("host"))
-    both = on_key(packed, bad, "left", ("host",)).withColumn("hashes", line_hashes(F.col("body")))
-    own = both.withColumn("own", F.when(F.col("bad").isNotNull(), F.array_intersect("hashes", "bad")))
-    pairs = F.arrays_zip(F.split("body", "\n").alias("line"), F.col("hashes").alias("hash"))
-    left = F.array_join(F.transform(F.filter(pairs, lambda p: p["hash"].isNull() | ~F.array_contains("own", p["hash"])), lambda p: p["line"]), "\n")
-    cut = own.select("row", F.col("body"), F.when(F.size("own") > 0, left).otherwise(F.col("body")).alias("left_text"), counts(F.col("body")).alias("c"))
-    words = F.size(F.filter(F.split("left_text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    n = F.col("c.n_words")
-    failed = (n < limits.min_words) | (F.col("c.n_repeat_words") * 100 > n * limits.max_repeat_percent)
-    left_words = F.when(F.col("left_text") == F.col("body"), n).otherwise(words)
-    depleted = left_words * 100 < n * limits.min_left_percent
-    noisy = F.col("c.n_symbols") * 100 > n * limits.max_symbol_percent
-    return cut.select("row", "left_text", "c.*", failed.alias("base_failed"), F.coalesce(~failed & ~depleted & ~noisy, F.lit(False)).alias("kept"))
-
-
-def kept_rows(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = LIMITS) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limits: Limits = LIMITS) -> DataFrame:
+    """_id, _sum (hash of the text), host, counts, `base_failed`, `kept` and `bad` (boilerplate lines) of every row."""
+    own = keyed(docs, doc_id, text, host)
+    rows = written(own.select("_id", "_sum", "host", F.monotonically_increasing_id().alias("n"), measured(F.col("_text")).alias("m")).select("_id", "_sum", "host", "n", "m.*"))
+    bad = written(boilerplate(rows, limits))
+    held = rows.select("n", "host", F.explode("lines").alias("x")).select("n", "host", "x.line", "x.words")
+    gone = on_key(held, bad, "left_semi", ("host", "line")).groupBy("n").agg(F.sum("words").alias("gone"), F.array_sort(F.collect_list("line")).alias("bad"))
+    both = rows.drop("lines").join(gone, "n", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    n = F.col("n_words")
+    failed = (n < limits.min_words) | (F.col("n_repeat_words") * 100 > n * limits.max_repeat_percent)
+    depleted = (n - F.col("gone")) * 100 < n * limits.min_left_percent
+    noisy = F.col("n_symbols") * 100 > n * limits.max_symbol_percent
+    return both.select("_id", "_sum", "host", *COUNTS, failed.alias("base_failed"), (~failed & ~depleted & ~noisy).alias("kept"), "bad")
+
+
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limits: Limits = LIMITS) -> DataFrame:
     """The rows of the documents that are kept, without their boilerplate lines."""
-    done = clean(docs, text, host, limits).where("kept")
+    kept = judge(docs, doc_id, text, host, limits).where("kept").groupBy("_id", "_sum", "host").agg(F.first("bad").alias("bad"))
+    packed = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("k"), F.col(text).alias("body"), F.col(host).alias("h")), "k", "body", "h", "row")
+    both = on_key(packed, written(kept), "inner", ("_id", "_sum", "host"))
+    plain = F.translate("_text", UPPER + "0123456789", LOWER + "0000000000")
+    pairs = F.arrays_zip(F.split("_text", "\n").alias("line"), F.split(plain, "\n").alias("plain"))
+
+    def stays(p: Column) -> Column:
+        return ~F.array_contains("bad", F.md5(F.trim(F.regexp_replace(p["plain"], "[\\x20\\x09-\\x0D]+", " "))))
+
+    left = F.array_join(F.transform(F.filter(pairs, stays), lambda p: p["line"]), "\n")
+    done = both.withColumn("left_text", F.when(F.col("bad").isNull(), F.col("_text")).otherwise(left))
     return done.select(*[F.col("left_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

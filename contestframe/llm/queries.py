@@ -39,7 +39,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.clean(docs).select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
+    return quality.judge(docs).select(F.col("_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,13 @@ def blank_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(LOWER_BYTES) if lower else raw).split()
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Columns `_id`, `_text` and `_sum`, the text's hash. Rows equal in `_id` and `_sum` are repeated rows."""
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_sum"))
+def keyed(docs: DataFrame, doc_id: str, text: str, host: str | None = None, *carry: str) -> DataFrame:
+    """Columns `_id`, `_text` and `_sum`, the text's hash; `host` where it is named, and what is carried.
+
+    Rows equal in `_id` and `_sum` are repeated rows.
+    """
+    more = [F.col(host).alias("host")] if host else []
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_sum"), *more, *carry)
 
 
 def on_key(left: DataFrame, right: DataFrame, how: str = "left", cols: tuple[str, ...] = ("_id", "_sum")) -> DataFrame:

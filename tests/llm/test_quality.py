@@ -17,18 +17,19 @@ def test_boilerplate_rejects_depleted_documents_only(spark, docs_of):
     rows += [(100 + k, f"{line.format(k)}\n" + " ".join(f"{c}{'xyz'[k % 3]}{k}word" for c in "abcdefghijklmnopqrstuvwxyz"), "en", "h", 0) for k in range(9)]
     rows += [(200 + k, "One copied text of a few lines\nwhich stands in many rows\nand is no boilerplate", "en", "h", 0) for k in range(20)]
     rows += [(300, None, "en", "h", 0), (301, "", None, None, 0), (302, "a b c d e f", None, None, 0), (302, "a b c d e f", None, None, 0), (None, "a b c d e f g", "en", None, 0)]
-    done = quality.clean(docs_of(rows), limits=limits)
-    got = [(r.row.doc_id, r.kept, r.left_text) for r in done.collect()]
+    got = [(r._id, r.kept) for r in quality.judge(docs_of(rows), limits=limits).collect()]
     assert len(got) == len(rows)
-    kept = {k for k, keep, _ in got if keep}
+    kept = {k for k, keep in got if keep}
     assert kept == {*range(100, 109), *range(200, 220), 302, None}
-    assert all(t.startswith("a") and "\n" not in t for k, _, t in got if k is not None and 100 <= k < 200)
     rows_kept = quality.kept_rows(docs_of(rows), limits=limits)
-    assert rows_kept.columns == docs_of(rows).columns and rows_kept.count() == 9 + 20 + 2 + 1
+    texts = [(r.doc_id, r.text) for r in rows_kept.collect()]
+    assert rows_kept.columns == docs_of(rows).columns and len(texts) == 9 + 20 + 2 + 1
+    assert all(t.startswith("a") and "\n" not in t for k, t in texts if k is not None and 100 <= k < 200)
+    assert dict(texts)[200] == dict((r[0], r[1]) for r in rows)[200]
 
 
 def test_counts(spark, docs_of):
     rows = [(1, "a b\tc\n\na b\tc\n #$%&|<>* é"), (2, None), (3, "x " * 100_000)]
-    got = {r.row.doc_id: tuple(r[c] for c in quality.COUNTS) for r in quality.clean(docs_of(rows)).collect()}
+    got = {r._id: tuple(r[c] for c in quality.COUNTS) for r in quality.judge(docs_of(rows)).collect()}
     assert got == {1: (8, 15, 8, 1, 6), 2: (0, 0, 0, 0, 0), 3: (100_000, 100_000, 0, 0, 100_000)}
-    assert quality.clean(docs_of([])).collect() == []
+    assert quality.judge(docs_of([])).collect() == [] and quality.kept_rows(docs_of([])).collect() == []
