@@ -97,9 +97,9 @@ def item_seeds(items: DataFrame, item_id: str, text: str, masks: tuple[str, ...]
 
 
 def _bitmap(table: DataFrame) -> np.ndarray:
-    """Set bits of all item seeds, gathered as bytes: never more than the bitmap itself."""
-    shift = 64 - FILTER_BITS
-    places = table.select(F.explode("seeds").alias("s")).select(F.shiftrightunsigned("s", shift).alias("p"))
+    """Bits of all item seeds, two for each, gathered as words of the bitmap: never more than the bitmap itself."""
+    high, low = F.shiftrightunsigned("s", 64 - FILTER_BITS), F.col("s").bitwiseAND((1 << FILTER_BITS) - 1)
+    places = table.select(F.explode("seeds").alias("s")).select(F.explode(F.array(high, low)).alias("p"))
     rows = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
@@ -128,7 +128,10 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     short = [int(r[0]) for r in table.select(F.size("words").alias("n")).where(f"n between 1 and {len(masks[0]) - 1}").distinct().collect()]  # fewer than the mask's length
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(table))
     own = keyed(docs, doc_id, text).select("_id", "_sum", "_text")
-    shift, six, low = np.uint64(64 - FILTER_BITS), np.uint64(6), np.uint64(63)
+    shift, mask, six, low = np.uint64(64 - FILTER_BITS), np.uint64((1 << FILTER_BITS) - 1), np.uint64(6), np.uint64(63)
+
+    def is_set(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        return (bits[spot >> six] >> (spot & low) & np.uint64(1)).astype(bool)
 
     def run(batch: pa.RecordBatch):
         bits, seen = sent.value, {}
@@ -137,8 +140,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             hashes = word_hashes(body, seen)
             found = [_all_seeds(hashes, masks), *(_all_seeds(hashes, ("1" * k,)) for k in short)]
             seed, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            spot = seed >> shift
-            hit = np.flatnonzero(bits[spot >> six] >> (spot & low) & np.uint64(1))
+            hit = np.flatnonzero(is_set(bits, seed >> shift))
+            hit = hit[is_set(bits, seed[hit] & mask)]
             if len(hit):
                 keep.append(n)
                 words.append(_signed(hashes))
