@@ -12,8 +12,8 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.check import TABLES, canonical  # noqa: E402
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-FREE = tuple(n for n in QUERIES if n.startswith(("m0", "r0", "r1")))
-# The learning and streaming queries are run by their own tests and by tools/check.py.
+FREE = tuple(n for n in QUERIES if n.startswith(("m0", "r0", "r1", "op")) or n == "pipeline")
+# Learning, streaming and training-data queries are run by their own tests and by tools/check.py.
 CHECKED = [n for n in QUERIES if n not in FREE or n in ("m05_market_offset", "m08_stacker_dataset", "r01_r11_candles")]
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 
