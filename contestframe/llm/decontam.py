@@ -4,9 +4,9 @@ A seed is a window of words of which a mask keeps some positions and ignores the
 word under an ignored position does not hide a match. The seeds of the benchmark items are hashed; the
 documents' seeds are looked up in a bitmap of fixed size made from those hashes, and what passes is joined with
 the items' seeds on the hash. Hits are gathered by document, item and diagonal (place in the document minus place in
-the item). Along each diagonal the words of both texts are compared: the stretch with the best sum of gains
-and losses is the overlap, in which a part of the words may differ. An overlap that covers enough of the item
-makes the document contaminated.
+the item). Along each diagonal the words of both texts are compared: the longest stretch in which enough words are
+equal is the overlap; a part of its words may differ. An overlap that covers enough of the item makes the
+document contaminated.
 
 Only documents with a hit send their word hashes to the verification, once each. The items' seeds are a plain join
 side: Spark broadcasts them if they are small and shuffles both sides by hash otherwise.
@@ -107,19 +107,23 @@ def _bitmap(table: DataFrame) -> np.ndarray:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, identity: float) -> tuple[int, int, int]:
-    """Start in the document, words and equal words of the best stretch of a diagonal.
+    """Start in the document, words and equal words of the longest stretch of a diagonal with this share of equal words.
 
-    An equal word gains 1 - identity, another loses identity: a stretch with a positive sum has more than that
-    share of equal words.
+    An equal word gains 1 - identity, another loses identity: the longest stretch between two equal words whose sum
+    is not negative, found in one pass over the least sums to start from and the largest sums to end at.
     """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = doc[low + diagonal : high + diagonal] == item[low:high]
-    gain = np.cumsum(np.where(same, 1.0 - identity, -identity))
-    base = np.concatenate([[0.0], gain[:-1]])
-    floor = np.minimum.accumulate(base)
-    end = int((gain - floor).argmax())
-    start = int(np.flatnonzero(base[: end + 1] == floor[end])[0])
-    return low + diagonal + start, end + 1 - start, int(same[start : end + 1].sum())
+    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - identity, -identity))])
+    least = np.minimum.accumulate(np.append(np.where(same, sums[:-1], np.inf), np.inf)).tolist()
+    most = np.maximum.accumulate(np.append(np.where(same, sums[1:], -np.inf)[::-1], -np.inf))[::-1].tolist()
+    start = begin = end = 0
+    for stop in range(len(sums)):
+        while start < stop and most[stop] < least[start] - 1e-9:
+            start += 1
+        if stop - start > end - begin:
+            begin, end = start, stop
+    return low + diagonal + begin, end - begin, int(same[begin:end].sum())
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), masks: tuple[str, ...] = MASKS) -> DataFrame:

@@ -52,6 +52,14 @@ def test_overlap_is_the_best_stretch():
     b = np.array([1, 2, 3, 4, 5, 6, 7], np.int64)
     assert decontam.overlap(a, b, 1, 0.8) == (1, 7, 6)
     assert decontam.overlap(b, a, -1, 0.8) == (0, 7, 6)
+    assert decontam.overlap(b, a + 100, -1, 0.8)[1:] == (0, 0)
+    rnd = random.Random(6)
+    for _ in range(300):
+        x = np.array([rnd.randrange(2) for _ in range(14)])
+        found = max((n for s in range(14) for n in range(1, 15 - s) if x[s] and x[s + n - 1] and x[s : s + n].sum() >= 0.8 * n - 1e-9), default=0)
+        assert decontam.overlap(x, np.ones(14, int), 0, 0.8)[1] == found
+    every_fifth = np.where(np.arange(50) % 5 == 4, 0, np.arange(50) + 1)
+    assert decontam.overlap(every_fifth, np.arange(50) + 1, 0, 0.8)[1] >= 44
 
 
 def test_empty_tables(spark, docs_of):
