@@ -42,21 +42,22 @@ PHRASES = (
     Template("apache", "apache license"),
     Template("gpl", "general public license"),
 )
-#: Customary notices.
+#: Customary notices. Names with a version have no slack, as another version is another license.
 NOTICES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", 2, 0.8),
-    Template("apache-2.0", "you may not use this file except in compliance with the license", 2, 0.8),
+    Template("apache-2.0", "apache license version 2 0"),
+    Template("apache-notice", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", 3, 0.6),
     Template("mit-notice", "released under the mit license", 1, 0.8),
     Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 3, 0.8),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", 2, 0.8),
+    Template("gpl-2.0", "gnu general public license version 2"),
+    Template("gpl-3.0", "gnu general public license version 3"),
     Template("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 3, 0.8),
-    Template("lgpl", "gnu lesser general public license", 1, 0.8),
+    Template("lgpl", "gnu lesser general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 2, 0.8),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 3, 0.8),
+    Template("mpl-2.0", "mozilla public license v 2 0"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 3, 0.8),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", 1, 0.8),
-    Template("cc-by-4.0", "licensed under cc by 4 0", 0, 1.0),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", 1, 0.85),
+    Template("cc-by-4.0", "cc by 4 0"),
+    Template("cc-by-nc-4.0", "cc by nc 4 0"),
+    Template("cc-by-sa-4.0", "cc by sa 4 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", 2, 0.8),
 )
 TEMPLATES = PHRASES + NOTICES
