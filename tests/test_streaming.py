@@ -60,8 +60,8 @@ def test_staged_alerts(spark, day):
 
 
 def test_baseline_age(spark, day):
-    got = S.run(S.baseline(S.drop_late(stream(spark, day))), ["end", "contest_id", "entrant_id"]).collect()
-    assert {r["entrant_id"] for r in got} == {1} and 5.0 in {r["base_price"] for r in got}
+    got = S.run(S.baseline(S.drop_late(stream(spark, day)), age_seconds=240), ["end", "contest_id", "entrant_id"]).collect()
+    assert {(r["entrant_id"], r["base_price"], r["age"]) for r in got} == {(1, 5.0, 240.0), (2, 8.0, 260.0)}
 
 
 def test_baseline_forgets_old_prices(spark, tmp_path):
