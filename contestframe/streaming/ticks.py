@@ -111,7 +111,7 @@ def flagged_moves(stream: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def episodes(stream: DataFrame, steam: Column, window: str, delay: str = TTL) -> DataFrame:
-    """Distinct sets of steaming entrants per contest, each reported once.
+    """Distinct sets of steaming entrants per contest, each reported once within the delay.
 
     Entrants are gathered per window as a set, which is bounded by the field, not by its ticks.
     """

@@ -82,7 +82,7 @@ def test_late_ticks_are_dropped(spark, tmp_path):
 
 
 def test_episodes_once(spark, day):
-    got = S.run(S.episodes(stream(spark, day), F.col("price") < 4.5, "1 minute", "1 minute"), mode="append").collect()
+    got = S.run(S.episodes(stream(spark, day), F.col("price") < 4.5, "1 minute", "10 minutes"), mode="append").collect()
     assert ("1", 1) in {(r["entrants"], r["contest_id"]) for r in got} and len(got) == len({(r["entrants"], r["contest_id"]) for r in got})
 
 
