@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestframe.llm.texts import sparing
+
 PACK_CHARS = 12_000_000  # characters of the documents of a pack
 SLICE_WORDS = 500_000  # words of a pack whose ids are put together at once
 #: Up to here NFC changes nothing and the splitting pattern means the same to both regex libraries.
@@ -243,4 +245,4 @@ def decode(ids: Column, config: str) -> Column:
         pa.default_memory_pool().release_unused()
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    return F.arrow_udf(run, "string")(ids)
+    return F.arrow_udf(sparing(run), "string")(ids)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestframe.llm.texts import LOWER, UPPER, blank_words, keyed, on_key, written
+from contestframe.llm.texts import LOWER, UPPER, blank_words, keyed, on_key, sparing, written
 
 _PLAIN = str.maketrans(UPPER + "0123456789", LOWER + "0000000000")
 _BLANKS = re.compile("[\\x20\\x09-\\x0D]+")
@@ -101,7 +101,7 @@ def measured(text: Column) -> Column:
         columns = zip(*map(_counts, bodies), strict=True) if bodies else [[]] * len(COUNTS)
         return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([_line_words(t) for t in bodies], line)], [*COUNTS, "lines"])
 
-    return F.arrow_udf(run, ", ".join(f"{c} bigint" for c in COUNTS) + ", lines array<struct<line:string,words:bigint>>")(text)
+    return F.arrow_udf(sparing(run), ", ".join(f"{c} bigint" for c in COUNTS) + ", lines array<struct<line:string,words:bigint>>")(text)
 
 
 def boilerplate(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:

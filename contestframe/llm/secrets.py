@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestframe.llm.texts import sparing
+
 ANY = True  # the query that every text meets
 
 
@@ -174,7 +176,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         rows = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in sorted(s)] for s in spans]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
-    found = F.arrow_udf(scan, "array<struct<kind:string,start:bigint,end:bigint>>")
+    found = F.arrow_udf(sparing(scan), "array<struct<kind:string,start:bigint,end:bigint>>")
     return docs.withColumn("spans", found(F.col(text)))
 
 
@@ -202,5 +204,5 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
             out.append("".join(pieces) + body[at:])
         return pa.array(out, pa.string())
 
-    done = find_secrets(packed, "body", rules).withColumn("body", F.arrow_udf(cut, "string")("body", "spans"))
+    done = find_secrets(packed, "body", rules).withColumn("body", F.arrow_udf(sparing(cut), "string")("body", "spans"))
     return done.select(*[F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in known])

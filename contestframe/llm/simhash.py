@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from contestframe.llm.components import components
-from contestframe.llm.texts import blank_words, keyed, written
+from contestframe.llm.texts import blank_words, keyed, sparing, written
 
 BLOCKS, WIDTH, RADIUS, SEED = 4, 16, 3, 42
 
@@ -58,7 +58,7 @@ def fingerprint(text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([text_fingerprint(t) for t in texts.to_pylist()], pa.int64())
 
-    return F.arrow_udf(run, "bigint")(text)
+    return F.arrow_udf(sparing(run), "bigint")(text)
 
 
 def _rest(block: int) -> int:

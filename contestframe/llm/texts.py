@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +55,21 @@ def on_key(left: DataFrame, right: DataFrame, how: str = "left", cols: tuple[str
     return left.join(other, cond, how).drop(*[f"{c}_r" for c in cols])
 
 
+def sparing(fn: Callable) -> Callable:
+    """The function, giving freed memory back to the system after each batch: idle Python workers would keep it."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        out = fn(*args)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        return out
+
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Runs `fn` on Arrow batches; it yields dicts of columns (lists or arrays) in the order of `schema`."""
 
