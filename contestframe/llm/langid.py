@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestframe.llm.texts import arrow_map
+from contestframe.llm.texts import arrow_map, written
 
 BUCKETS = 1 << 16
 PER_LANG = 2000
-PENALTY = 12.0  # in nats, for a switch of language
+PENALTY = 16.0  # in nats, for a switch of language
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: First code points of script ranges, in order.
 SCRIPTS = (
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
     rank = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= per_lang)
-    last = chosen.groupBy("lang").agg(F.max("h").alias("last"))
+    last = written(chosen.groupBy("lang").agg(F.max("h").alias("last")))  # one row for each language
     sample = rows.join(last, "lang").where("h <= last").select("lang", "text")
 
     def count(batch: pa.RecordBatch):
@@ -115,25 +115,37 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     return scores
 
 
+def _settled(scores: np.ndarray, best: int, penalty: float) -> bool:
+    """Whether staying with one language is the best path, told without following all paths.
+
+    A language that stays below `best` by half the penalty at worst, and never gets above it by more than the other
+    half, cannot repay a switch: coming from a third language saves no more than that one is above `best`.
+    """
+    lead = np.cumsum(scores - scores[:, [best]], axis=0)
+    low = np.minimum.accumulate(np.vstack([np.zeros(lead.shape[1]), lead[:-1]]), axis=0)
+    above = lead - penalty / 2 + np.maximum(penalty / 2, -low)
+    return above.max() <= penalty / 2 and above[-1].max() <= 0
+
+
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best language of every word when each switch costs the penalty."""
     best = int(scores.sum(axis=0).argmax())
-    gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty / 2:  # no stretch gains enough in another language to pay for a switch
+    if _settled(scores, best, penalty):
         return np.full(len(scores), best)
-    back = np.empty(scores.shape, np.int64)
-    stay = np.arange(scores.shape[1])
-    now = scores[0]
-    for t in range(1, len(scores)):
-        top = int(now.argmax())
-        jump = now[top] - penalty > now
-        back[t] = np.where(jump, top, stay)
-        now = np.where(jump, now[top] - penalty, now) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    path[-1] = now.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    rows = scores.tolist()
+    stay = range(scores.shape[1])
+    now, back = rows[0], []
+    for row in rows[1:]:
+        most = max(now)
+        top, least = now.index(most), most - penalty
+        back.append([k if now[k] >= least else top for k in stay])
+        now = [(x if x >= least else least) + y for x, y in zip(now, row, strict=True)]
+    path = np.empty(len(rows), np.int64)
+    at = now.index(max(now))
+    for t in range(len(rows) - 1, -1, -1):
+        path[t] = at
+        if t:
+            at = back[t - 1][at]
     return path
 
 
@@ -158,8 +170,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         learned = sent.value
         out = []
-        for at in range(0, len(texts), 512):
-            bodies = texts.slice(at, 512).to_pylist()
+        for at in range(0, len(texts), 2048):
+            bodies = texts.slice(at, 2048).to_pylist()
             words = [WORD.findall(t.lower()) if t else [] for t in bodies]
             numbers: dict[str, int] = {}
             places = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int64, len(ws)) for ws in words]
