@@ -6,7 +6,9 @@ by a 128-bit digest. A first pass counts one half of the digests, map-side first
 again; only their chunks go on to the exact comparison by the whole digest. Of the documents with a chunk the one
 with the smallest id keeps it. Runs of neighbouring chunks that others keep are repeated passages, if the
 run and the chunks on both sides of it, into which the passage may reach, have `min_words` words together and
-one document keeps most of the run. A chunk that a run repeats is counted once there.
+one document keeps most of the run. A chunk that a run repeats is counted once there. In the other runs, whose
+chunks several documents keep, every shortest stretch of chunks that is long enough by the same measure is looked
+up as a whole: it is repeated if a single document with a smaller id holds all of it in this order.
 
 Defined results: null and empty texts have no chunk; a text without a cut is one chunk; repeats within one
 document only are no finding; equal ids with different texts are different documents, equal rows are one; null
@@ -26,6 +28,8 @@ from contestframe.llm.texts import arrow_map, keyed, on_key, written
 MEAN_WORDS = 5  # words between two cuts
 MIN_WORDS = 50  # words of a passage
 MIN_RUN = 8  # words of a run in whole chunks
+FILTER_BITS = 22  # size of the bitmap of wanted chunks, as a power of two
+STRETCH = ("seq", "n", "start", "end", "n_words", "sum_low", "sum_high", "offset", "low", "high")
 #: One 16-bit number for each byte value, from its hash.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
 _BLANK = np.zeros(256, bool)
@@ -97,18 +101,104 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     placed = places.withColumn("run", F.col("seq") - F.row_number().over(doc))
     once = placed.groupBy("_id", "_sum", "run", "owner", "low", "high").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("words").alias("fresh"),
-        F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"))
+        F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"), F.min("seq").alias("seq"), F.count("*").alias("n"))
     parts = once.groupBy("_id", "_sum", "run", "owner").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sum("fresh").alias("fresh"),
-        F.min_by("before", "start").alias("before"), F.max_by("after", "end").alias("after"))
+        F.min_by("before", "start").alias("before"), F.max_by("after", "end").alias("after"), F.min("seq").alias("seq"), F.sum("n").alias("n"))
     runs = parts.groupBy("_id", "_sum", "run").agg(
         F.min_by("before", "start").alias("before"), F.max_by("after", "end").alias("after"),
         F.min_by("owner", F.struct(-F.col("fresh"), "owner")).alias("first_id"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
-        F.sum("fresh").alias("fresh"), F.max("fresh").alias("most"))
+        F.sum("fresh").alias("fresh"), F.max("fresh").alias("most"), F.min("seq").alias("seq"), F.sum("n").alias("n"))
     # chunks that meet by chance have a keeper each, those of a passage mostly the same one; one that repeats counts once
-    enough = (F.col("most") >= min_run) & (F.col("most") * 2 > F.col("fresh")) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words)
-    return runs.where(enough).select("_id", "_sum", "start", "end", "n_words", "first_id")
+    whole = (F.col("most") >= min_run) & (F.col("most") * 2 > F.col("fresh"))
+    long = written(runs.where((F.col("fresh") >= min_run) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words)).withColumn("whole", whole))
+    names = ["_id", "_sum", "start", "end", "n_words", "first_id"]
+    return long.where("whole").select(*names).unionByName(held_whole(long.where("not whole"), seen, min_words, min_run).select(*names))
+
+
+def among(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones, by a bitmap of fixed size: spares a shuffle of all the others."""
+    bit = F.xxhash64(*(F.col(c).cast("bigint") if c in ("seq", "low", "high") else F.col(c) for c in cols)).bitwiseAND((1 << FILTER_BITS) - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))
+    found = wanted.select(bit.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
+    table = rows.sparkSession.createDataFrame([(bits.tolist(),)], "bits array<bigint>")
+    shift = F.call_function("shiftrightunsigned", F.get("bits", F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int"))
+    return rows.join(F.broadcast(table), shift.bitwiseAND(1) == 1, "left_semi")
+
+
+def stretches(runs: DataFrame, seen: DataFrame, min_words: int, min_run: int) -> DataFrame:
+    """_id, _sum, seq, n, start, end, n_words, digest, and the place and digest of the largest chunk: from every chunk of
+    the runs the shortest stretch that is long enough with the chunks beside it."""
+    wanted = written(runs.select("_id", "_sum", F.col("seq").alias("first"), F.explode(F.sequence(F.col("seq"), (F.col("seq") + F.col("n") - 1).cast("int"))).alias("seq")))
+    chunk = F.struct(F.col("seq").alias("place"), *(F.col(c) for c in ("low", "high", "start", "end", "words", "before", "after")))
+    lists = on_key(wanted, among(seen, wanted, "_id", "_sum", "seq"), "inner", ("_id", "_sum", "seq")).groupBy("_id", "_sum", "first").agg(F.array_sort(F.collect_set(chunk)).alias("c"))
+
+    def run(batch: pa.RecordBatch):
+        rows, out = [], []
+        for row, c in enumerate(batch.column(2).to_pylist()):
+            words = n = fresh = 0
+            held: dict[tuple, int] = {}
+            for at, first in enumerate(c):
+                while n < len(c) and (fresh < min_run or words + first["before"] + c[n - 1]["after"] < min_words):
+                    key = c[n]["low"], c[n]["high"]
+                    held[key] = held.get(key, 0) + 1
+                    fresh += c[n]["words"] if held[key] == 1 else 0
+                    words += c[n]["words"]
+                    n += 1
+                if fresh < min_run or words + first["before"] + c[n - 1]["after"] < min_words:
+                    break
+                part = c[at:n]
+                large = max(part, key=lambda x: (x["words"], -x["place"]))
+                digest = xxhash.xxh3_128_digest(b"".join(x[k].to_bytes(8, "little", signed=True) for x in part for k in ("low", "high")))
+                rows.append(row)
+                out.append((first["place"], len(part), first["start"], part[-1]["end"], words, *np.frombuffer(digest, np.int64).tolist(), large["place"] - first["place"], large["low"], large["high"]))
+                key = first["low"], first["high"]
+                held[key] -= 1
+                fresh -= first["words"] if held[key] == 0 else 0
+                words -= first["words"]
+        kept = batch.take(pa.array(rows, pa.int64()))
+        columns = list(zip(*out, strict=True)) or [()] * len(STRETCH)
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.array(x, pa.int64()) for x in columns)], ["_id", "_sum", *STRETCH])
+
+    typed = runs.schema["_id"].dataType.simpleString()
+    return arrow_map(lists.select("_id", "_sum", "c"), run, f"_id {typed}, _sum bigint, " + ", ".join(f"{c} bigint" for c in STRETCH))
+
+
+def held_whole(runs: DataFrame, seen: DataFrame, min_words: int, min_run: int) -> DataFrame:
+    """Passages of the runs of which one document with a smaller id holds every chunk, in order.
+
+    Places with the largest chunk of a stretch give the stretches of the same shape there; a stretch belongs to the
+    smallest document that has its digest. Work grows with places and shapes, not with pairs of documents.
+    """
+    wanted = written(stretches(runs, seen, min_words, min_run))
+    shapes = written(wanted.select("low", "high", "offset", "n").distinct())
+    spots = among(seen, shapes, "low", "high").join(shapes, ["low", "high"]).select("_id", "_sum", (F.col("seq") - F.col("offset")).alias("at"), "n").where("at >= 0").distinct()
+    places = written(spots.select("_id", "_sum", "at", "n", F.posexplode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k", "seq")))
+    chunk = F.struct("k", "low", "high")
+    lists = on_key(places, among(seen, places, "_id", "_sum", "seq").select("_id", "_sum", F.col("seq").cast("bigint").alias("seq"), "low", "high"), "inner", ("_id", "_sum", "seq")).groupBy("_id", "_sum", "at", "n").agg(F.array_sort(F.collect_set(chunk)).alias("c")).where(F.size("c") == F.col("n"))
+
+    def run(lists: pa.Array) -> pa.Array:
+        out = [xxhash.xxh3_128_digest(b"".join(x[k].to_bytes(8, "little", signed=True) for x in c for k in ("low", "high"))) for c in lists.to_pylist()]
+        both = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["sum_low", "sum_high"])
+
+    sums = lists.select("_id", "_sum", F.arrow_udf(run, "sum_low bigint, sum_high bigint")("c").alias("s"))
+    first = sums.join(wanted.select(F.struct("sum_low", "sum_high").alias("s")).distinct(), "s", "left_semi").groupBy("s.sum_low", "s.sum_high").agg(F.min(F.struct("_id", "_sum")).alias("first"))
+    found = wanted.join(written(first), ["sum_low", "sum_high"]).where(~F.struct("_id", "_sum").eqNullSafe(F.col("first")))
+    # stretches that share a chunk are one passage
+    doc = Window.partitionBy("_id", "_sum").orderBy("seq", "n")
+    last = F.max(F.col("seq") + F.col("n") - 1).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    joined = found.withColumn("new", F.when(last >= F.col("seq"), 0).otherwise(1)).withColumn("passage", F.sum("new").over(doc))
+    spans = joined.groupBy("_id", "_sum", "passage").agg(
+        F.min("seq").alias("seq"), F.max(F.col("seq") + F.col("n") - 1).alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
+    keepers = joined.groupBy("_id", "_sum", "passage", F.col("first._id").alias("first_id")).agg(F.count("*").alias("n")).groupBy("_id", "_sum", "passage").agg(F.min_by("first_id", F.struct(-F.col("n"), "first_id")).alias("first_id"))
+    spans = on_key(spans, keepers, "inner", ("_id", "_sum", "passage"))
+    each = written(spans.withColumn("seq", F.explode(F.sequence("seq", "last"))))
+    words = among(seen, each, "_id", "_sum", "seq").select("_id", "_sum", F.col("seq").cast("bigint").alias("seq"), "words").distinct()
+    return on_key(each, words, "inner", ("_id", "_sum", "seq")).groupBy("_id", "_sum", "start", "end", "first_id").agg(F.sum("words").alias("n_words"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
