@@ -11,8 +11,8 @@ document contaminated.
 Only documents with a hit send their word hashes to the verification, once each. The items' seeds are a plain join
 side: Spark broadcasts them if they are small and shuffles both sides by hash otherwise.
 
-Defined results: null and empty texts and items have no seeds; an item shorter than the shortest mask is compared by
-a mask of its own length; ids may be null or repeated, and the best overlap of equal rows is one row; ties go to
+Defined results: null and empty texts and items have no seeds; an item of fewer than eight words is
+compared by masks of its own length; ids may be null or repeated, and the best overlap of equal rows is one row; ties go to
 the earlier place; other columns are not read.
 """
 
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from contestframe.llm.texts import arrow_map, keyed, on_key, terms, written
 
-#: Masks over word positions; each keeps six of nine and ignores three.
-MASKS = ("111001011", "110110101", "101101110")
+#: Masks over word positions; each keeps six. One of them fits into every stretch of 8 to 15 words of which 80 % are
+#: equal, wherever the others stand (a test tries all). Of a longer stretch, cut in two, one part is such a stretch.
+MASKS = ("1111011", "1011111", "11101101", "110010111", "101100111", "1110100011")
+SHORT = 8  # items with fewer words have masks of their own
 FILTER_BITS = 27  # size of the bitmap, as a power of two; fixed, whatever the benchmark's size
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,6 +82,11 @@ def _all_seeds(hashes: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray,
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def short_masks(size: int) -> tuple[str, ...]:
+    """Masks of the length of a short item: the whole, and from five words on, where one may differ, all but one word."""
+    return ("1" * size, *("1" * k + "0" + "1" * (size - k - 1) for k in range(1, size - 1) if size >= 5))
+
+
 def item_seeds(items: DataFrame, item_id: str, text: str, masks: tuple[str, ...]) -> DataFrame:
     """item, words (hashes), seed, at: every seed of every item."""
     kind = pa.list_(pa.int64())
@@ -87,7 +94,7 @@ def item_seeds(items: DataFrame, item_id: str, text: str, masks: tuple[str, ...]
     def run(batch: pa.RecordBatch):
         seen: dict[bytes, int] = {}
         words = [word_hashes(t, seen) for t in batch.column(1).to_pylist()]
-        found = [_all_seeds(h, masks if len(h) >= len(masks[0]) else ("1" * len(h),)) for h in words]
+        found = [_all_seeds(h, masks if len(h) >= SHORT else short_masks(len(h))) for h in words]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([_signed(h) for h in words], kind), pa.array([_signed(s) for s, _ in found], kind), pa.array([p for _, p in found], kind)],
             ["item", "words", "seeds", "places"])
@@ -129,7 +136,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, identity: float) -
 def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), masks: tuple[str, ...] = MASKS) -> DataFrame:
     """_id, _sum (hash of the text), item, start, n_words, n_equal, item_words: the best overlap of each document and item."""
     table = written(item_seeds(items, item_id, item_text, masks))
-    short = [int(r[0]) for r in table.select(F.size("words").alias("n")).where(f"n between 1 and {len(masks[0]) - 1}").distinct().collect()]  # fewer than the mask's length
+    short = [int(r[0]) for r in table.select(F.size("words").alias("n")).where(f"n between 1 and {SHORT - 1}").distinct().collect()]
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(table))
     own = keyed(docs, doc_id, text).select("_id", "_sum", "_text")
     shift, mask, six, low = np.uint64(64 - FILTER_BITS), np.uint64((1 << FILTER_BITS) - 1), np.uint64(6), np.uint64(63)
@@ -142,7 +149,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         keep, words, hits, places = [], [], [], []
         for n, body in enumerate(batch.column(2).to_pylist()):
             hashes = word_hashes(body, seen)
-            found = [_all_seeds(hashes, masks), *(_all_seeds(hashes, ("1" * k,)) for k in short)]
+            found = [_all_seeds(hashes, masks), *(_all_seeds(hashes, short_masks(k)) for k in short)]
             seed, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             hit = np.flatnonzero(is_set(bits, seed >> shift))
             hit = hit[is_set(bits, seed[hit] & mask)]

@@ -1,5 +1,6 @@
 """Decontamination against a comparison of every document with every item along all diagonals."""
 
+import itertools
 import random
 
 import numpy as np
@@ -47,6 +48,30 @@ def test_every_three_substitutions_leave_a_seed():
         assert any((decontam.seeds(item, m, n) == decontam.seeds(doc, m, n)).any() for n, m in enumerate(decontam.MASKS))
 
 
+def test_every_pattern_inside_the_limits_leaves_a_seed():
+    for size in range(1, 17):
+        item = np.arange(1, size + 1).astype(np.uint64)
+        masks = decontam.MASKS if size >= decontam.SHORT else decontam.short_masks(size)
+        for k in range(size // 5 + 1):
+            for places in itertools.combinations(range(1, size - 1) if size < decontam.SHORT else range(size), k):
+                doc = item.copy()
+                doc[list(places)] = 99
+                assert any((decontam.seeds(item, m, n) == decontam.seeds(doc, m, n)).any() for n, m in enumerate(masks)), (size, places)
+
+
+def test_short_overlaps(spark, docs_of):
+    rnd = random.Random(12)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(5, 17)] + [(30, " ".join(f"long{k}" for k in range(15)))]
+    docs = []
+    for n, text in items:
+        for places in itertools.combinations(range(1, n - 1), n // 5) if n < 30 else ():
+            w = ["other" if k in places else x for k, x in enumerate(text.split())]
+            docs.append((len(docs), " ".join([*words(rnd, 5), *w, *words(rnd, 5)])))
+    docs.append((-1, " ".join([*words(rnd, 20), *items[-1][1].split()[3:11], *words(rnd, 20)])))
+    got = found(spark, docs, items, docs_of)
+    assert {d for d, _ in got} == {d for d, _ in docs} and got[(-1, 30)].n_words == 8
+
+
 def test_overlap_is_the_best_stretch():
     a = np.array([9, 1, 2, 3, 0, 5, 6, 7, 8, 8, 8], np.int64)
     b = np.array([1, 2, 3, 4, 5, 6, 7], np.int64)
