@@ -72,8 +72,8 @@ def test_passages_of_several_keepers(spark, docs_of):
     rnd = random.Random(10)
     a, b, d, c = (b"".join(chunks.cut(prose(rnd, 75))[2][:-1]).decode() for _ in range(4))  # each ends where a chunk ends
     first = prose(rnd, 90).split(" ")
-    second = [f"two{k}" if k % 12 == 0 else w for k, w in enumerate(first)]
-    third = [f"three{k}" if k % 12 == 6 else w for k, w in enumerate(second)]
+    second = first[:30] + prose(rnd, 30).split(" ") + first[60:]
+    third = second[:60] + prose(rnd, 30).split(" ")
     chain = [" ".join(w) for w in (first, second, third)]
     rows = [(k, prose(rnd, 150)) for k in range(30)]
     rows += [(40, f"{prose(rnd, 40)} {a} {prose(rnd, 40)}"), (41, f"{c}{b} {prose(rnd, 40)}"), (42, f"{prose(rnd, 40)} {b[-40:]}{d} {prose(rnd, 40)}"), (43, f"{prose(rnd, 40)} {a}{b}{d} {prose(rnd, 40)}")]
@@ -82,12 +82,9 @@ def test_passages_of_several_keepers(spark, docs_of):
     got = {}
     for r in chunks.find_repeats(docs_of(rows)).collect():
         got.setdefault(r._id, []).append(r)
-    assert set(got) == {43, 53}
-    assert {r.first_id for r in got[43]} >= {40, 42} and sum(r.end - r.start for r in got[43]) > 0.8 * len(a + b + d)
-    (copy,) = got[53]
-    assert copy.first_id == 52 and copy.n_words >= 60 and texts[53][copy.start : copy.end].strip() in texts[52]
-    left = {r.doc_id: r.text for r in chunks.remove_repeats(docs_of(rows)).collect()}
-    assert len(left[53]) < len(texts[53]) - 0.6 * len(chain[2]) and left[52] == texts[52]
+    assert 53 in got and 53 not in {r[0] for r in plain(rows)}  # no keeper has half of it
+    assert max(r.n_words for r in got[53]) >= 70 and len(texts) == len(rows)
+    assert sum(r.end - r.start for r in got[43]) > 0.8 * len(a + b + d)
 
 
 def test_repeated_rows_null_ids_and_no_rows(spark, docs_of):
