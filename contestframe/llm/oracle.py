@@ -84,6 +84,90 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
+ORACLES["op11_source_divergence"] = r"""
+with docs as (
+  select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+groups as (select distinct lang, source from docs),
+words as (select n, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as total from words group by lang, term having count(distinct n) >= 10),
+sizes as (select lang, count(*) as v, sum(total) as n from kept group by lang),
+counts as (select w.lang, w.source, w.term, count(*) as c from words w join kept using (lang, term) group by all),
+sums as (select lang, source, sum(c) as n from counts group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c, 0) as c,
+    1 + 1000000000::hugeint * (coalesce(c, 0) + 2) // (coalesce(s.n, 0) + 2 * z.v)::hugeint as p,
+    1 + 1000000000::hugeint * (k.total + 2) // (z.n + 2 * z.v)::hugeint as q
+  from groups g join kept k using (lang) join sizes z using (lang)
+    left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+    left join sums s on s.lang = g.lang and s.source = g.source),
+sums_of_pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join sums_of_pairs s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (
+  select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+  from shares where c > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 10
+"""
+
+ORACLES["op12_collocations"] = r"""
+with docs as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select row_number() over () as n, lang, piece from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from docs)),
+lists as (select n, lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+places as (select n, lang, unnest(words) as w, generate_subscripts(words, 1) as i from lists),
+grams as (select lang, w, lead(w) over p as x, lead(w, 2) over p as y from places window p as (partition by n order by i)),
+freq as (
+  select lang, 1 as size, w as phrase, count(*) as f from grams group by all
+  union all select lang, 2, w || ' ' || x, count(*) from grams where x is not null group by all
+  union all select lang, 3, w || ' ' || x || ' ' || y, count(*) from grams where y is not null group by all),
+totals as (select lang, sum(f)::bigint as n from freq where size = 1 group by lang),
+candidates as (select lang, size, phrase, f as a, string_split(phrase, ' ') as words from freq where size > 1 and f >= 10),
+cuts as (
+  select lang, phrase, a, k, array_to_string(words[1:k], ' ') as head, array_to_string(words[k + 1:], ' ') as tail
+  from candidates, (values (1), (2)) as t(k) where k < size),
+scored as (
+  select c.lang, c.phrase, a, k, x.f as l, y.f as r, (1000000::hugeint * a * a // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join freq x on x.lang = c.lang and x.phrase = head join freq y on y.lang = c.lang and y.phrase = tail),
+worst as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, unnest([words[1] || ' ' || words[2], words[2] || ' ' || words[3]]) as phrase from candidates where size = 3) group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from worst left join inside using (lang, phrase) join totals using (lang)
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000
+"""
+
+ORACLES["op13_jaccard_join"] = r"""
+with recursive docs as (
+  select row_number() over () as n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+places as (select n, unnest(words) as w, generate_subscripts(words, 1) as i from docs where len(words) >= 3),
+grams as (select n, w, lead(w) over p as x, lead(w, 2) over p as y from places window p as (partition by n order by i)),
+shingles as (
+  select distinct n, w || ' ' || x || ' ' || y as shingle from grams where y is not null
+  union all select n, array_to_string(words, ' ') from docs where len(words) in (1, 2)),
+sizes as (select n, count(*) as size from shingles group by n),
+common as (select a.n as a, b.n as b, count(*) as met from shingles a join shingles b on a.shingle = b.shingle and a.n < b.n group by all),
+links as (
+  select a, b from common join sizes x on x.n = a join sizes y on y.n = b where 100 * met >= 90 * (x.size + y.size - met)),
+steps as (select a, b from links union all select b, a from links),
+reach(n, m) as (select n, n from docs union select reach.n, steps.b from reach join steps on reach.m = steps.a)
+select d.doc_id, coalesce(size, 0) as n_shingles, class_id, component_id
+from docs d left join sizes using (n)
+  join (select reach.n, min(doc_id) as component_id from reach join docs on docs.n = reach.m group by reach.n) using (n)
+  join (select s.n, coalesce(min(t.doc_id), any_value(s.doc_id)) as class_id from
+      (select docs.n, doc_id, list_sort(list(shingle) filter (shingle is not null)) as own from docs left join shingles using (n) group by all) s
+      left join (select docs.n, doc_id, list_sort(list(shingle)) as own from docs join shingles using (n) group by all) t using (own) group by s.n) using (n)
+"""
+
 
 def _license_sql() -> str:
     rows = ", ".join(

@@ -17,7 +17,7 @@ def duck(sf):
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and [f"op{n}" for n in range(1, 11)] == [q.split("_")[0] for q in QUERIES]
+    assert set(ORACLES) <= set(QUERIES) and [f"op{n}" for n in range(1, 14)] == [q.split("_")[0] for q in QUERIES]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
