@@ -9,7 +9,7 @@ from contestframe.catalog.history import R, base, keyed
 from contestframe.functions import columns as C
 from contestframe.operators import field
 from contestframe.scale import attach
-from contestframe.sources.views import oversized
+from contestframe.sources.views import oversized, payouts
 
 CARD = """card as (select *, (1.0/(draw+2)) / sum(1.0/(draw+2)) over (partition by contest_id) as p,
     (1/price) / sum(1/price) over (partition by contest_id) as q,
@@ -299,24 +299,27 @@ def f15(spark, sf):
 @register(
     "f17_combo_table",
     f"""with {HARVILLE},
-pr as (select * from (values (1, 2)) t(x, y)),
+pr as (select distinct contest_id, cast(split_part(combo, '/', 1) as bigint) as x, cast(split_part(combo, '/', 2) as bigint) as y from payouts where pool in ('QUINELLA', 'QPL')),
 pq as (select a.contest_id, x, y, a.p / (1 - a.p) * b.p + b.p / (1 - b.p) * a.p as q
-  from pr join card a on a.finish_rank = x join card b on a.contest_id = b.contest_id and b.finish_rank = y where a.n > 2),
+  from pr join card a on pr.contest_id = a.contest_id and a.finish_rank = x join card b on a.contest_id = b.contest_id and b.finish_rank = y where a.n > 2),
 tr as (select a.contest_id, a.finish_rank as i, b.finish_rank as j, d.finish_rank as k,
     a.p / (1-a.p) * b.p / (1-a.p-b.p) * d.p as v
   from card a join card b on a.contest_id = b.contest_id and a.finish_rank <> b.finish_rank
   join card d on a.contest_id = d.contest_id and d.finish_rank not in (a.finish_rank, b.finish_rank)),
-t3 as (select contest_id, x, y, sum(v) as qp3 from pr join tr
-  on (i = x or j = x or k = x) and (i = y or j = y or k = y) group by 1, 2, 3)
+t3 as (select tr.contest_id, x, y, sum(v) as qp3 from pr join tr
+  on pr.contest_id = tr.contest_id and (i = x or j = x or k = x) and (i = y or j = y or k = y) group by 1, 2, 3)
 select contest_id, 'PLACE' as pool, cast(finish_rank as bigint) as leg_a, cast(null as bigint) as leg_b,
   {R('p + r2 + r3')} as probability from ph where n > 2
 union all select contest_id, 'QUINELLA', x, y, {R('q')} from pq
 union all select contest_id, 'QPL', x, y, {R('qp3')} from t3""",
-    "runs",
+    "runs payouts",
 )
 def f17(spark, sf):
+    """Place and both pair pools, for every pair that the payouts list."""
     df = card(spark, sf).where("n > 2")
-    pairs = df.where("finish_rank = 1").select("contest_id", F.lit(1).alias("leg_a"), F.lit(2).alias("leg_b"))
+    legs = F.split("combo", "/")
+    paid = payouts(spark, sf, df).where(F.col("pool").isin("QUINELLA", "QPL"))
+    pairs = paid.select("contest_id", F.get(legs, F.lit(0)).cast("int").alias("leg_a"), F.get(legs, F.lit(1)).cast("int").alias("leg_b")).distinct()
     out = field.combo_table(pairs, df, "contest_id", "finish_rank", "p", oversized(spark, sf))
     return out.select(
         big("contest_id").alias("contest_id"), "pool", big("leg_a").alias("leg_a"), big("leg_b").alias("leg_b"),

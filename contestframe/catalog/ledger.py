@@ -774,6 +774,29 @@ def k09(spark, sf):
     return keyed(core, r4("ev").alias("ev"), r4(F.col("kelly") * 100).alias("kelly_pct"))
 
 
+@register(
+    "k09_overlay_pairs",
+    f"""with {CARD}, c as (select * from card where n >= 3), e as (select *, p * 1.5 * price * power(4.0/price, 1.25) as ratio, round((weight - 105) / 30, 9) as intent from c),
+b as (select contest_id, finish_rank from e where (price between 4 and 8 and ratio >= 0.22) or (price between 3 and 9 and ratio >= 0.12)),
+s as (select contest_id, finish_rank, intent from e where price >= 7 and intent >= 0.4),
+l as (select b.contest_id, b.finish_rank as x, s.finish_rank as y, row_number() over (partition by b.contest_id, b.finish_rank order by intent desc, s.finish_rank) as r
+  from b join s on b.contest_id = s.contest_id and b.finish_rank <> s.finish_rank),
+m as (select * from l where r <= 2),
+tr as (select a.contest_id, a.finish_rank as i, b.finish_rank as j, d.finish_rank as k, a.p / (1-a.p) * b.p / (1-a.p-b.p) * d.p as v, a.q / (1-a.q) * b.q / (1-a.q-b.q) * d.q as u
+  from c a join c b on a.contest_id = b.contest_id and a.finish_rank <> b.finish_rank join c d on a.contest_id = d.contest_id and d.finish_rank not in (a.finish_rank, b.finish_rank)),
+t3 as (select m.contest_id, x, y, sum(v) as model, sum(u) as market from m join tr on m.contest_id = tr.contest_id and (i = x or j = x or k = x) and (i = y or j = y or k = y) group by 1, 2, 3)
+select contest_id, cast(x as bigint) as banker, cast(y as bigint) as satellite, {R('model')} as model_qp3, {R('market')} as market_qp3, {R('model / market - 1')} as edge
+from t3 order by t3.model / t3.market desc, contest_id, x, y limit 10""",
+    "runs",
+)
+def k09_pairs(spark, sf):
+    """The best banker and satellite pairs of the day, priced under the model and the market."""
+    df = card(spark, sf).where("n >= 3").withColumns({"kp": F.col("p") * 1.5, "intent": F.round((F.col("weight") - 105) / 30, 9)})
+    df = df.withColumn("ratio", C.ev("kp", "price") + 1)
+    _, pairs = policy.scan_overlays(df, "contest_id", "finish_rank", "kp", "price", "ratio", "intent", oversized=views.oversized(spark, sf))
+    return pairs.select(*[big(c).alias(c) for c in ("contest_id", "banker", "satellite")], *[r4(c).alias(c) for c in ("model_qp3", "market_qp3", "edge")])
+
+
 @register(
     "k12_value_bets",
     f"""with {CARD}, e as (select *, p * 1.5 * price * power(4.0/price, 1.25) - 1 as ev from card),

@@ -11,6 +11,7 @@ from contestframe.catalog.history import R
 from contestframe.catalog.tickq import POST, at, us
 from contestframe.config import CFG
 from contestframe.sources import views
+from contestframe.streaming import contests as K
 from contestframe.streaming import ticks as S
 
 
@@ -128,11 +129,83 @@ def r10(spark, sf):
     return out.select(big("contest_id").alias("contest_id"), "entrants")
 
 
-@register("r06_stream_lifecycle")
+def quotes_sql(delay: int) -> str:
+    """One quote per entrant and second, those that the watermark has passed; `delay` in seconds."""
+    return f"""qa as (select contest_id, entrant_id, (epoch_us(ts) // 1000000 + 1) * 1000000 as t_us, arg_max(price, ts) as price from ticks group by 1, 2, 3),
+q as (select * from qa where t_us <= (select epoch_us(max(ts)) // 1000 * 1000 - {delay * 1000000} from ticks))"""
+
+
+POST_US = f"epoch_us(timestamp '{POST}')"
+SLOW = dataclasses.replace(CFG, frozen=3 * 3600.0, turbo_lead=86400.0)
+STATE_SQL = f"""case when ({POST_US} - t_us) / 1e6 >= 86400 then 'PRE_POST' when {POST_US} >= t_us then 'TURBO_APPROACH'
+    when polls >= 2 and (t_us - moved) / 1e6 >= 10800 then 'OFFICIAL_CLOSED' else 'LOADING_DELAY' end"""
+LIFECYCLE = f"""{quotes_sql(3600)},
+lg as (select *, lag(price) over (partition by contest_id, entrant_id order by t_us) as prev from q),
+polled as (select contest_id, t_us, max(case when prev <> price then 1 else 0 end) as changed from lg group by 1, 2),
+instants as (select contest_id, t_us, 1 as poll, changed from polled union all select contest_id, t_us + 10800000000, 0, 0 from polled
+  union all select contest_id, {POST_US} - 86400000000 + 1, 0, 0 from polled union all select contest_id, {POST_US} + 1, 0, 0 from polled),
+merged as (select contest_id, t_us, max(poll) as poll, max(changed) as changed from instants where t_us <= (select max(t_us) from q) group by 1, 2),
+known as (select contest_id, t_us, sum(poll) over w as polls, coalesce(max(case when changed = 1 then t_us end) over w, min(case when poll = 1 then t_us end) over w) as moved
+  from merged window w as (partition by contest_id order by t_us)),
+states as (select contest_id, t_us, {STATE_SQL} as state from known where polls > 0),
+steps as (select *, lag(state) over w as before, coalesce(sum(case when state = 'OFFICIAL_CLOSED' then 1 else 0 end) over (partition by contest_id order by t_us rows between unbounded preceding and 1 preceding), 0) as ended
+  from states window w as (partition by contest_id order by t_us)),
+changes as (select * from steps where state is distinct from before and ended = 0)"""
+
+
+@register("r06_stream_lifecycle", f"with {LIFECYCLE} select contest_id, t_us, state from changes", "ticks")
 def r06(spark, sf):
-    slow = dataclasses.replace(CFG, frozen=3 * 3600.0, turbo_lead=86400.0)
-    out = S.run(S.lifecycle(stream(spark, sf), posts(spark, sf), "1 hour", slow), mode="append", rocksdb=True)
-    return out.select(big("contest_id").alias("contest_id"), us("at"), "state")
+    """Lifecycle over quotes that lag by up to an hour; a market is frozen after three hours here, as ticks are sparse."""
+    return K.lifecycle(stream(spark, sf), posts(spark, sf), "1 hour", SLOW).select("contest_id", F.col("at").alias("t_us"), "state")
+
+
+@register(
+    "r10_state_transitions",
+    f"""with {LIFECYCLE}, t as (select *, ({POST_US} - t_us) / 1e6 as left_s from changes where state <> 'PRE_POST'),
+e as (select *, case when left_s > 45 then left_s else greatest(left_s, 20) end as t_eff from t)
+select contest_id, t_us, before, state, {R('t_eff')} as t_eff, {R("case when state in ('TURBO_APPROACH', 'LOADING_DELAY') then 0.85 else 0.85 - 0.6 / (1 + exp(-0.02 * (t_eff - 360))) end")} as weight from e""",
+    "ticks",
+)
+def r10_states(spark, sf):
+    """Changes into a late state, with the state before and the market weight from then on."""
+    out = K.audited(K.lifecycle(stream(spark, sf), posts(spark, sf), "1 hour", SLOW), SLOW)
+    return out.select("contest_id", F.col("at").alias("t_us"), "before", "state", r4("t_eff").alias("t_eff"), r4("weight").alias("weight"))
+
+
+@register(
+    "r10_steam_transitions",
+    """with w as (select contest_id, epoch_us(time_bucket(interval 1 day, ts, timestamp '1970-01-01')) + 86400000000 as t_us,
+  coalesce(list_sort(list(distinct entrant_id) filter (where price > 18)), []) as ids from ticks group by 1, 2),
+p as (select *, coalesce(lag(ids) over (partition by contest_id order by t_us), []) as prev from w where t_us <= (select epoch_us(max(ts)) // 1000 * 1000 - 86400000000 from ticks)),
+d as (select contest_id, t_us, array_to_string(list_filter(ids, lambda x: not list_contains(prev, x)), ',') as entered, array_to_string(list_filter(prev, lambda x: not list_contains(ids, x)), ',') as gone,
+  len(prev) as n_before, len(ids) as n_after from p)
+select * from d where entered <> '' or gone <> ''""",
+    "ticks",
+)
+def r10_steam(spark, sf):
+    out = K.steam_transitions(stream(spark, sf), F.col("price") > 18, "1 day", "1 day", keep=400 * 86400)
+    return out.select("contest_id", F.col("at").alias("t_us"), F.array_join("entered", ",").alias("entered"), F.array_join("gone", ",").alias("gone"), big("n_before").alias("n_before"), big("n_after").alias("n_after"))
+
+
+@register(
+    "s05_tick_sink",
+    f"""with {quotes_sql(3600)},
+lg as (select *, lag(price) over w as prev, lag(t_us) over w as prev_at from q window w as (partition by contest_id, entrant_id order by t_us)),
+fl as (select *, coalesce(prev <> price and prev_at >= t_us - 691200000000, false) as changed from lg),
+b as (select contest_id, entrant_id, t_us, price,
+    coalesce(last_value(price) over (partition by contest_id, entrant_id order by t_us range between 691200000000 preceding and 172800000000 preceding),
+      first_value(price) over (partition by contest_id, entrant_id order by t_us range between 691200000000 preceding and 1 preceding)) as base,
+    coalesce(max(case when changed then t_us end) over f, min(t_us) over f) as moved, case when min(t_us) over f < t_us then 2 else 1 end as polls
+  from fl window f as (partition by contest_id order by t_us range between 691200000000 preceding and current row)),
+s as (select *, {STATE_SQL} as state from b)
+select contest_id, entrant_id, t_us, {R('price')} as price, {R('(price - base) / base')} as velocity, state, state = 'OFFICIAL_CLOSED' as is_final, {R(f'({POST_US} - t_us) / 1e6')} as time_to_post,
+  strftime(make_timestamp(t_us), '%Y-%m-%d') as day from s""",
+    "ticks",
+)
+def s05_sink(spark, sf):
+    """Quotes labelled on their way into the store: velocity over two days, a memory of eight."""
+    out = K.sink_ticks(stream(spark, sf), posts(spark, sf), delay="1 hour", window=2 * 86400, keep=8 * 86400, cfg=SLOW)
+    return out.select("contest_id", "entrant_id", F.col("at").alias("t_us"), *[r4(c).alias(c) for c in ("price", "velocity")], "state", "is_final", r4("time_to_post").alias("time_to_post"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @register(

@@ -53,9 +53,7 @@ from ticks group by 1, 2""",
 )
 def j06(spark, sf):
     df = views.ticks(spark, sf)
-    back = joins.asof_frame(df, KEYS, "ts", at(DEC), ["price"]).select(*KEYS, F.col("price").alias("before_price"))
-    ahead = joins.asof_forward(df, KEYS, "ts", at(DEC), ["price"]).select(*KEYS, F.col("price").alias("after_price"))
-    out = back.join(ahead, KEYS)
+    out = joins.asof_frames(df, KEYS, "ts", at(DEC), ["price"])
     return ids(out, r4("before_price").alias("before_price"), r4("after_price").alias("after_price"))
 
 
@@ -337,16 +335,20 @@ def a20(spark, sf):
 @register(
     "k08_daily_card",
     f"""with {SCORED}, m as (select contest_id from scored group by 1 having count(*) >= 8 and (sum(1/price) - 1) * 100 >= 15),
-pl as (select s.*, case verdict when 'DUAL VALUE' then 'WP' when 'EXOTIC' then 'EX' when 'PRIME W' then 'W' when 'PRIME P' then 'P' end as play from scored s join m using (contest_id) where verdict <> 'PASS'),
+ar as (select *, case when p > 0 and place_price > 1 then (1/place_price) / sum(case when p > 0 and place_price > 1 then 1/place_price end) over (partition by contest_id)
+    / (p / sum(case when p > 0 and place_price > 1 then p end) over (partition by contest_id)) end as ratio from scored),
+ab as (select *, coalesce(count(ratio) over (partition by contest_id) >= 2 and median(ratio) over (partition by contest_id) > 0 and ratio >= 1.5 * median(ratio) over (partition by contest_id) - 1e-9, false) as absorbed from ar),
+pl as (select s.*, case verdict when 'DUAL VALUE' then 'WP' when 'EXOTIC' then 'EX' when 'PRIME W' then 'W' when 'PRIME P' then 'P' end as play from ab s join m using (contest_id) where verdict <> 'PASS'),
 ch as (select *, case when play in ('W', 'WP') then p * 100 else place_prob * 100 end as chance from pl)
-select contest_id, entrant_id, play, case when score >= 70 or steam or chance >= case when play in ('W', 'WP') then 20 else 40 end then 'HIGH' else 'MED' end as tier, {R('chance')} as chance,
+select contest_id, entrant_id, play, concat_ws(' · ', case when play in ('W', 'WP') then 'EV-W x' || printf('%.2f', ev + 1) end, case when play in ('P', 'WP', 'EX') and place_ev is not null then 'EV-P x' || printf('%.2f', place_ev) end,
+    case when steam then 'STEAM' end, case when absorbed then 'PLACE-ABSORB' end, case when score >= 75 then 'S-HOT' end) as why, case when score >= 70 or steam or chance >= case when play in ('W', 'WP') then 20 else 40 end then 'HIGH' else 'MED' end as tier, {R('chance')} as chance,
   {R("case when play in ('W', 'WP') then case when p * 4 >= 1.15 then 1.15 / p else power(1.15 / (p * power(4.0, 1.25)), -4.0) end end")} as buy_win,
   {R("case when play in ('P', 'WP', 'EX') then case when place_price > 4 then 1.3 else 1.15 end / place_prob end")} as buy_place from ch""",
     "runs ticks",
 )
 def k08(spark, sf):
     out = policy.daily_card(scored(spark, sf), "contest_id")
-    return ids(out, "play", "tier", *[r4(c).alias(c) for c in ("chance", "buy_win", "buy_place")])
+    return ids(out, "play", "why", "tier", *[r4(c).alias(c) for c in ("chance", "buy_win", "buy_place")])
 
 
 @register(

@@ -279,9 +279,9 @@ def elapsed_seconds(col: Column | str) -> Column:
 
 
 def position_path(col: Column | str) -> tuple[Column, Column]:
-    """'7 5 1' -> (early position 7, places gained 6); NULL with fewer than two numbers."""
+    """'7 5 1' -> (early position 7, places gained 6); NULL with fewer than two numbers, and for one beyond an INT."""
     digits = F.transform(
-        F.filter(F.split(F.trim(_c(col)), r"\s+"), lambda t: t.rlike(r"^\d+$")), lambda t: t.cast("int")
+        F.filter(F.split(F.trim(_c(col)), r"\s+"), lambda t: t.rlike(r"^\d+$")), lambda t: t.try_cast("int")
     )
     enough = F.size(digits) >= 2
     first = F.when(enough, F.get(digits, F.lit(0)))

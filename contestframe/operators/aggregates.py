@@ -172,6 +172,21 @@ def ndcg(df: DataFrame, c: str, score: str, rel: str, k: int, ties: Sequence[str
     return both.select(c, F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).alias(out))
 
 
+def ndcg_sums(scores: dict[str, str], c: str, rel: str, ks: Sequence[int], ties: Sequence[str] = ()) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """(rank columns, aggregates per contest, NDCG columns) of several scores at several depths, for one pass over the rows.
+
+    Add the ranks to the rows, aggregate them by contest, then add the NDCG columns `ndcg<k>_<label>`.
+    """
+    def rank(col: str) -> Column:
+        return F.row_number().over(topk.W.partitionBy(c).orderBy(F.col(col).desc_nulls_last(), *ties))
+
+    gain = F.pow(F.lit(2.0), F.col(rel)) - 1
+    names = {**scores, "ideal": rel}
+    sums = {f"_dcg{k}_{n}": F.sum(F.when(F.col(f"_r_{n}") <= k, gain / F.log2(F.col(f"_r_{n}") + 1)).otherwise(0.0)) for k in ks for n in names}
+    out = {f"ndcg{k}_{n}": F.when(F.col(f"_dcg{k}_ideal") > 0, F.col(f"_dcg{k}_{n}") / F.col(f"_dcg{k}_ideal")) for k in ks for n in scores}
+    return {f"_r_{n}": rank(col) for n, col in names.items()}, sums, out
+
+
 POISSON_STEPS = 16
 
 

@@ -10,6 +10,8 @@ row per entrant, 'join' also survives a contest that holds a large share of all
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from contestframe import scale
 from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
 
-NEWTON_STEPS = 16
+NEWTON_STEPS = 3
+ALPHA_LO, ALPHA_HI = 0.01, 2.0  # fixed values: bounds of the de-vig exponent
+GRID = 8  # parts of [ALPHA_LO, ALPHA_HI] between which the root is looked for first
+NODES = 24  # Chebyshev nodes of the book as a function of the exponent
 TINY = 1e-12
 
 
@@ -28,57 +33,77 @@ def normalise(df: DataFrame, c: str, x: str, out: str, how: str = "window") -> D
     return scale.attach(df, [c], {"_sum": F.sum(clipped)}, how).withColumn(out, clipped / F.col("_sum")).drop("_sum")
 
 
-def devig_alpha(df: DataFrame, c: str, price: str) -> DataFrame:
-    """Per contest: number of prices, their book sum and the exponent that makes the book sum to 1.
+def _newton(a: Column, book: Column, slope: Column) -> Column:
+    """One step towards ln(book) = 0; the logarithm of the powered book is convex and falls in the exponent."""
+    return C.clip(a - F.coalesce(F.ln(book) * book / F.nullif(slope, F.lit(0.0)), F.lit(0.0)), ALPHA_LO, ALPHA_HI)
 
-    The solver sees a contest as its distinct prices and their counts, built by a partial
-    aggregate. Quotes lie on a price grid, so the array stays short however large a group is. The
-    logarithm of the powered book is convex and falls in the exponent, so Newton steps from the
-    lower bound rise to the root without passing it. Without a root in [.01, 2] alpha is NULL.
-    """
-    grid = (
-        df.where(F.col(price) > 0)
-        .groupBy(c, F.col(price).alias("_o"))
-        .agg(F.count(F.lit(1)).alias("_k"))
-        .groupBy(c)
-        .agg(
-            F.collect_list(F.struct((-F.ln("_o")).alias("l"), F.col("_k").cast("double").alias("k"))).alias("_grid"),
-            F.sum(F.col("_k") / F.col("_o")).alias("_book"),
-            F.sum("_k").alias("_n"),
-        )
-    )
-
-    def book(a: Column) -> Column:
-        return F.aggregate("_grid", F.lit(0.0), lambda acc, g: acc + g["k"] * F.exp(g["l"] * a))
-
-    def newton(a: Column, _: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"))
-        sums = F.aggregate(
-            "_grid",
-            zero,
-            lambda acc, g: F.struct(
-                (acc["s"] + g["k"] * F.exp(g["l"] * a)).alias("s"),
-                (acc["d"] + g["k"] * g["l"] * F.exp(g["l"] * a)).alias("d"),
-            ),
-            lambda acc: F.coalesce(F.ln(acc["s"]) * acc["s"] / F.nullif(acc["d"], F.lit(0.0)), F.lit(0.0)),
-        )
-        return a - sums
-
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.01), newton)
-    has_root = (book(F.lit(0.01)) >= 1) & (book(F.lit(2.0)) <= 1)
-    return grid.select(c, "_n", "_book", F.when(has_root, solved).alias("_alpha"))
 
+def devig_alpha(df: DataFrame, c: str, price: str, how: str = "window") -> DataFrame:
+    """Per contest: number of prices, their book sum and the exponent that makes the book sum to 1.
 
-def devig_power(df: DataFrame, c: str, price: str, out: str, min_n: int = 1) -> DataFrame:
+    Without a root in [.01, 2] alpha is NULL. 'window' runs Newton steps on the rows (see `devig_power`). With 'join' one partial
+    aggregate of fixed width serves contests of any size: the powered book is a sum of exponentials in the exponent,
+    which its values at a few Chebyshev nodes give to rounding error, so the steps run on the interpolated book.
+    """
+    if how == "window":
+        rows = _with_alpha(df.where(F.col(price) > 0).select(c, price), c, price)
+        return rows.groupBy(c).agg(*[F.max(x).alias(x) for x in ("_n", "_book", "_alpha")])
+    half, mid = (ALPHA_HI - ALPHA_LO) / 2, (ALPHA_HI + ALPHA_LO) / 2
+    angles = [(2 * k + 1) * math.pi / (2 * NODES) for k in range(NODES)]
+    nodes, weights_ = [mid + half * math.cos(t) for t in angles], [(-1) ** k * math.sin(t) for k, t in enumerate(angles)]
+    log = -F.ln(price)
+    powered = {x: F.exp(log * x) for x in [*nodes, ALPHA_LO, ALPHA_HI]}
+    sums = df.where(F.col(price) > 0).groupBy(c).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(1 / F.col(price)).alias("_book"), F.sum(powered[ALPHA_LO]).alias("_lo"), F.sum(powered[ALPHA_HI]).alias("_hi"),
+        *[F.sum(powered[x]).alias(f"_f{k}") for k, x in enumerate(nodes)], *[F.sum(log * powered[x]).alias(f"_d{k}") for k, x in enumerate(nodes)])
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w"), F.col(f"_f{k}").alias("f"), F.col(f"_d{k}").alias("d")) for k, (x, w) in enumerate(zip(nodes, weights_, strict=True))])
+
+    def step(a: Column, _: Column) -> Column:
+        def add(acc: Column, p: Column) -> Column:
+            part = p["w"] / F.when(a == p["x"], 1e-200).otherwise(a - p["x"])
+            return F.struct((acc["f"] + part * p["f"]).alias("f"), (acc["d"] + part * p["d"]).alias("d"), (acc["w"] + part).alias("w"))
+
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in "fdw"])
+        return F.aggregate("_points", zero, add, lambda acc: _newton(a, acc["f"] / acc["w"], acc["d"] / acc["w"]))
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), step)
+    has_root = (F.col("_lo") >= 1) & (F.col("_hi") <= 1)
+    return sums.withColumn("_points", points).select(c, "_n", "_book", F.when(has_root, solved).alias("_alpha"))
+
+
+def _with_alpha(df: DataFrame, c: str, price: str) -> DataFrame:
+    """Adds _n, _book and _alpha: sums over the contest bracket the root, then each Newton step is one more pair of sums."""
+    o = F.col(price)
+    log = F.when(o > 0, -F.ln(o))
+    edges = [ALPHA_LO + k * (ALPHA_HI - ALPHA_LO) / GRID for k in range(GRID)] + [ALPHA_HI]
+    aggs = {f"_f{k}": F.sum(F.exp(F.col("_l") * x)) for k, x in enumerate(edges)}
+    joined = scale.attach(df.withColumn("_l", log), [c], {"_n": F.count("_l"), "_book": F.sum(F.exp(F.col("_l"))), **aggs}, "window")
+    first = F.lit(None).cast("double")
+    for k in reversed(range(GRID)):
+        above, below = F.ln(f"_f{k}"), F.ln(f"_f{k + 1}")
+        chord = edges[k] + (edges[k + 1] - edges[k]) * F.coalesce(above / F.nullif(above - below, F.lit(0.0)), F.lit(0.0))
+        first = F.when(F.col(f"_f{k + 1}") <= 1, chord).otherwise(first)
+    joined = joined.withColumn("_alpha", F.when((F.col("_f0") >= 1) & (F.col(f"_f{GRID}") <= 1), first)).drop(*aggs)
+    for _ in range(NEWTON_STEPS):
+        e = F.exp(F.col("_l") * F.col("_alpha"))
+        joined = scale.attach(joined.withColumn("_e", e), [c], {"_s": F.sum("_e"), "_d": F.sum(F.col("_l") * F.col("_e"))}, "window")
+        joined = joined.withColumn("_alpha", _newton(F.col("_alpha"), F.col("_s"), F.col("_d"))).drop("_e", "_s", "_d")
+    return joined.drop("_l")
+
+
+def devig_power(df: DataFrame, c: str, price: str, out: str, min_n: int = 1, how: str = "window") -> DataFrame:
     """Removes the overround: (1/price)^alpha, or in proportion where no alpha exists.
 
     `min_n` is 1 for training sets and 2 for live cards, where a lone price says nothing.
     """
-    alpha = devig_alpha(df, c, price).withColumnRenamed(c, "_c")
     o = F.col(price)
+    if how == "window":
+        joined = _with_alpha(df, c, price)
+    else:
+        alpha = devig_alpha(df, c, price, how).withColumnRenamed(c, "_c")
+        joined = df.join(alpha, F.col(c) == F.col("_c"), "left").drop("_c")
     share = F.when(F.col("_alpha").isNotNull(), F.pow(1 / o, F.col("_alpha"))).otherwise(1 / o / F.col("_book"))
-    joined = df.join(alpha, F.col(c) == F.col("_c"), "left")
-    return joined.withColumn(out, F.when((o > 0) & (F.col("_n") >= min_n), share)).drop("_c", "_book", "_n", "_alpha")
+    return joined.withColumn(out, F.when((o > 0) & (F.col("_n") >= min_n), share)).drop("_book", "_n", "_alpha")
 
 
 def softmax(df: DataFrame, c: str, z: str, out: str, tau: float = CFG.tau, how: str = "window") -> DataFrame:

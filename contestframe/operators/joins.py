@@ -81,22 +81,28 @@ def nearest_frame(
     return keep_one(frame, [*keys, *([entrant] if entrant not in keys else [])], [at])
 
 
+def asof_frames(ticks: DataFrame, keys: Sequence[str], at: str, cutoff: Column, cols: Sequence[str]) -> DataFrame:
+    """Per key `before_<col>` of the last row at or before the cutoff and `after_<col>` of the first at or after it.
+
+    Where there is no such row, the earliest one serves. A key has one row per instant; one hash aggregate gives all.
+    """
+    us, cut = F.unix_micros(at), F.unix_micros(cutoff)
+    before, after = F.when(us <= cut, us), F.when(us >= cut, us)
+    picked = []
+    for x in (at, *cols):
+        picked.append(F.when(F.max(before).isNotNull(), F.max_by(x, before)).otherwise(F.min_by(x, us)).alias(f"before_{x}"))
+        picked.append(F.when(F.min(after).isNotNull(), F.min_by(x, after)).otherwise(F.min_by(x, us)).alias(f"after_{x}"))
+    return ticks.groupBy(*keys).agg(*picked)
+
+
 def asof_frame(ticks: DataFrame, keys: Sequence[str], at: str, cutoff: Column, cols: Sequence[str]) -> DataFrame:
     """Per key the last row at or before the cutoff, else the earliest row."""
-    row = F.struct(F.col(at), *cols)
-    picked = ticks.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col(at) <= cutoff, row)), F.min(row)).alias("_row")
-    )
-    return picked.select(*keys, "_row.*")
+    return asof_frames(ticks, keys, at, cutoff, cols).select(*keys, *[F.col(f"before_{x}").alias(x) for x in (at, *cols)])
 
 
 def asof_forward(ticks: DataFrame, keys: Sequence[str], at: str, cutoff: Column, cols: Sequence[str]) -> DataFrame:
     """Per key the first row at or after the cutoff, else the earliest row."""
-    row = F.struct(F.col(at), *cols)
-    picked = ticks.groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(F.col(at) >= cutoff, row)), F.min(row)).alias("_row")
-    )
-    return picked.select(*keys, "_row.*")
+    return asof_frames(ticks, keys, at, cutoff, cols).select(*keys, *[F.col(f"after_{x}").alias(x) for x in (at, *cols)])
 
 
 def asof_join(
@@ -128,6 +134,14 @@ def baseline_join(now: DataFrame, base: DataFrame, keys: Sequence[str], col: str
     return now.join(base.select(*keys, F.col(col).alias(out)), list(keys), "left")
 
 
+def last_two(ticks: DataFrame, keys: Sequence[str], at: str, cols: Sequence[str]) -> DataFrame:
+    """The newest values of each key and, as prev_<col>, those of the tick before; two ticks per key and task are shuffled."""
+    w = W.partitionBy(*keys).orderBy(F.col(at).desc())
+    newest = ticks.select(*keys, F.unix_micros(at).alias("_us"), *cols, F.row_number().over(w).alias("_rn")).where("_rn <= 2")
+    first, second = F.when(F.col("_rn") == 1, F.col("_us")), F.when(F.col("_rn") == 2, F.col("_us"))
+    return newest.groupBy(*keys).agg(*[F.max_by(x, first).alias(x) for x in cols], *[F.max_by(x, second).alias(f"prev_{x}") for x in cols])
+
+
 def prev_poll(ticks: DataFrame, keys: Sequence[str], at: str, cols: Sequence[str]) -> DataFrame:
     """Row of the second-latest instant of each key.
 

@@ -1,4 +1,8 @@
-"""Operators on the tick stream at rest. Ticks of a busy contest are aggregated or rank-limited per task; struct minima and maxima sort a task's rows by key."""
+"""Operators on the tick stream at rest. Ticks of a busy contest are aggregated or rank-limited per task.
+
+A key has one tick per instant, so the instant in microseconds, one BIGINT, orders its ticks: newest, opening and as-of
+values are `max_by` and `min_by` on it, which Spark hashes instead of sorting.
+"""
 
 from __future__ import annotations
 
@@ -27,8 +31,8 @@ def open_price(ticks: DataFrame, c: str, e: str, at: str, price: str) -> DataFra
     """First known price of each entrant once its contest's market is open."""
     opened = ticks.where(F.col(price) > OPEN_ABOVE).groupBy(c).agg(F.min(at).alias("_open_at"))
     live = ticks.join(opened, c).where((F.col(at) >= F.col("_open_at")) & F.col(price).isNotNull())
-    first = live.groupBy(c, e).agg(F.min(F.struct(F.col(at).alias("open_at"), F.col(price).alias("open_price"))).alias("_f"))
-    return first.select(c, e, "_f.open_at", "_f.open_price")
+    us = F.unix_micros(at)
+    return live.groupBy(c, e).agg(F.min(at).alias("open_at"), F.min_by(price, us).alias("open_price"))
 
 
 def last_move(ticks: DataFrame, c: str, e: str, at: str, price: str, now: Column, cfg: Config = CFG, cuts: DataFrame | None = None) -> DataFrame:
@@ -51,9 +55,8 @@ def last_move(ticks: DataFrame, c: str, e: str, at: str, price: str, now: Column
 def price_moves(ticks: DataFrame, c: str, e: str, at: str, price: str) -> DataFrame:
     """Latest price with its change from the opening price (percent) and from the previous tick."""
     opening = open_price(ticks, c, e, at, price)
-    newest = ticks.groupBy(c, e).agg(F.max_by(price, at).alias("price"))
-    before = joins.prev_poll(ticks, [c, e], at, [price]).select(c, e, F.col(price).alias("prev_price"))
-    out = newest.join(opening, [c, e], "left").join(before, [c, e], "left")
+    two = joins.last_two(ticks, [c, e], at, [price]).withColumnRenamed(f"prev_{price}", "prev_price")
+    out = two.select(c, e, F.col(price).alias("price"), "prev_price").join(opening, [c, e], "left")
     move = F.when(F.col("open_price") > 0, (F.col("price") - F.col("open_price")) / F.col("open_price") * 100)
     return out.withColumns({"move_pct": move, "tick_delta": F.col("price") - F.col("prev_price")})
 
@@ -90,16 +93,66 @@ def odds_slope(ticks: DataFrame, keys: Sequence[str], at: str, price: str, targe
     return near.select(*keys, final.alias("final_price"), old.alias("old_price"), slope.alias("slope"))
 
 
+def _picked(cols: Sequence[str], us: Column, windows: dict[str, int], now_us: Column) -> dict[str, Column]:
+    """Aggregates: newest values, and per window the last values at or before its start and the first at or after it.
+
+    Without such a tick both are the earliest values.
+    """
+    out = {f"now_{x}": F.max_by(x, us) for x in cols}
+    for name, seconds in windows.items():
+        cut = now_us - seconds * 1_000_000
+        before, after = F.when(us <= cut, us), F.when(us >= cut, us)
+        for x in cols:
+            first = F.min_by(x, us)
+            out[f"{name}_base_{x}"] = F.when(F.max(before).isNotNull(), F.max_by(x, before)).otherwise(first)
+            out[f"{name}_in_{x}"] = F.when(F.min(after).isNotNull(), F.min_by(x, after)).otherwise(first)
+    return out
+
+
 def tick_summary(ticks: DataFrame, keys: Sequence[str], at: str, now: Column, windows: dict[str, int], cols: Sequence[str]) -> DataFrame:
     """One pass over the ticks up to `now`: newest row, and per named window (seconds) two baselines.
 
     `<name>_base` is the last row at or before now - w (else the earliest), `<name>_in` the first row
-    at or after it (else the earliest). All are conditional minima and maxima, combined map-side.
+    at or after it (else the earliest). All are conditional minima and maxima, hashed and combined map-side.
     """
-    row = F.struct(F.col(at), *cols)
-    aggs = [F.max(row).alias("now_row"), F.count(F.lit(1)).alias("polls"), F.min(at).alias("first_at")]
-    for name, seconds in windows.items():
-        cut = F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)
-        aggs.append(F.coalesce(F.max(F.when(F.col(at) <= cut, row)), F.min(row)).alias(f"{name}_base"))
-        aggs.append(F.coalesce(F.min(F.when(F.col(at) >= cut, row)), F.min(row)).alias(f"{name}_in"))
-    return ticks.where(F.col(at) <= now).groupBy(*keys).agg(*aggs)
+    values = _picked(cols, F.unix_micros(at), windows, F.unix_micros(now))
+    out = ticks.where(F.col(at) <= now).groupBy(*keys).agg(F.count(F.lit(1)).alias("polls"), F.min(at).alias("first_at"), *[v.alias(n) for n, v in values.items()])
+    rows = {"now_row": "now", **{f"{n}_{k}": f"{n}_{k}" for n in windows for k in ("base", "in")}}
+    return out.select(*keys, "polls", "first_at", *[F.struct(*[F.col(f"{p}_{x}").alias(x) for x in cols]).alias(r) for r, p in rows.items()])
+
+
+def tick_card(
+    ticks: DataFrame, c: str, e: str, at: str, now: Column, windows: dict[str, int], cols: Sequence[str], cfg: Config = CFG, cuts: DataFrame | None = None
+) -> DataFrame:
+    """One row per entrant from two readings of the ticks up to `now`; the first of `cols` is the price.
+
+    polls, first_at, the newest values, prev_<col> of the tick before, <window>_base_<col> and <window>_in_<col> as in
+    `tick_summary`, open_at and open_price as in `open_price`, last_move and frozen of the contest as in `last_move`. The
+    first reading finds when a market opens, one number per contest; the second one orders each entrant's ticks once
+    and hashes the rest. `cuts` splits busy entrants along `_us`.
+    """
+    price = cols[0]
+    seen = ticks.where(F.col(at) <= now)
+    opened = seen.where(F.col(price) > OPEN_ABOVE).groupBy(c).agg(F.min(F.unix_micros(at)).alias("_open"))
+    timed = seen.select(c, e, *cols, F.unix_micros(at).alias("_us")).join(opened, c, "left")
+
+    def build(d: DataFrame, part: list[str]) -> DataFrame:
+        w = W.partitionBy(*part).orderBy("_us")
+        return d.withColumns({f"_p_{x}": F.lag(x).over(w) for x in cols})
+
+    rows = scale.bounded(timed, [c, e], "_us", 1, build, cuts)
+    us = F.col("_us")
+    live = F.when((us >= F.col("_open")) & F.col(price).isNotNull(), us)
+    moved = F.when(F.col(f"_p_{price}").isNotNull() & (F.col(price) != F.col(f"_p_{price}")), us)
+    aggs = {
+        "polls": F.count(F.lit(1)), "_first": F.min(us), "_last": F.max(us), "_moved": F.max(moved), "_open_at": F.min(live), "open_price": F.min_by(price, live),
+        **{f"prev_{x}": F.max_by(f"_p_{x}", us) for x in cols}, **_picked(cols, us, windows, F.unix_micros(now)),
+    }
+    card = rows.groupBy(c, e).agg(*[v.alias(n) for n, v in aggs.items()])
+    card = scale.attach(card, [c], {"_c_moved": F.max("_moved"), "_c_first": F.min("_first"), "_c_last": F.max("_last")}, "window")
+    move = F.coalesce("_c_moved", "_c_first")
+    still = (F.unix_micros(now) - move) / 1e6 >= cfg.frozen
+    card = card.withColumns({
+        "first_at": F.timestamp_micros("_first"), "open_at": F.timestamp_micros("_open_at"), "last_move": F.timestamp_micros(move), "frozen": still & (F.col("_c_first") < F.col("_c_last")),
+        **{x: F.col(f"now_{x}") for x in cols}})
+    return card.drop("_first", "_last", "_moved", "_open_at", "_c_moved", "_c_first", "_c_last", *[f"now_{x}" for x in cols])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contestframe import scale
 from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
-from contestframe.operators import field, joins, market
+from contestframe.operators import field, market
 
 
 def score_card(
@@ -30,23 +30,13 @@ def score_card(
     """
     c, e = "contest_id", "entrant_id"
     seen = ticks.where(F.col("ts") <= now)
-    summary = market.tick_summary(
-        seen, [c, e], "ts", now, {"flow": flow_window * unit, "recent": recent_window * unit}, ["price", "place_price"]
-    )
-    opening = market.open_price(seen, c, e, "ts", "price")
     busy = scale.probe(seen.withColumn("_us", F.unix_micros("ts")), [c, e], "_us", counts_from=seen.select(c, e))
-    moved = market.last_move(seen, c, e, "ts", "price", now, cfg, busy)
-    before = joins.prev_poll(seen, [c, e], "ts", ["price", "place_price"]).select(
-        c, e, F.col("price").alias("prev_price"), F.col("place_price").alias("prev_place")
-    )
-    card = summary.select(
-        c, e, "polls", "first_at", F.col("now_row.price").alias("price"), F.col("now_row.place_price").alias("place_price"),
-        F.col("flow_base.price").alias("base_price"), F.col("flow_base.place_price").alias("base_place"),
-        F.col("recent_in.price").alias("recent_price"),
+    windows = {"flow": flow_window * unit, "recent": recent_window * unit}
+    card = market.tick_card(ticks, c, e, "ts", now, windows, ["price", "place_price"], cfg, busy).select(
+        c, e, "polls", "first_at", "price", "place_price", F.col("flow_base_price").alias("base_price"), F.col("flow_base_place_price").alias("base_place"),
+        F.col("recent_in_price").alias("recent_price"), "open_at", "open_price", "prev_price", F.col("prev_place_price").alias("prev_place"), "frozen",
     )
-    card = card.join(opening, [c, e], "left").join(before, [c, e], "left").join(profiles, e, "left")
-    states = market.lifecycle(moved, post, now, cfg).select(c, "state", (F.col("to_post") / unit).alias("to_post"))
-    card = card.join(states, c)
+    card = market.lifecycle(card.join(profiles, e, "left"), post, now, cfg).withColumn("to_post", F.col("to_post") / unit).drop("frozen")
     card = card.withColumn("t_eff", C.t_effective("to_post", cfg)).withColumn("w_fuse", C.fusion_weight("t_eff", "state", cfg))
 
     card = market.valid_price(card, c, "price", "_valid")

@@ -29,17 +29,6 @@ RUN_DEFAULTS = {
 }
 
 
-def csv_paths(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str]:
-    """Files below a folder, listed through the cluster's file system."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [str(s.getPath()) for s in (fs.globStatus(root) if not fs.getFileStatus(root).isDirectory() else fs.listStatus(root))]
-    return sorted(p for p in found if p.endswith(suffix))
-
-
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """All run CSVs below a folder and its sub-folders, every column as text, whatever order their headers have.
 
@@ -114,11 +103,20 @@ def entrant_codes(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
-    """Optional event table as text columns; an absent file or column reads as empty or NULL."""
-    if not csv_paths(spark, path):
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols]))
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in cols])
+    """Optional event table as text columns, bound by header name in every file below the folder and its sub-folders.
+
+    An absent folder or column reads as empty or NULL.
+    """
+    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols]))
+    try:
+        raw = read_runs(spark, path)
+    except FileNotFoundError:
+        return empty
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return empty
+        raise
+    return raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in cols])
 
 
 def read_ticks(spark: SparkSession, path: str, day: str | None = None, venue: str | None = None) -> DataFrame:
@@ -179,18 +177,24 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_new(df: DataFrame, spark: SparkSession, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+def append_new(df: DataFrame, spark: SparkSession, path: str, keys: Sequence[str], partition_by: Sequence[str] = (), buckets: int = 0) -> None:
     """Appends the rows whose keys the Parquet store does not have; a second run adds nothing.
 
-    With `partition_by` (which must follow from the keys) only the folders that the new rows fall into are read.
+    With `partition_by` (which must follow from the keys) or with `buckets` (folders by a hash of the first key) only the
+    folders that the new rows fall into are read: their names, at most one per folder, prune the scan.
     """
+    parts = list(partition_by)
+    if buckets:
+        df, parts = df.withColumn("bucket", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int")), [*parts, "bucket"]
     fresh = keep_one(df, keys, [c for c in df.columns if c not in keys] or list(keys))
     have = stored(spark, path)
     if have is not None:
-        if partition_by:
-            have = have.join(fresh.select(*partition_by).distinct(), list(partition_by), "left_semi")
+        if parts:
+            touched = fresh.select(*parts).distinct().collect()
+            some = [reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(row[c])) for c in parts]) for row in touched]
+            have = have.where(reduce(lambda x, y: x | y, some, F.lit(False)))
         fresh = joins.new_only(fresh, have.select(*keys), keys)
-    fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
+    fresh.write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def to_star(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

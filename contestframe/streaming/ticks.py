@@ -1,23 +1,20 @@
-"""Structured Streaming over ticks: windows, watermarks, deduplicated events and timed state."""
+"""Structured Streaming over ticks: windows, watermarks and deduplicated events. `contests` has the steps that keep state."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from contestframe.config import CFG, Config
 from contestframe.operators import joins
 from contestframe.operators.windows import keep_one
 from contestframe.session import shared_dir
 
 TTL = "4 hours"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+AUDIT_BUCKETS = 64  # folders of the milestone audit
 
 # Alert stages (name, seconds before post)
 STAGES = (("T-15m", 900), ("T-10m", 600), ("T-3m", 180), ("T-45s", 45), ("T-12s", 12))
@@ -123,80 +120,6 @@ def episodes(stream: DataFrame, steam: Column, window: str, delay: str = TTL) ->
     return keyed.dropDuplicatesWithinWatermark(["contest_id", "entrants"])
 
 
-LIFECYCLE_SCHEMA = "contest_id bigint, at timestamp, state string"
-
-
-class Lifecycle(StatefulProcessor):
-    """Event-time state of one contest: emits each change of PRE_POST, TURBO_APPROACH, LOADING_DELAY, OFFICIAL_CLOSED.
-
-    State is the last price per entrant, the last move and the last emitted state. A timer set to
-    last move + frozen turns the absence of changes into OFFICIAL_CLOSED.
-    """
-
-    def __init__(self, frozen: float = CFG.frozen, lead: float = CFG.turbo_lead):
-        self.frozen_ms, self.lead_ms = int(frozen * 1000), int(lead * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.prices = handle.getMapState("prices", "entrant_id bigint", "price double")
-        self.info = handle.getValueState("info", "last_move bigint, post bigint, state string")
-
-    def _emit(self, key, at_ms: int, state: str) -> pd.DataFrame:
-        return pd.DataFrame({"contest_id": [key[0]], "at": [pd.Timestamp(at_ms, unit="ms")], "state": [state]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "entrant_id"])
-        stored = self.info.get()
-        last_move, post, state = stored if stored is not None else (-1, 0, "")
-        out = []
-        for entrant, price, at, post_at in zip(frame.entrant_id, frame.price, frame.ts, frame.post_at):
-            at_ms, post = int(at.timestamp() * 1000), int(post_at.timestamp() * 1000)
-            if state and state != "OFFICIAL_CLOSED" and at_ms >= max(post, last_move + self.frozen_ms):
-                state = "OFFICIAL_CLOSED"
-                out.append(self._emit(key, max(post, last_move + self.frozen_ms), state))
-            known = self.prices.getValue((int(entrant),)) if self.prices.containsKey((int(entrant),)) else None
-            if last_move < 0 or (known is not None and known[0] != price):
-                last_move = at_ms
-            self.prices.updateValue((int(entrant),), (float(price),))
-            left = post - at_ms
-            still = at_ms - last_move >= self.frozen_ms
-            now = "PRE_POST" if left >= self.lead_ms else "TURBO_APPROACH" if left > 0 else "OFFICIAL_CLOSED" if still else "LOADING_DELAY"
-            if now != state:
-                state = now
-                out.append(self._emit(key, at_ms, state))
-        self.info.update((last_move, post, state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state != "OFFICIAL_CLOSED":
-            self.handle.registerTimer(max(post, last_move + self.frozen_ms))
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stored = self.info.get()
-        if stored is not None and stored[2] != "OFFICIAL_CLOSED":
-            at_ms = max(stored[1], stored[0] + self.frozen_ms)
-            self.info.update((stored[0], stored[1], "OFFICIAL_CLOSED"))
-            yield self._emit(key, at_ms, "OFFICIAL_CLOSED")
-
-    def close(self) -> None:
-        pass
-
-
-def lifecycle(stream: DataFrame, posts: DataFrame, delay: str = TTL, cfg: Config = CFG) -> DataFrame:
-    """Lifecycle changes of every contest; needs the RocksDB state store (see `run`).
-
-    The rows of one contest meet in one task, so the stream is first thinned to the ticks that can
-    matter: per entrant and second only the newest quote.
-    """
-    slim = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 second"), "contest_id", "entrant_id").agg(
-        F.max_by("price", "ts").alias("price")
-    ).select("contest_id", "entrant_id", "price", F.window_time("window").alias("ts"))
-    timed = slim.join(posts, "contest_id").select("contest_id", "entrant_id", "price", "ts", "post_at")
-    return timed.groupBy("contest_id").transformWithStateInPandas(
-        statefulProcessor=Lifecycle(cfg.frozen, cfg.turbo_lead), outputStructType=LIFECYCLE_SCHEMA, outputMode="Append", timeMode="EventTime"
-    )
-
-
 def with_ttl(stream: DataFrame, ttl: str = TTL, slide: str = "1 hour") -> DataFrame:
     """Retained snapshots: first and last price of each entrant over the last `ttl`, one window for each `slide`."""
     return drop_late(stream, ttl).groupBy(F.window("ts", ttl, slide), "contest_id", "entrant_id").agg(
@@ -204,7 +127,7 @@ def with_ttl(stream: DataFrame, ttl: str = TTL, slide: str = "1 hour") -> DataFr
     )
 
 
-def run(stream: DataFrame, keys: Sequence[str] = (), mode: str = "update", rocksdb: bool = False) -> DataFrame:
+def run(stream: DataFrame, keys: Sequence[str] = (), mode: str = "update") -> DataFrame:
     """Runs a stream over what is available and returns its result as a table.
 
     Batches are written to Parquet in the shared folder with their number. With `keys` the newest
@@ -213,23 +136,13 @@ def run(stream: DataFrame, keys: Sequence[str] = (), mode: str = "update", rocks
     """
     spark = stream.sparkSession
     home = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    if rocksdb:
-        spark.conf.set(setting, ROCKSDB)
     schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={number}")
 
-    try:
-        query = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-        )
-        query.awaitTermination()
-    finally:
-        if rocksdb:
-            spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
     written = spark.read.option("basePath", f"{home}/out").schema(schema.add("batch_id", T.LongType())).parquet(f"{home}/out")
     if not keys:
         return written.drop("batch_id")
@@ -237,10 +150,13 @@ def run(stream: DataFrame, keys: Sequence[str] = (), mode: str = "update", rocks
 
 
 def audit_sink(batch: DataFrame, path: str) -> None:
-    """foreachBatch body of the milestone audit: appends the (contest, milestone, entrant) rows not stored yet."""
+    """foreachBatch body of the milestone audit: appends the (contest, milestone, entrant) rows not stored yet.
+
+    The store lies in folders by a hash of the contest, so a batch reads those of its own contests.
+    """
     from contestframe.sources.stores import append_new
 
-    append_new(batch, batch.sparkSession, path, ["contest_id", "milestone", "entrant_id"])
+    append_new(batch, batch.sparkSession, path, ["contest_id", "milestone", "entrant_id"], buckets=AUDIT_BUCKETS)
 
 
 def alerts_with_moves(ticks: DataFrame, alerts: DataFrame, at: str) -> DataFrame:

@@ -1,12 +1,9 @@
 """Streams replayed from files in several batches must agree with the batch result."""
 
-import dataclasses
-
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from contestframe.config import CFG
 from contestframe.streaming import ticks as S
 
 SCHEMA = "contest_id bigint, entrant_id bigint, price double, ts timestamp"
@@ -86,17 +83,6 @@ def test_episodes_once(spark, day):
     assert ("1", 1) in {(r["entrants"], r["contest_id"]) for r in got} and len(got) == len({(r["entrants"], r["contest_id"]) for r in got})
 
 
-def test_lifecycle_closes_on_silence(spark, day):
-    posts = spark.createDataFrame([(1,), (2,)], "contest_id bigint").withColumn(
-        "post_at", F.when(F.col("contest_id") == 1, F.lit("2026-09-09 11:02:00").cast("timestamp")).otherwise(F.lit("2026-09-10 11:00:00").cast("timestamp"))
-    )
-    out = S.run(S.lifecycle(stream(spark, day), posts, "10 seconds", dataclasses.replace(CFG)), mode="append", rocksdb=True)
-    got = [(r["state"], str(r["at"])) for r in out.where("contest_id = 1").orderBy("at").collect()]
-    states = [s for s, _ in got]
-    assert states[0] == "PRE_POST" and "OFFICIAL_CLOSED" in states
-    assert dict(got)["OFFICIAL_CLOSED"].startswith("2026-09-09 11:02:3")
-
-
 def test_audit_sink_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, "T-5m", 3, 0.2), (1, "T-5m", 4, 0.3)], "contest_id int, milestone string, entrant_id int, p double")
     for _ in range(2):
