@@ -66,7 +66,8 @@ def devig_alpha(df: DataFrame, c: str, price: str, how: str = "window") -> DataF
         zero = F.struct(*[F.lit(0.0).alias(n) for n in "fdw"])
         return F.aggregate("_points", zero, add, lambda acc: _newton(a, acc["f"] / acc["w"], acc["d"] / acc["w"]))
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), step)
+    begin = F.when(F.col("_lo") == F.col("_hi"), ALPHA_LO).otherwise(1.0)  # a lone price of 1 fits any exponent
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), begin, step)
     has_root = (F.col("_lo") >= 1) & (F.col("_hi") <= 1)
     return sums.withColumn("_points", points).select(c, "_n", "_book", F.when(has_root, solved).alias("_alpha"))
 
