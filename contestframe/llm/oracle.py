@@ -63,9 +63,8 @@ normal as (
   select n, host, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
     '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as plain from own_lines),
 hashed as (select n, host, line, md5(plain) as hash from normal where plain <> ''),
-lows as (select n, list_sort(list_distinct(list(hash))) as low from hashed group by n),
-told as (
-  select distinct host, hash, case when hash = low[1] then coalesce(low[2], '') else low[1] end as told_by from hashed join lows using (n)),
+bodies as (select n, list_sort(list_distinct(list(plain))) as body from normal where plain <> '' group by n),
+told as (select distinct host, hash, body from hashed join bodies using (n)),
 common as (
   select t.host, hash from told t join (select host, count(*) as docs from docs group by host) d on t.host = d.host
   group by t.host, hash, docs having count(*) > 10 and count(*) > docs * 0.01),

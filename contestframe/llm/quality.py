@@ -1,10 +1,9 @@
 """Quality rules: counts within a document, and the frequency of its lines across documents.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space runs to one space, trimmed) and hashed. A line
-is boilerplate of its host if more distinct documents of the host hold it than both limits allow. Copies of
-one document, exact or near, count once: a line's documents are told apart by the smallest hash among their
-other lines, which copies share. Boilerplate lines are removed; a document left with too few of its words is
-rejected, as are those that fail a rule on their own counts.
+is boilerplate of its host if more distinct documents of the host hold it than both limits allow. Documents with the
+same set of lines are one document here, so that exact copies count once. Boilerplate lines are removed; a document left
+with too few of its words is rejected, as are those that fail a rule on their own counts.
 
 One pass over the texts writes counts and line hashes to the shared folder; what follows works on those. Lines and
 the table of boilerplate lines meet in a join on host and hash that Spark may broadcast or split.
@@ -107,9 +106,8 @@ def measured(text: Column) -> Column:
 def boilerplate(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """host, line: the lines above the limits. `rows`: host and lines of every document."""
     hashes = F.transform("lines", lambda x: x["line"])
-    each = rows.select("host", F.get(hashes, F.lit(0)).alias("low"), F.coalesce(F.get(hashes, F.lit(1)), F.lit("")).alias("next"), F.explode(hashes).alias("line"))
-    told = each.select("host", "line", F.when(F.col("line") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("told_by"))
-    # one row for each document that differs, then plain counts
+    told = rows.select("host", F.md5(F.array_join(hashes, "")).alias("told_by"), F.explode(hashes).alias("line"))
+    # one row for each set of lines, then plain counts
     found = told.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limits.max_docs)
     sizes = rows.groupBy("host").agg(F.count("*").alias("docs"))
     return on_key(found, sizes, "inner", ("host",)).where(F.col("n") > F.col("docs") * limits.max_share).select("host", "line")

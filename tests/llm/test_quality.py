@@ -33,3 +33,14 @@ def test_counts(spark, docs_of):
     got = {r._id: tuple(r[c] for c in quality.COUNTS) for r in quality.judge(docs_of(rows)).collect()}
     assert got == {1: (8, 15, 8, 1, 6), 2: (0, 0, 0, 0, 0), 3: (100_000, 100_000, 0, 0, 100_000)}
     assert quality.judge(docs_of([])).collect() == [] and quality.kept_rows(docs_of([])).collect() == []
+
+
+def test_shared_lines_of_many_documents_are_all_found(spark, docs_of):
+    """300 documents of a host with 30 common lines and one line of their own: every common line counts 300."""
+    for seed in range(4):
+        common = [f"common line {'abcdefghijklmnopqrstuvwxyzABCD'[k]} of seed {'pqrs'[seed]}{k * 'x'}" for k in range(30)]
+        rows = [(k, "\n".join([*common, "own " + "".join("abcdefghij"[int(c)] for c in f"{seed}{k}")]), "en", "h", 0) for k in range(300)]
+        rows += [(1000 + k, "\n".join(common[:2]) + "\ncopied in whole", "en", "h", 0) for k in range(50)]
+        m = docs_of(rows, extra=False).select(quality.measured("text").alias("m"), "source")
+        bad = quality.boilerplate(m.select(m.source.alias("host"), "m.lines")).collect()
+        assert len(bad) == 30
