@@ -299,6 +299,20 @@ def x03(spark, sf):
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("day"), big(F.coalesce("contests", F.lit(0))).alias("contests"))
 
 
+@register(
+    "x03_pairs_table",
+    """select distinct a.contest_id, cast(a.entrant_id as bigint) as leg_a, cast(b.entrant_id as bigint) as leg_b
+from runs a join runs b on a.contest_id = b.contest_id and a.entrant_id < b.entrant_id where a.finish_rank <= 3 and b.finish_rank <= 3""",
+    "runs",
+)
+def x03_pairs(spark, sf):
+    """The pairs of the placed entrants of every contest by a lateral join with the table function."""
+    register_functions(spark)
+    placed = base(spark, sf).where("finish_rank <= 3").groupBy("contest_id").agg(F.collect_set(F.col("entrant_id").cast("bigint")).alias("ids"))
+    placed.createOrReplaceTempView("cf_placed")
+    return spark.sql("select cast(contest_id as bigint) as contest_id, leg_a, leg_b from cf_placed, lateral cf_pairs(ids)")
+
+
 @register(
     "x02_group_functions",
     f"""with s as (select entrant_id, list(price order by contest_ord, finish_rank) as xs from runs group by 1)

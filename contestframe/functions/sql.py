@@ -8,7 +8,10 @@ from contestframe.config import CFG, Config
 
 
 def register_functions(spark: SparkSession, cfg: Config = CFG) -> None:
-    """Creates cf_decay, cf_flow_label, cf_field_gamma, cf_t_effective, cf_min_price and cf_calendar."""
+    """Creates cf_decay, cf_flow_label, cf_field_gamma, cf_t_effective, cf_min_price and the table functions cf_calendar and cf_pairs.
+
+    cf_pairs gives the unordered pairs of an array, the smaller id first, also for the arrays of a table: `FROM t, LATERAL cf_pairs(t.ids)`.
+    """
     c, g = f"{cfg.decay_c}D", f"{cfg.decay_gamma}D"
     width = cfg.gamma_n_hi - cfg.gamma_n_lo
     bodies = {
@@ -24,6 +27,10 @@ def register_functions(spark: SparkSession, cfg: Config = CFG) -> None:
             "SELECT d FROM (SELECT explode(sequence(lo, hi)) AS d) "
             "WHERE dayofweek(d) IN (1, 4, 7) AND NOT (month(d) * 100 + day(d) BETWEEN 716 AND 831)"
         ),
+        "cf_pairs(ids ARRAY<BIGINT>) RETURNS TABLE(leg_a BIGINT, leg_b BIGINT)": (
+            "SELECT l.p, l.q FROM explode(flatten(transform(array_sort(ids), (p, i) -> "
+            "transform(slice(array_sort(ids), i + 2, size(ids)), q -> struct(p, q))))) AS t(l)"
+        ),
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
