@@ -8,7 +8,7 @@ by side, as a part of the counted key, so a shard is as distributed as the whole
 candidate set, and a last pass over all texts counts the candidates exactly, by their words.
 
 While mining, a phrase is a 62-bit hash of its language and words; phrases that collide are counted together and at worst become
-candidates in vain. Tasks see the frequent keys as a bitmap of about eight bits a key, at most 2^30 bits; a crowded bitmap
+candidates in vain. Tasks see the frequent keys as a bitmap of about eight bits a key, at most 2^28 bits; a crowded bitmap
 lets more candidates pass, and results stay the same. The last pass numbers the words of a slice, so that its phrases are
 exact codes, and sums are grouped by the words themselves.
 
@@ -28,12 +28,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestframe.llm.texts import sparing, written
+from contestframe.llm.texts import bitmap_of, held, sparing, written
 
 SUPPORT, SHARDS, TOP = 10, 4, 2000
-SLICE_WORDS = 3_000_000  # words that a task works on at once
+SLICE_WORDS = 1_200_000  # words that a task works on at once
+ROWS = 100_000  # phrases that a task hands on at once
 BUCKETS = 64  # parts in which the best phrases of a language are looked for first
-MOST_BITS = 30
+MOST_BITS = 28
 #: Byte table: A-Z become lower case, piece ends become full stops; no other byte changes.
 PIECE_BYTES = bytes(46 if b in b".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STOP = b"."
@@ -90,6 +91,11 @@ class _Slice:
         return ids, _mixed(own[ids] ^ seed)
 
 
+@sparing
+def trimmed() -> None:
+    """Gives the memory of a finished slice back."""
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
     part = _Slice()
     for batch in batches:
@@ -97,6 +103,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
             part.add(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
             if len(part.ids) >= SLICE_WORDS:
                 yield part
+                del part
                 part = _Slice()
     if part.ids:
         yield part
@@ -118,23 +125,6 @@ def _own(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), shard.alias("shard"))
 
 
-def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the bitmap may hold each key."""
-    at = keys & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the column `key`: a power of two of bits, eight to sixteen a key, at most 2^MOST_BITS."""
-    bits = min(MOST_BITS, max(12, (8 * keys.count()).bit_length()))
-    at = F.col("key").bitwiseAND((1 << bits) - 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
-    found = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def _mined(own: DataFrame, shards: int, least: int, level: int, pairs: Broadcast | None = None) -> DataFrame:
     """key: the phrases of `level` words that reach `least` occurrences in a shard."""
 
@@ -145,7 +135,7 @@ def _mined(own: DataFrame, shards: int, least: int, level: int, pairs: Broadcast
         keys, valid = _joined(word[:-1], word[1:]), word_like[:-1] & word_like[1:]
         if level == 3:
             two = valid.copy()
-            two[valid] = _held(pairs.value, _sharded(keys, part, shards)[valid])
+            two[valid] = held(pairs.value, _sharded(keys, part, shards)[valid])
             keys, valid = _joined(keys[:-1], word[2:]), two[:-1] & two[1:]
         found, n = np.unique(_sharded(keys, part, shards)[valid], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
@@ -163,10 +153,10 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     sc = docs.sparkSession.sparkContext
     least = -(-support // shards)
     pairs = written(_mined(own, shards, least, 2))
-    pair_bits = sc.broadcast(bitmap_of(pairs))
+    pair_bits = sc.broadcast(bitmap_of(pairs, MOST_BITS))
     triples = written(_mined(own, shards, least, 3, pair_bits))
     low = (1 << 64 - _shard_bits(shards)) - 1
-    wanted = [sc.broadcast(bitmap_of(x.select(F.col("key").bitwiseAND(low).alias("key")))) for x in (pairs, triples)]
+    wanted = [sc.broadcast(bitmap_of(x.select(F.col("key").bitwiseAND(low).alias("key")), MOST_BITS)) for x in (pairs, triples)]
 
     def phrases(part: _Slice) -> Iterator[pa.RecordBatch]:
         all_ids, word = part.arrays()
@@ -181,29 +171,36 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
                 chosen = np.flatnonzero(valid)
                 if level > 1:
                     key, valid = _joined(key[:-1], last[level - 1 :]), valid[:-1] & (ids[level - 1 :] > 0)
-                    chosen = np.flatnonzero(valid & _held(wanted[level - 2].value, key & np.uint64(low)))
+                    chosen = np.flatnonzero(valid & held(wanted[level - 2].value, key & np.uint64(low)))
                 # number what stands before the last word, so that codes fit for any number of words
                 heads, head = np.zeros((1, 0), np.int64), np.zeros(len(chosen), np.int64)
                 for k in range(level):
                     codes, place, n = np.unique(head * wide + ids[chosen + k], return_inverse=True, return_counts=True)
                     heads, head = np.column_stack([heads[codes // wide], codes % wide]), place
-                texts = names[heads[:, 0]]
-                for k in range(1, level):
-                    texts = texts + b" " + names[heads[:, k]]
-                phrase = pa.array(texts.tolist(), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([group] * len(n), pa.string()), pa.array(np.full(len(n), level, np.int32)), phrase, pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+                for k in range(0, len(n), ROWS):
+                    some = heads[k : k + ROWS]
+                    texts = names[some[:, 0]]
+                    for j in range(1, level):
+                        texts = texts + b" " + names[some[:, j]]
+                    phrase = pa.array(texts.tolist(), pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(some), pa.string()), pa.array(np.full(len(some), level, np.int32)), phrase, pa.array(n[k : k + ROWS].astype(np.int64))], ["lang", "words", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             yield from phrases(part)
-            del part
-            sparing(lambda: None)()
+            trimmed()
 
     counts = own.mapInArrow(run, "lang string, words int, phrase string, n bigint").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
     # single words stay with any count here: their sum is the number of words
     return written(counts.where((F.col("words") == 1) | (F.col("f") >= support)))
 
 
+def cut_score() -> Column:
+    """floor(10^6 a a / (l r)), exactly, for counts under 10^15."""
+    a, left, right = (F.col(c).cast("decimal(15,0)") for c in ("a", "l", "r"))
+    return F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (a * a), left * right)
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, shards: int = SHARDS, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two and three words of each language.
 
@@ -224,11 +221,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     halves = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     halves = halves.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
 
-    def wide(c: str) -> Column:
-        return F.col(c).cast("decimal(15,0)")
-
-    score = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (wide("a") * wide("a")), wide("l") * wide("r"))
-    scored = halves.withColumn("score", score)
+    scored = halves.withColumn("score", cut_score())
     worst = scored.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     inner = F.explode(F.array(F.struct(phrase(1, 2).alias("part")), F.struct(phrase(2, 2).alias("part"))))
     longer = cand.where("words = 3").select("lang", "a", inner.alias("x")).groupBy("lang", F.col("x.part").alias("phrase")).agg(F.max("a").alias("inside"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestframe.session import shared_dir
@@ -93,6 +95,29 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; the driver's garbage collector tells it which."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bitmap_of(keys: DataFrame, most_bits: int = 28) -> np.ndarray:
+    """A bitmap of the column `key` for tasks: a power of two of bits, eight to sixteen a key, at most 2^most_bits."""
+    bits = min(most_bits, max(12, (8 * keys.count()).bit_length()))
+    at = F.col("key").bitwiseAND((1 << bits) - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    found = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << bits >> 6), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap may hold each key (unsigned 64-bit numbers)."""
+    at = keys & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def recounted(docs: DataFrame) -> DataFrame:
     """The documents with n_chars set to the length of the text, where both columns exist."""
     if not {"n_chars", "text"} <= set(docs.columns):
