@@ -157,7 +157,8 @@ def tree_corrections(patterns: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield corrected(batch)
 
-    ordered = patterns.repartitionByRange("lang", "items").sortWithinPartitions("lang", "items")
+    # ranges by the first items: Spark samples these keys on the driver to find the borders
+    ordered = patterns.repartitionByRange("lang", F.slice("items", 1, 3)).sortWithinPartitions("lang", "items")
     return ordered.select("lang", "items", "times").mapInArrow(run, "lang string, a int, b int, value bigint")
 
 
