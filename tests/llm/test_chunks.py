@@ -101,3 +101,39 @@ def test_query_over_the_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {(r.doc_id, r.start_char, r.end_char, r.n_words) for r in queries.op8_substring_dedup(spark, sf).collect()}
     assert got == plain(rows) and got
+
+
+def shared_words(rows, size=50):
+    """For every document its words that lie in a run of `size` words which a document with a smaller id holds too."""
+    first = {}
+    for k, t in sorted(rows):
+        words = t.split()
+        for i in range(len(words) - size + 1):
+            first.setdefault(tuple(words[i : i + size]), k)
+    out = {}
+    for k, t in rows:
+        words = t.split()
+        held = {j for i in range(len(words) - size + 1) if first[tuple(words[i : i + size])] != k for j in range(i, i + size)}
+        if held:
+            out[k] = held
+    return out
+
+
+def test_recall_of_shared_windows(spark, sf):
+    """Against all 50-word windows of the table: every document with a repeat is found, and nearly all repeated words."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    want = shared_words(rows)
+    found = {}
+    for r in queries.op8_substring_dedup(spark, sf).collect():
+        found.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    assert set(want) <= set(found)
+    hit = 0
+    for k, t in rows:
+        if k in want:
+            places, at = [], 0
+            for w in t.split():
+                at = t.index(w, at)
+                places.append(at)
+                at += len(w)
+            hit += sum(any(a <= places[j] < b for a, b in found[k]) for j in want[k])
+    assert hit >= 0.95 * sum(map(len, want.values()))
