@@ -39,7 +39,7 @@ from contestframe.llm.texts import arrow_map, blank_words, keyed, on_key, sparin
 
 SHINGLE, PERCENT = 3, 90
 SHARE = 500_000  # words rarer than 1 / SHARE are not told apart
-ROUNDS = 3
+ROUNDS = 2
 HELD = 400_000  # distinct words that a task holds before it hands counts on
 LANES = 8  # 64-bit parts of a sketch
 PART = 256  # texts worked on at once
@@ -66,8 +66,8 @@ def word_classes(docs: DataFrame, text: str) -> dict[bytes, int]:
 
     counts = written(docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where((F.col("n") > 1) & (F.col("n") * SHARE >= total)).toPandas()
-    return {bytes(w): (n * n).bit_length() for w, n in zip(frequent["word"], frequent["n"].tolist(), strict=True)}
+    frequent = counts.where((F.col("n") > 1) & (F.col("n") * SHARE >= total)).toArrow()
+    return {w: (n * n).bit_length() for w, n in zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True)}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -135,31 +135,42 @@ def _resembling(left: str, right: str, percent: int) -> Column:
     return sizes & (apart * (100 + percent) <= (a("n") + b("n")) * (100 - percent))
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that sizes and sketches leave possible."""
-    own = classes.select("digest", "n", *SKETCH)
-    both = pairs.distinct().join(own.select(F.struct("n", *SKETCH).alias("x"), F.col("digest").alias("a")), "a").join(own.select(F.struct("n", *SKETCH).alias("y"), F.col("digest").alias("b")), "b")
-    return both.where(_resembling("x", "y", percent)).select("a", "b")
+class _Sets:
+    """The sets of the classes in pairs, made from the texts when they are first asked for, and kept as written tables."""
 
+    def __init__(self, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int):
+        self.first = classes.select("digest", "first.*")
+        self.docs, self.size, self.percent = keyed(docs, doc_id, text).select("_id", "_sum", "_text"), size, percent
+        self.known: DataFrame | None = None
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set digests whose sets reach the threshold, as a written table."""
-    pairs = written(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    wanted = written(classes.join(nodes, "digest", "left_semi").select("digest", "first.*"))
-    own = among(keyed(docs, doc_id, text).select("_id", "_sum", "_text"), wanted, "_id", "_sum")
-    texts = on_key(own, wanted, "inner", ("_id", "_sum")).dropDuplicates(["digest"])
+    def _add(self, pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        if self.known is not None:
+            nodes = nodes.join(self.known.select("digest"), "digest", "left_anti")
+        wanted = written(self.first.join(nodes, "digest", "left_semi"))
+        texts = on_key(among(self.docs, wanted, "_id", "_sum"), wanted, "inner", ("_id", "_sum"))
 
-    def run(batch: pa.RecordBatch):
-        for k in range(0, batch.num_rows, PART):
-            part = batch.slice(k, PART)
-            sets = [np.unique(shingle_hashes(blank_words(t, lower=True), size)).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["digest", "found"])
+        @sparing
+        def sets(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(shingle_hashes(blank_words(t.as_py(), lower=True), self_size)).view(np.int64) for t in part.column(1)]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["digest", "found"])
+
+        def run(batch: pa.RecordBatch):
+            for k in range(0, batch.num_rows, PART):
+                yield sets(batch.slice(k, PART))
+
+        self_size = self.size
+        new = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>"))
+        self.known = new if self.known is None else self.known.unionByName(new)
+        return self.known
 
-    sets = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>"))
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("found").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return written(both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"))
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) of set digests whose sets reach the threshold, as a written table."""
+        pairs = written(pairs.distinct())
+        sets = self._add(pairs)
+        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("found").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y")).cast("bigint")
+        return written(both.where(common * (100 + self.percent) >= (F.size("x") + F.size("y")) * self.percent).select("a", "b"))
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,48 +181,69 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def class_links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """a, b: verified links between classes that connect all that the threshold links."""
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, classes, docs, doc_id, text, size, percent)
-
-    members = classes.select("group", "digest")
-    lead = members.groupBy("group").agg(F.min("digest").alias("lead"), F.count("*").alias("members"))
-    inside = members.join(lead.where("members > 1"), "group").where("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b"))
-    leaders = classes.join(lead.select(F.col("lead").alias("digest"), "members"), "digest").select("group", "digest", "n", "members", "prefix")
-    postings = leaders.select("group", "digest", "n", "members", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("all")).where("all > 1").select("token")
+    sets = _Sets(classes, docs, doc_id, text, size, percent)
+    lead = written(classes.groupBy("group").agg(F.min("digest").alias("lead"), F.count("*").cast("int").alias("members")))
+    sketched = classes.select("group", "digest", "n", *SKETCH)
+    several = lead.where("members > 1").select("group", "lead")
+    crowd = sketched.join(several, "group")
+    heads = crowd.where("digest = lead").select("group", F.struct("n", "digest", *SKETCH).alias("y"))
+    inside = crowd.where("digest <> lead").select("group", F.struct("n", "digest", *SKETCH).alias("x")).join(heads, "group")
+    inside = inside.where(_resembling("x", "y", percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+
+    # prefix shingles of groups that another group, or another member, has too
+    leaders = classes.join(lead.select(F.col("lead").alias("digest"), "members"), "digest")
+    postings = leaders.select("digest", "members", F.explode("prefix").alias("token"))
+    shared = written(postings.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1").select("token"))
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    met = written(postings.drop("members").join(shared, "token").withColumn("band", band))
-    links = None
-    active = met
+    met = among(postings.select("digest", "token"), shared, "token").join(shared, "token")
+    met = written(met.join(leaders.select("group", "digest", "n", *SKETCH), "digest").withColumn("band", band))
+    links, active = None, met
     for turn in range(ROUNDS):
-        chosen = F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest"))["digest"]
-        first = active.groupBy("token", "band").agg(chosen.alias("lead"), F.count("*").alias("groups")).where("groups > 1")
-        star = active.join(first, ["token", "band"]).where("digest <> lead").select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b"))
-        found = check(_filtered(star.unionByName(inside) if turn == 0 else star, classes, percent))
+        order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest")
+        head = F.min(F.struct(order.alias("o"), F.struct("n", "digest", *SKETCH).alias("y")))["y"]
+        first = active.groupBy("token", "band").agg(head.alias("y"), F.count("*").alias("groups")).where("groups > 1").select("token", "band", "y")
+        star = active.select("token", "band", F.struct("n", "digest", *SKETCH).alias("x")).join(first, ["token", "band"]).where("x.digest <> y.digest")
+        star = star.where(_resembling("x", "y", percent)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
+        found = sets.verified(star.unionByName(inside) if turn == 0 else star)
         links = found if links is None else links.unionByName(found)
         roots = written(_rooted(classes, links))
-        rooted = met.join(roots, "digest")
-        active = written(rooted.join(rooted.groupBy("token", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "band"), ["token", "band"]).drop("root"))
+        if turn + 1 < ROUNDS:  # buckets that hold linked groups and others: there a further leader may connect many
+            rooted = met.join(roots, "digest")
+            sizes = rooted.groupBy("token", "band", "root").agg(F.count("*").alias("k")).groupBy("token", "band").agg(F.count("*").alias("roots"), F.max("k").alias("most"))
+            active = written(met.join(sizes.where("roots > 1 and most > 1").select("token", "band"), ["token", "band"], "left_semi"))
     # what is left: members outside a bucket's largest component against those of the other components
-    full = met.select("token", "group").join(classes.select("group", "digest", "n", *SKETCH).join(roots, "digest"), "group").drop("group")
+    others = sketched.join(several.select("group"), "group").join(lead.select(F.col("lead").alias("digest")), "digest", "left_anti")
+    tail = met.select("group", "token").join(others, "group")
+    full = met.select("token", "digest", "n", *SKETCH).unionByName(tail.select("token", "digest", "n", *SKETCH)).join(roots, "digest")
     sizes = full.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1")
     full = written(full.join(sizes.select("token", "major"), "token"))
     minor = full.where("root <> major").alias("m")
     cond = (F.col("m.token") == F.col("q.token")) & (F.col("m.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.major")) | (F.col("m.digest") < F.col("q.digest"))) & _resembling("m", "q", percent)
-    rest = minor.join(full.alias("q"), cond).select(F.col("m.digest").alias("a"), F.col("q.digest").alias("b")).distinct()
-    return links.unionByName(check(rest))
+    rest = minor.join(full.alias("q"), cond).select(F.col("m.digest").alias("a"), F.col("q.digest").alias("b"))
+    return links.unionByName(sets.verified(rest))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable over links)."""
+def classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the signatures of all rows, the classes of equal sets with their first row, and digest, root of every class."""
     rows = written(signatures(docs, doc_id, text, size, percent))
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sum"))
     ids = rows.where("n > 0").groupBy("digest").agg(least.alias("first"))
     own = rows.where("n > 0").select("digest", "n", "group", "prefix", *SKETCH).dropDuplicates(["digest"])
     classes = written(own.join(ids.select("digest", F.struct("first._id", "first._sum").alias("first")), "digest"))
     links = written(class_links(classes, docs, doc_id, text, size, percent))
-    roots = written(_rooted(classes, links))
+    return rows, classes, written(_rooted(classes, links))
+
+
+def labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """_id, _sum, root of every row; the root of rows without a word is an empty one."""
+    rows, _, roots = classed(docs, doc_id, text, size, percent)
+    done = rows.where("n > 0").select("_id", "_sum", "digest").join(roots, "digest").select("_id", "_sum", "root")
+    return done.unionByName(rows.where("n = 0").select("_id", "_sum", F.lit(b"").alias("root")))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable over links)."""
+    rows, classes, roots = classed(docs, doc_id, text, size, percent)
     named = classes.select("digest", F.col("first._id").alias("class_id")).join(roots, "digest")
     top = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     label = written(named.join(top, "root").select("digest", "class_id", "component_id"))

@@ -12,6 +12,10 @@ smallest of them; groups whose left-out blocks differ in one bit are at most thr
 are linked. That keeps every connection with no pair lists: a value has at most 49 fingerprints with equal blocks.
 Links are verified on the fingerprints and joined into components.
 
+`keep_distinct` is the form for corpora, where a copy may differ in some words. Fingerprints of three-word shingles move by
+many bits then, those of single words by few, so it looks for candidates with two fingerprints of single words, each
+with its own seed, and verifies the five-word similarity of all candidates on their texts.
+
 Defined results: null and empty texts and those without a word have fingerprint 0 and are linked like any other;
 repeated rows and equal ids keep one row each in `near_duplicates` and one row altogether in `keep_one`; null
 ids count as largest for component ids (a component without an id has a null one); other columns are carried
@@ -27,24 +31,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from contestframe.llm import jaccard
+from contestframe.llm.chunks import among
 from contestframe.llm.components import components
-from contestframe.llm.texts import blank_words, keyed, sparing, written
+from contestframe.llm.texts import blank_words, keyed, on_key, released, sparing, written
 
 BLOCKS, WIDTH, RADIUS, SEED = 4, 16, 3, 42
+SEEDS = (42, 7)  # of the fingerprints of single words
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
+def text_fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     """Majority of each bit over the hashes of all word shingles, as a signed 64-bit number."""
     words = blank_words(text, lower=True)
     if not words:
         return 0
     grams = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(g), SEED) for g in grams), np.uint64)
+    hashes = np.fromiter((digest(b" ".join(g), seed) for g in grams), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -52,11 +59,11 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, shingle: int = 3, seed: int = SEED) -> Column:
     """The fingerprint of a text as a signed 64-bit number."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([text_fingerprint(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([text_fingerprint(t, shingle, seed) for t in texts.to_pylist()], pa.int64())
 
     return F.arrow_udf(sparing(run), "bigint")(text)
 
@@ -125,3 +132,38 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     packed = packed.withColumn("key", F.xxhash64("_id", "_sum"))
     both = packed.join(written(kept), "key").where(F.col("_id").eqNullSafe(F.col("kept_id")) & (F.col("_sum") == F.col("kept_sum")))
     return both.dropDuplicates(["key", "_id", "_sum"]).select(*[F.col("row")[c].alias(c) for c in known])
+
+
+def candidates(docs: DataFrame, doc_id: str, text: str, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """_id, _sum of the rows that links of one of the fingerprints of single words connect with another row."""
+    prints = [fingerprint(F.col("_text"), 1, seed).alias(f"fp{k}") for k, seed in enumerate(seeds)]
+    rows = written(keyed(docs, doc_id, text).select("_id", "_sum", *prints))
+    found = None
+    for k in range(len(seeds)):
+        counted = written(rows.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.count("*").alias("n")))
+        roots = components(links(counted.select("fp")))
+        label = counted.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+        several = label.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root")
+        met = written(label.join(several, "root").select("fp"))
+        part = rows.join(met, rows[f"fp{k}"] == met["fp"], "left_semi").select("_id", "_sum")
+        found = part if found is None else found.unionByName(part)
+        released(docs.sparkSession)
+    return found.distinct()
+
+
+def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of every group of near copies: the smallest id, of equal ids the smallest hash of the text.
+
+    Candidates are near copies if a chain of texts with a Jaccard similarity of `percent` over shingles connects them. Null and
+    empty texts are copies of one another.
+    """
+    known = docs.columns
+    picked = written(candidates(docs, doc_id, text))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in known]).alias("row"), F.col(text).alias("_text"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_sum"))
+    close = written(on_key(among(packed.select("_id", "_sum", "_text"), picked, "_id", "_sum"), picked, "left_semi"))
+    rows = jaccard.labelled(close, "_id", "_text", shingle, percent)
+    first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sum")
+    kept = written(rows.groupBy("root").agg(F.min(first).alias("k")).select("k._id", "k._sum"))
+    alone = on_key(packed, picked, "left_anti")
+    chosen = on_key(among(packed, kept, "_id", "_sum"), kept, "inner").dropDuplicates(["_id", "_sum"])
+    return alone.select("row").unionByName(chosen.select("row")).select(*[F.col("row")[c].alias(c) for c in known])

@@ -101,3 +101,28 @@ def test_query_over_the_table(spark, sf):
     want = plain_components(prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op5_simhash(spark, sf).collect()}
     assert got == {k: (f"{p:016x}", want[k]) for k, p in prints}
+
+
+def test_keep_distinct(spark, docs_of):
+    """Copies with some words changed go, chains of them too; what shares only a part of its text stays."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(3000)]
+    rows, originals = [], []
+    for k in range(20):
+        base = rnd.choices(vocabulary, k=rnd.choice((80, 200, 400)))
+        originals.append(100 * k)
+        rows.append((100 * k, " ".join(base)))
+        for j in range(1, 6):
+            words = list(base)
+            for _ in range(len(words) // 100):
+                words[rnd.randrange(len(words))] = f"n{k}x{j}"
+            rows.append((100 * k + j, " ".join(words)))
+        rows.append((100 * k + 50, " ".join(base[: len(base) // 2] + rnd.choices(vocabulary, k=len(base) // 2))))
+        originals.append(100 * k + 50)
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (None, rows[0][1]), (9000, "one row twice"), (9000, "one row twice"), (9000, "other text of the id")]
+    docs = docs_of(rows)
+    kept = simhash.keep_distinct(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    assert ids == sorted(map(str, [*originals, 5000, 9000, 9000]))
+    assert simhash.keep_distinct(docs_of([])).collect() == []
