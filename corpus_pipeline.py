@@ -2,7 +2,7 @@
 
 Every stage takes the documents that its predecessor kept and, but for the last, returns documents with the
 same columns: quality rules drop rejected documents and boilerplate lines, SimHash keeps one document of each group
-of near-duplicates, decontamination drops documents that overlap a benchmark item, the secret scan replaces
+of near-duplicates (null and empty texts are one group), decontamination drops documents that overlap a benchmark item, the secret scan replaces
 secrets by a mark, and BPE turns texts into token ids. n_chars follows the text.
 """
 
@@ -16,18 +16,22 @@ from contestframe.llm.texts import recounted, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep, without the lines that many documents of their source hold."""
     return recounted(quality.kept_rows(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One document of every group of copies: a five-word similarity of 0.8 or more, among the candidates that SimHash finds."""
+    return simhash.keep_distinct(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that overlap no benchmark item."""
     return decontam.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
     return recounted(secrets.redact(docs))
 
 
