@@ -8,8 +8,8 @@ common. Classes with the same prefix and size are one group, so only groups meet
 All members of a group of near copies resemble each other, so pairs are never listed where a chain will do. In each round,
 every member of a group is paired with one leader of it, and in every bucket (a prefix shingle and a range of sizes) every group
 with one leader. Pairs are filtered by size and by the Hamming distance of a 512-bit parity sketch, which never exceeds the
-symmetric difference, then verified on the sets, and links give components; further rounds, with other leaders, take buckets of
-more than one component only. At last these buckets are expanded to their members, and those outside a bucket's
+symmetric difference, then verified on the sets, an eighth of their shingles first, and links give components; a further
+round, with other leaders, takes the buckets in which some groups are linked and others are not. At last these buckets are expanded to their members, and those outside a bucket's
 largest component meet all members of other components, filtered in the join and verified. So whatever can be linked is either
 verified or known to be connected; no link that joins two components is lost.
 
@@ -43,6 +43,7 @@ ROUNDS = 2
 HELD = 400_000  # distinct words that a task holds before it hands counts on
 LANES = 8  # 64-bit parts of a sketch
 PART = 256  # texts worked on at once
+SAMPLED = 8  # one of so many hashes is compared before whole sets are
 SKETCH = [f"s{k}" for k in range(LANES)]
 
 
@@ -153,14 +154,15 @@ class _Sets:
         @sparing
         def sets(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [np.unique(shingle_hashes(blank_words(t.as_py(), lower=True), self_size)).view(np.int64) for t in part.column(1)]
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["digest", "found"])
+            some = [x[x & (SAMPLED - 1) == 0] for x in found]
+            return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (found, some)), pa.array([len(x) for x in found], pa.int64())], ["digest", "found", "some", "n"])
 
         def run(batch: pa.RecordBatch):
             for k in range(0, batch.num_rows, PART):
                 yield sets(batch.slice(k, PART))
 
         self_size = self.size
-        new = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>"))
+        new = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>, some array<bigint>, n bigint"))
         self.known = new if self.known is None else self.known.unionByName(new)
         return self.known
 
@@ -168,9 +170,17 @@ class _Sets:
         """The distinct pairs (a, b) of set digests whose sets reach the threshold, as a written table."""
         pairs = written(pairs.distinct())
         sets = self._add(pairs)
-        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("found").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y")).cast("bigint")
-        return written(both.where(common * (100 + self.percent) >= (F.size("x") + F.size("y")) * self.percent).select("a", "b"))
+
+        def beside(rows: DataFrame, col: str) -> DataFrame:
+            one, two = (sets.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col(col).alias(f"x_{k}")) for k in "ab")
+            met = rows.join(one, "a").join(two, "b")
+            return met.withColumn("common", F.size(F.array_intersect("x_a", "x_b")).cast("bigint"))
+
+        # shingles of an eighth of all hashes first: what differs among them differs in the whole sets
+        apart = F.size("x_a") + F.size("x_b") - 2 * F.col("common")
+        near = written(beside(pairs, "some").where(apart * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent)).select("a", "b"))
+        enough = F.col("common") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent
+        return written(beside(near, "found").where(enough).select("a", "b"))
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
