@@ -20,12 +20,13 @@ def score_card(
     flow_window: int = 90,
     recent_window: int = 600,
     unit: int = 1,
+    even: bool = False,
 ) -> DataFrame:
     """Scores every entrant of every contest at the instant `now`.
 
     `ticks` has contest_id, entrant_id, price, place_price, ts; `profiles` has entrant_id, last_p,
     style, draw, venue and draw_mult. Windows are in seconds times `unit` (a unit of 86400 reads
-    them as days). Ticks are reduced to one row per entrant first; everything after that runs on
+    them as days). `even` reads a price of exactly 1 as a price in flow and steam. Ticks are reduced to one row per entrant first; everything after that runs on
     fields and shares their partitioning.
     """
     c, e = "contest_id", "entrant_id"
@@ -44,11 +45,11 @@ def score_card(
     card = card.withColumn("price", F.when(live, F.col("price")))
     card = field.field_prior(card.withColumn("_lp", F.when(live, F.col("last_p"))), c, "_lp", "prior", cfg)
     card = field.pace_adjust(card, c, "prior", "style", "draw", F.col("venue"), F.col("draw_mult"), "model")
-    card = field.flow_score(card, c, "price", "open_price", "_s1", cfg)
-    card = field.flow_score(card, c, "price", "recent_price", "_s2", cfg)
+    card = field.flow_score(card, c, "price", "open_price", "_s1", cfg, even=even)
+    card = field.flow_score(card, c, "price", "recent_price", "_s2", cfg, even=even)
     card = card.withColumn("score", field.overlay_score("_s1", "_s2", cfg))
     card = field.devig_power(card, c, "price", "market", min_n=2)
-    card = card.withColumns(field.velocity("price", "base_price", "place_price", "base_place"))
+    card = card.withColumns(field.velocity("price", "base_price", "place_price", "base_place", even))
     delta, steam, trap = field.flow_delta(
         F.col("velocity"), F.col("logit_velocity"), F.col("contracted"), F.col("model"), F.col("market"), F.col("t_eff"), cfg
     )

@@ -38,3 +38,22 @@ def test_equal_edges_keep_the_smaller_partner(spark):
     df = spark.createDataFrame(rows, "c int, e int, p double, price double").withColumn("s", F.lit(60.0))
     got = field.overlay_pairs(df, "c", "e", "p", "price", "s").orderBy("rank").collect()
     assert [(r["leg_a"], r["leg_b"]) for r in got] == [(1, k) for k in range(2, 7)]
+
+
+def test_prices_of_one_count_where_asked(spark):
+    df = spark.createDataFrame([(1, 1, 1.0, 3.0), (1, 2, 4.0, 1.0), (1, 3, 1.0, 1.0), (1, 4, 4.0, 2.0)], "c int, e int, now double, base double")
+    log = {r["e"]: r["v"] for r in df.select("e", field.velocity("now", "base", even=True)["logit_velocity"].alias("v")).collect()}
+    assert log[1] == float("-inf") and log[2] == float("inf") and log[3] != log[3] and abs(log[4] - 1.0986122886681098) < 1e-12
+    plain = {r["e"]: r["v"] for r in df.select("e", field.velocity("now", "base")["logit_velocity"].alias("v")).collect()}
+    assert plain[1] is plain[2] is plain[3] is None
+    score = {r["e"]: r["s"] for r in field.flow_score(df, "c", "now", "base", "s", even=True).collect()}
+    mean = (2 / 3 - 0.75 + 0 - 0.25) / 4
+    assert abs(score[3] - (50 - 200 * mean)) < 1e-9 and score[1] == 100 and score[2] == 0
+
+
+@pytest.mark.parametrize("name", ["f23_velocity_ticks", "f27_score_card", "a19_meeting_overview", "a20_field_kpis"])
+def test_ticks_with_prices_of_one(spark, sf, tmp_path, name):
+    """The last quote before the decision of one user, and the first quote of another, are 1."""
+    ones = f"""select * replace (case when event_id in (select arg_max(event_id, ts) from events where ts <= timestamp '{views.DECISION_AT}' and user_id = 3
+      union all select arg_min(event_id, ts) from events where user_id = 7) then 0.0 else value end as value) from events order by ts"""
+    assert same_as_sql(spark, changed(tmp_path, sf, events=ones), name)
