@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contestframe.catalog.base import big, r4, register
@@ -271,9 +272,10 @@ def h04(spark, sf):
 def h05(spark, sf):
     """Report lines of all runs: odd ranks name the code, even ranks the name."""
     df = base(spark, sf)
-    letter = F.chr(F.lit(65) + F.floor(F.col("entrant_id") / 1000) % 26)
-    code = F.concat(letter, F.lpad((F.col("entrant_id") % 1000).cast("string"), 3, "0"))
-    df = df.withColumns({"code": code, "name": F.concat(F.lit("RUNNER "), F.col("entrant_id").cast("string"), F.lit("X"))})
+    # a code tells the entrants of one contest apart, so it counts them; the ids of a whole table outnumber the codes
+    place = F.dense_rank().over(W.partitionBy("contest_id").orderBy("entrant_id")) - 1
+    code = F.concat(F.chr(F.lit(65) + F.floor(F.col("_place") / 1000)), F.lpad((F.col("_place") % 1000).cast("string"), 3, "0"))
+    df = df.withColumn("_place", place).withColumns({"code": code, "name": F.concat(F.lit("RUNNER "), F.col("entrant_id").cast("string"), F.lit("X"))})
     line = F.when(F.col("finish_rank") % 2 == 1, F.concat(F.lit("Runner ("), "code", F.lit(") was checked near the 400 metres"))).otherwise(
         F.concat(F.lit("Near the turn "), F.initcap("name"), F.lit(" raced wide without cover"))
     )

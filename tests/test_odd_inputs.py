@@ -57,3 +57,9 @@ def test_ticks_with_prices_of_one(spark, sf, tmp_path, name):
     ones = f"""select * replace (case when event_id in (select arg_max(event_id, ts) from events where ts <= timestamp '{views.DECISION_AT}' and user_id = 3
       union all select arg_min(event_id, ts) from events where user_id = 7) then 0.0 else value end as value) from events order by ts"""
     assert same_as_sql(spark, changed(tmp_path, sf, events=ones), name)
+
+
+def test_report_lines_of_entrants_whose_ids_end_alike(spark, sf, tmp_path):
+    """Two entrants of a contest lie 26,000 ids apart, as many as there are codes."""
+    pair = "select * replace (case when l_linenumber % 2 = 0 then 5 else 26005 end as l_partkey) from lineitem"
+    assert same_as_sql(spark, changed(tmp_path, sf, lineitem=pair), "h05_attribute_text")
