@@ -63,3 +63,11 @@ def test_report_lines_of_entrants_whose_ids_end_alike(spark, sf, tmp_path):
     """Two entrants of a contest lie 26,000 ids apart, as many as there are codes."""
     pair = "select * replace (case when l_linenumber % 2 = 0 then 5 else 26005 end as l_partkey) from lineitem"
     assert same_as_sql(spark, changed(tmp_path, sf, lineitem=pair), "h05_attribute_text")
+
+
+def test_equal_times_rank_alike_in_any_row_order(spark, sf, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    coarse = "select * replace (round(l_extendedprice / 40000) as l_extendedprice) from lineitem order by {}"
+    a, b = (views.runs(spark, changed(tmp_path / k, sf, lineitem=coarse.format(o))) for k, o in (("a", "l_partkey, l_quantity"), ("b", "l_partkey desc, l_quantity desc")))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
