@@ -142,14 +142,15 @@ def bankroll_summary(path: DataFrame, strategy: str, cfg: Config = CFG) -> DataF
 def flat_ledger(tickets: DataFrame, ranks: DataFrame, payouts: DataFrame, c: str, order: str, cfg: Config = CFG, cuts: DataFrame | None = None) -> DataFrame:
     """Contest totals of flat tickets (pool, combo) with the running bankroll.
 
-    Tickets are settled and summed per contest first; the running sum then has one row per contest.
+    Tickets are settled and summed per contest first; the running sum then has one row per contest. These rows are written
+    once, as the look for hot keys, their cut points and the running sum each read them.
     """
     paid = joins.settle(tickets.withColumn("stake", F.lit(cfg.flat_stake)), payouts)
     per = paid.join(ranks, c).groupBy(c, order).agg(
         F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("returned") > 0).alias("hits"),
         (F.sum("returned") - F.sum("stake")).alias("pnl"),
     )
-    per = per.withColumn("_all", F.lit(0))
+    per = checkpointed(per.withColumn("_all", F.lit(0)))
     frame = lambda part: W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     cuts = scale.probe(per, ["_all"], order) if cuts is None else cuts
     run = scale.running(per, ["_all"], order, {"_sum": ("sum", "pnl")}, frame, cuts)

@@ -71,3 +71,9 @@ def test_equal_times_rank_alike_in_any_row_order(spark, sf, tmp_path):
     coarse = "select * replace (round(l_extendedprice / 40000) as l_extendedprice) from lineitem order by {}"
     a, b = (views.runs(spark, changed(tmp_path / k, sf, lineitem=coarse.format(o))) for k, o in (("a", "l_partkey, l_quantity"), ("b", "l_partkey desc, l_quantity desc")))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_ledger_totals_are_written_once(spark, sf):
+    """What looks for hot keys and what adds up read the written totals, not the runs again."""
+    plan = entry.queries()["k05_flat_ledger"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
