@@ -235,8 +235,11 @@ def signal_test(panel: DataFrame, score_min: float, lo: float, hi: float) -> Dat
 
 
 def dual_track(panel: DataFrame, p: str, lo: float, hi: float, ev_min: float) -> DataFrame:
-    """The same decisions paid at the decision price and at the final price, and the erosion in points."""
-    ratio = F.col(p) * F.col("price") * C.decay("price")
+    """The same decisions paid at the decision price and at the final price, and the erosion in points.
+
+    The ratio is rounded to 9 digits, so that one at the limit counts whatever its last bits are.
+    """
+    ratio = F.round(F.col(p) * F.col("price") * C.decay("price"), 9)
     picked = panel.where(F.col("price").between(lo, hi) & (ratio >= ev_min))
     won = F.col("finish_rank") == 1
     naive = F.avg(F.when(won, F.col("price") - 1).otherwise(-1.0)) * 100

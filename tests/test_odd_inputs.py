@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from contestframe.operators import field
+from contestframe.operators import aggregates, field
 from contestframe.sources import views
 from tools.check import TABLES, canonical
 
@@ -77,3 +77,8 @@ def test_ledger_totals_are_written_once(spark, sf):
     """What looks for hot keys and what adds up read the written totals, not the runs again."""
     plan = entry.queries()["k05_flat_ledger"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan
+
+
+def test_ratio_at_the_limit_counts(spark):
+    df = spark.createDataFrame([(1.05 / 4 - 1e-13, 4.0, 4.0, 1), (1.04 / 4, 4.0, 4.0, 1)], "p double, price double, final_price double, finish_rank int")
+    assert aggregates.dual_track(df, "p", 2.0, 8.0, 1.05).first()["decisions"] == 1
