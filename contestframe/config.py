@@ -119,6 +119,8 @@ class Config:
     # Scale: a key with more rows than this is cut into blocks along its order column
     hot_rows: int = 4_000_000
     block_rows: int = 1_000_000
+    # Scale: a table beyond hot_rows is shuffled into a partition for each so many rows, at least
+    task_rows: int = 500_000
     # Scale: a field up to this size travels as one array, a larger one as arrays of `chunk`
     field_limit: int = 128
     chunk: int = 64

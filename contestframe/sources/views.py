@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from contestframe.config import CFG
 from contestframe.operators.field import has_oversized
 from contestframe.scale import probe
+from contestframe.session import spread
 
 # Instants of the tick view that stand for the market's baseline, decision and post time.
 BASELINE_AT = "2024-01-10 00:00:00"
@@ -20,18 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=16)
+def _rows(spark: SparkSession, sf_dir: str) -> int:
+    """Number of order lines, from their Parquet footers; it sizes tasks and no result depends on it."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def runs(spark: SparkSession, sf_dir: str, stable: bool = False) -> DataFrame:
     """One row per entrant and contest. `stable` adds stable_id, which needs one more join.
 
     The supplier join comes first, so that the frame leaves here partitioned by contest. Equal times are ranked by the
-    other columns of the run, so that every reading of the view gives the same ranks.
+    other columns of the run, so that every reading of the view gives the same ranks. A large table is dealt by
+    contest into as many tasks as its rows need.
     """
     lines = table(spark, sf_dir, "lineitem")
+    tasks = spread(spark, _rows(spark, sf_dir), CFG.hot_rows, CFG.task_rows)
     if stable:
         lines = lines.join(
             table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"),
             "l_suppkey",
         )
+    if tasks is not None:
+        lines = lines.repartition(tasks, "l_orderkey")
     orders = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate")
     packed = (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("bigint")
