@@ -27,7 +27,7 @@ def _empty_to_null(c: Column) -> Column:
 def strip_tags(col: Column | str) -> Column:
     """Visible text of a fragment: tags become spaces, runs of blanks one space."""
     c = F.col(col) if isinstance(col, str) else col
-    text = F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), "&nbsp;", " ")
+    text = F.replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" "))
     return F.trim(F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
 
 
@@ -37,11 +37,15 @@ def elements(html: Column | str, tag: str) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), 1)
 
 
+def _cells(fragment: Column, tag: str = "td|th") -> Column:
+    """Inner fragments of the cells of a row."""
+    return F.regexp_extract_all(fragment, F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})\s*>"), 1)
+
+
 def html_rows(df: DataFrame, html: str, row_tag: str = "tr", cell_tag: str = "td|th", keep: Sequence[str] = ()) -> DataFrame:
     """One line per row element: position, its text and the texts of its cells."""
     rows = df.select(*keep, F.posexplode(elements(html, row_tag)).alias("row_no", "_row"))
-    cell = rf"(?is)<(?:{cell_tag})(?:\s[^>]*)?>(.*?)</(?:{cell_tag})\s*>"
-    cells = F.transform(F.regexp_extract_all("_row", F.lit(cell), 1), strip_tags)
+    cells = F.transform(_cells(F.col("_row"), cell_tag), strip_tags)
     return rows.select(*keep, "row_no", F.col("_row").alias("fragment"), strip_tags("_row").alias("text"), cells.alias("cells"))
 
 
@@ -190,23 +194,31 @@ def parse_trials(df: DataFrame, html: str, code: str) -> DataFrame:
 
 
 def parse_sectionals(df: DataFrame, html: str, page: str, code_cell: int = 2, first_cell: int = 3, n: int = 6) -> DataFrame:
-    """Sectional times per entrant code: the last decimal of each section cell."""
-    rows = html_rows(df, html, keep=[page])
-    code = _empty_to_null(F.regexp_extract(F.get("cells", F.lit(code_cell)), r"\(([A-Z]\d{3})\)", 1))
+    """Sectional times per entrant code: the last decimal of each section cell.
 
-    def section(i: int) -> Column:
-        found = F.regexp_extract_all(F.coalesce(F.get("cells", F.lit(first_cell + i)), F.lit("")), F.lit(r"(\d+\.\d+)"), 1)
+    A row is taken apart inside its page, once, and only the cells that are read lose their tags: a filter on a column of an
+    exploded row would have it parsed for the filter and for the result.
+    """
+    def section(cells: Column, i: int) -> Column:
+        found = F.regexp_extract_all(F.coalesce(strip_tags(F.get(cells, F.lit(first_cell + i))), F.lit("")), F.lit(r"(\d+\.\d+)"), 1)
         return F.try_element_at(found, F.lit(-1)).try_cast("double").alias(f"sec{i + 1}_time")
 
-    return rows.select(page, code.alias("entrant_code"), *[section(i) for i in range(n)]).where(F.col("entrant_code").isNotNull())
+    def parsed(cells: Column) -> Column:
+        code = F.regexp_extract(strip_tags(F.get(cells, F.lit(code_cell))), r"\(([A-Z]\d{3})\)", 1)
+        return F.struct(code.alias("entrant_code"), *[section(cells, i) for i in range(n)])
+
+    rows = F.transform(F.transform(elements(html, "tr"), lambda row: _cells(row)), parsed)
+    return df.select(page, F.inline(F.filter(rows, lambda r: r["entrant_code"] != "")))
 
 
 def runner_map(df: DataFrame, html: str, page: str, number_cell: int = 1) -> DataFrame:
-    """Entrant number to code of a result page."""
-    rows = html_rows(df, html, keep=[page])
-    number = F.get("cells", F.lit(number_cell)).try_cast("int")
-    code = _empty_to_null(F.regexp_extract("text", r"\(([A-Z]\d{3})\)", 1))
-    return rows.select(page, number.alias("number"), code.alias("entrant_code")).where("number is not null and entrant_code is not null")
+    """Entrant number to code of a result page; rows are taken apart as in `parse_sectionals`."""
+    def parsed(row: Column) -> Column:
+        code = F.regexp_extract(strip_tags(row), r"\(([A-Z]\d{3})\)", 1)
+        return F.struct(strip_tags(F.get(_cells(row), F.lit(number_cell))).try_cast("int").alias("number"), code.alias("entrant_code"))
+
+    rows = F.transform(elements(html, "tr"), parsed)
+    return df.select(page, F.inline(F.filter(rows, lambda r: r["number"].isNotNull() & (r["entrant_code"] != ""))))
 
 
 def parse_odds(df: DataFrame, html: str, page: str, expected: Column | None = None) -> DataFrame:
