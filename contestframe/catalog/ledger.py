@@ -537,7 +537,7 @@ from runs where contest_date < date '2000-01-01'""",
     "runs",
 )
 def a23(spark, sf):
-    df = base(spark, sf)
+    df = views.runs(spark, sf, ranked=False)
     fills = aggregates.global_fill(df.select("elapsed", "contest_date"), ["elapsed"], ("contest_date", "2000-01-01"), views.table(spark, sf, "lineitem"))["elapsed"]
     one = df.agg(F.count(F.lit(1)).alias("_n"))
     return one.select(*[r4(fills[k]).alias(k) for k in ("mean", "std", "median")])

@@ -12,6 +12,7 @@ from contestframe import scale
 from contestframe.config import CFG, Config
 from contestframe.functions import columns as C
 from contestframe.operators import topk
+from contestframe.session import checkpointed
 
 
 def field_stats(df: DataFrame, c: str, x: str, how: str = "join") -> DataFrame:
@@ -104,13 +105,17 @@ def pnl_by_month(tickets: DataFrame, date: str, bankroll: str | None = None, ord
 def _value_counts(df: DataFrame, x: str, bound: DataFrame | None) -> DataFrame:
     """Distinct values of x with `_k` occurrences, `_cum` up to and including the value, `_total`.
 
-    The counts are accumulated in blocks along the value axis when there are many. `bound` is a
-    cheap frame with at least as many rows, asked for its size instead of `df`.
+    The counts of a large frame are written once, and accumulated in blocks along the value axis when there are many.
+    `bound` is a cheap frame with at least as many rows, asked for its size instead of `df`.
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_k"))
     counts = counts.withColumn("_all", F.lit(0))
     rows = counts if bound is None else bound.select(F.lit(0).alias("_all"))
-    cuts = scale.probe(counts, ["_all"], x, counts_from=rows)
+    cuts = None
+    if not scale.hot_keys(rows, ["_all"]).isEmpty():
+        # the look for hot keys, their cut points, the sums and the total each read the counts, which may stand on a long plan
+        counts = checkpointed(counts)
+        cuts = scale.probe(counts, ["_all"], x)
     frame = lambda part: W.partitionBy(*part).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
     summed = scale.running(counts, ["_all"], x, {"_cum": ("sum", "_k")}, frame, cuts)
     if cuts is None:
