@@ -34,10 +34,12 @@ from pyspark.sql import Window
 from contestframe.llm import jaccard
 from contestframe.llm.chunks import among
 from contestframe.llm.components import components
-from contestframe.llm.texts import blank_words, keyed, on_key, released, sparing, written
+from contestframe.llm.texts import arrow_map, blank_words, keyed, on_key, released, sparing, written
 
 BLOCKS, WIDTH, RADIUS, SEED = 4, 16, 3, 42
 SEEDS = (42, 7)  # of the fingerprints of single words
+NEAR = 32  # of so many fingerprints that are equal outside a block, all pairs are compared
+THREE = [1 << k | 1 << m | 1 << n for k in range(WIDTH) for m in range(k) for n in range(m)]
 
 
 def _signed(value: int) -> int:
@@ -80,30 +82,64 @@ def variants(prints: DataFrame) -> DataFrame:
     return each.select("block", F.col("fp").bitwiseAND(F.col("rest")).bitwiseXOR(F.col("flip")).alias("value"), "fp")
 
 
-def _left_out() -> Column:
-    return F.expr(f"cast(shiftrightunsigned(fp, {WIDTH} * block) & {(1 << WIDTH) - 1} as int)")
+def _pairs(row: np.ndarray, part: np.ndarray, fp: np.ndarray, equal: np.ndarray) -> list[np.ndarray]:
+    """Rows (a, b) of fingerprints that meet: `row` numbers the values, `part` is the left-out block, `equal` tells who holds the value itself."""
+    order = np.lexsort((fp, part, row))
+    key, fp, equal = (row << WIDTH | part)[order], fp[order], equal[order]
+    keys, first, group = np.unique(key, return_index=True, return_inverse=True)
+    rep = fp[first]
+    out = [np.column_stack([rep[group], fp])]
 
+    def met(keys: np.ndarray, own: np.ndarray, flip: int) -> None:
+        """Those whose left-out blocks differ in the bits of `flip`, each pair once."""
+        low = np.flatnonzero(keys < keys ^ flip)
+        at = np.minimum(np.searchsorted(keys, keys[low] ^ flip), len(keys) - 1)
+        hit = keys[at] == keys[low] ^ flip
+        out.append(np.column_stack([own[low[hit]], own[at[hit]]]))
 
-def links(prints: DataFrame) -> DataFrame:
-    """a, b: verified links that connect whatever is at most three bits apart. `prints`: distinct `fp`."""
-    met = variants(prints).withColumn("n", F.count("*").over(Window.partitionBy("block", "value"))).where("n > 1")
-    met = written(met.select("block", "value", "fp", _left_out().alias("part")))
-    groups = met.groupBy("block", "value", "part").agg(F.min("fp").alias("rep"), F.collect_set("fp").alias("fps"))
-    stars = groups.select(F.col("rep").alias("a"), F.explode("fps").alias("b"))
-    steps = groups.select("block", "value", F.col("rep").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.col("part").bitwiseXOR(F.call_function("shiftleft", F.lit(1), k)))).alias("part"))
-    near = steps.join(groups.select("block", "value", "part", F.col("rep").alias("b")), ["block", "value", "part"]).select("a", "b")
+    for k in range(WIDTH):
+        met(keys, rep, 1 << k)
     # all three bits in one block: what lies outside it is equal
-    equal = " or ".join(f"(block = {n} and (fp & {_signed(_rest(n))}) = value)" for n in range(BLOCKS))
-    same = met.where(equal).withColumn("n", F.count("*").over(Window.partitionBy("block", "value"))).where("n > 1").select("block", "value", "part", "fp")
-    one = F.array(*[F.lit(1 << k) for k in range(WIDTH)])
-    two = F.array(*[F.lit(1 << k | 1 << m) for k in range(WIDTH) for m in range(k)])
+    key, fp = key[equal], fp[equal]
+    n = np.bincount(key >> WIDTH)[key >> WIDTH] if len(key) else key
+    for step in range(1, NEAR):  # of a few, all pairs
+        if step >= len(key) or step >= n.max():
+            break
+        at = np.flatnonzero(key[step:] >> WIDTH == key[:-step] >> WIDTH)
+        out.append(np.column_stack([fp[at], fp[at + step]]))
+    many = n > NEAR
+    if many.any():
+        key, fp = key[many], fp[many]
+        for flip in THREE:
+            met(key, fp, flip)
+    return out
+
 
-    def moved(flips: Column, name: str) -> DataFrame:
-        return same.select("block", "value", F.col("fp").alias(name), F.col("part"), F.explode(flips).alias("flip")).select("block", "value", name, F.col("part").bitwiseXOR(F.col("flip")).alias("meet"))
+def links(prints: DataFrame) -> DataFrame:
+    """a, b: verified links that connect whatever is at most three bits apart. `prints`: distinct `fp`.
 
-    inside = moved(one, "a").join(moved(two, "b"), ["block", "value", "meet"]).select("a", "b")
-    found = stars.unionByName(near).unionByName(inside).where("a <> b")
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    The fingerprints of a value are gathered where they were dealt to, and give their links there.
+    """
+    met = variants(prints).withColumn("n", F.count("*").over(Window.partitionBy("block", "value"))).where("n > 1")
+    values = met.groupBy("block", "value").agg(F.collect_list("fp").alias("fps"))
+
+    @sparing
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        fp = batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        block, value = (batch.column(k).to_numpy()[row] for k in (0, 1))
+        part = fp.view(np.uint64) >> (WIDTH * block).astype(np.uint64) & np.uint64((1 << WIDTH) - 1)
+        rest = np.array([_signed(_rest(n)) for n in range(BLOCKS)])
+        pairs = np.concatenate(_pairs(row, part.astype(np.int64), fp, fp & rest[block] == value))
+        pairs = pairs[(pairs[:, 0] != pairs[:, 1]) & (np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]).view(np.uint64)) <= RADIUS)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    def run(batch: pa.RecordBatch):
+        if batch.num_rows:
+            yield rows(batch)
+
+    return arrow_map(values, run, "a bigint, b bigint").distinct()
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -126,3 +126,23 @@ def test_keep_distinct(spark, docs_of):
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert ids == sorted(map(str, [*originals, 5000, 9000, 9000]))
     assert simhash.keep_distinct(docs_of([])).collect() == []
+
+
+def test_links_deal_fingerprints_once(spark):
+    """The fingerprints of a value are dealt out once; its links are found there, and only they are dealt again."""
+    df = spark.createDataFrame([(1,), (3,)], "fp bigint")
+    plan = simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_many_fingerprints_equal_outside_a_block(spark):
+    """More than are compared in pairs: even and odd words of a code with distance 3 or more, linked over three bits only."""
+    rnd = random.Random(5)
+    parts = []
+    for x in rnd.sample(range(1 << 16), 1 << 16):
+        if len(parts) < 120 and all((x ^ p).bit_count() >= 3 for p in parts):
+            parts.append(x)
+    prints = [simhash._signed(0xABCD << 48 | x << 16) for x in parts]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"))
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert {p: got.get(p, p) for p in prints} == plain_components([(p, p & (1 << 64) - 1) for p in sorted(prints)])
