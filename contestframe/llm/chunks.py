@@ -153,16 +153,20 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     lists = written(chunk_lists(docs, doc_id, text))
     again = written(lists.select(F.explode("low").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     sc = docs.sparkSession.sparkContext
+    released(docs.sparkSession)
     seen = written(repeated_chunks(lists, sc.broadcast(bitmap_of(again)), min_words, min_run))
     in_runs = written(seen.select(F.col("low").alias("key")).distinct())
     first = F.min(F.struct("_id", "_sum"))
     owners = holders(lists, sc.broadcast(bitmap_of(in_runs))).groupBy("low", "high").agg(first.alias("first"), F.max(F.struct("_id", "_sum")).alias("last"), F.sum("n").alias("held")).where("first <> last or (first <=> last) is null")
-    others = seen.join(written(owners.select("low", "high", "first", "held")), ["low", "high"]).where(~F.struct("_id", "_sum").eqNullSafe(F.col("first")))
+    kept = written(owners.select("low", "high", "first", "held"))
+    released(docs.sparkSession)
+    others = seen.join(kept, ["low", "high"]).where(~F.struct("_id", "_sum").eqNullSafe(F.col("first")))
     # one exchange by document serves repeated rows, runs and what is summed by document
     places = others.select("_id", "_sum", "seq", "low", "high", "start", "end", "words", "before", "after", "held", F.col("first._id").alias("owner")).repartition("_id", "_sum").dropDuplicates(["_id", "_sum", "seq"])
-    released(docs.sparkSession)
     doc = Window.partitionBy("_id", "_sum").orderBy("seq")
     placed = written(places.withColumn("run", F.col("seq") - F.row_number().over(doc)))
+    del places, others
+    released(docs.sparkSession)
     once = placed.groupBy("_id", "_sum", "run", "owner", "low", "high").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("words").alias("fresh"),
         F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"))
@@ -177,8 +181,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     # chunks that meet by chance have a keeper each, those of a passage mostly the same one; one that repeats counts once
     whole = (F.col("most") >= min_run) & (F.col("most") * 2 > F.col("fresh"))
     long = written(runs.where((F.col("fresh") >= min_run) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words)).withColumn("whole", whole))
+    released(docs.sparkSession)
     names = ["_id", "_sum", "start", "end", "n_words", "first_id"]
-    mixed = on_key(placed, long.where("not whole").select("_id", "_sum", "run"), "left_semi", ("_id", "_sum", "run"))
+    parted = long.where("not whole").select("_id", "_sum", "run")
+    mixed = on_key(among(placed, parted, "_id", "_sum", "run"), parted, "left_semi", ("_id", "_sum", "run"))
     return long.where("whole").select(*names).unionByName(held_whole(mixed, seen, lists, min_words, min_run).select(*names))
 
 

@@ -137,3 +137,13 @@ def test_recall_of_shared_windows(spark, sf):
                 at += len(w)
             hit += sum(any(a <= places[j] < b for a, b in found[k]) for j in want[k])
     assert hit >= 0.95 * sum(map(len, want.values()))
+
+
+def test_only_rows_of_mixed_runs_are_dealt_again(spark, docs_of, monkeypatch):
+    """The rows of runs that one document keeps are filtered before the join that gathers the others."""
+    asked, among = [], chunks.among
+    monkeypatch.setattr(chunks, "among", lambda rows, wanted, *cols: asked.append(cols) or among(rows, wanted, *cols))
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, text), (2, "own words " + text)]
+    assert {r._id for r in chunks.find_repeats(docs_of(rows)).collect()} == {2}
+    assert ("_id", "_sum", "run") in asked
