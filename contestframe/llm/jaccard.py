@@ -8,7 +8,7 @@ common. Classes with the same prefix and size are one group, so only groups meet
 All members of a group of near copies resemble each other, so pairs are never listed where a chain will do. In each round,
 every member of a group is paired with one leader of it, and in every bucket (a prefix shingle and a range of sizes) every group
 with one leader. Pairs are filtered by size and by the Hamming distance of a 512-bit parity sketch, which never exceeds the
-symmetric difference, then verified on the sets, an eighth of their shingles first, and links give components; a further
+symmetric difference, then by sketches as long as the sets, and verified on the sets; links give components; a further
 round, with other leaders, takes the buckets in which some groups are linked and others are not. At last these buckets are expanded to their members, and those outside a bucket's
 largest component meet all members of other components, filtered in the join and verified. So whatever can be linked is either
 verified or known to be connected; no link that joins two components is lost.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from contestframe.llm.chunks import among
 from contestframe.llm.components import components
-from contestframe.llm.texts import arrow_map, blank_words, keyed, on_key, sparing, written
+from contestframe.llm.texts import arrow_map, blank_words, keyed, on_key, released, sparing, written
 
 SHINGLE, PERCENT = 3, 90
 SHARE = 500_000  # words rarer than 1 / SHARE are not told apart
@@ -43,7 +43,6 @@ ROUNDS = 2
 HELD = 400_000  # distinct words that a task holds before it hands counts on
 LANES = 8  # 64-bit parts of a sketch
 PART = 256  # texts worked on at once
-SAMPLED = 8  # one of so many hashes is compared before whole sets are
 SKETCH = [f"s{k}" for k in range(LANES)]
 
 
@@ -87,6 +86,19 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def parities(found: np.ndarray, size: int) -> np.ndarray:
+    """Parity sketch of a set in 64-bit parts; `size`, a power of two, is its number of bits."""
+    bits = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parity sketches differ; the longer one is folded to the length of the other."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def needed(n: int, percent: int) -> int:
     """Length of the prefix of a set of n."""
     return n - -(-n * percent // 100) + 1
@@ -109,8 +121,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, percent: int)
         found, at = np.unique(hashes, return_index=True)
         n = len(found)
         prefix = found[np.lexsort((found, least[at]))[: needed(n, percent)]].view(np.int64)
-        bits = np.bincount((found & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
-        sketch = np.packbits(bits.astype(bool), bitorder="little").view(np.int64).tolist()
+        sketch = parities(found, 64 * LANES).tolist()
         return n, xxhash.xxh3_128_digest(found.tobytes()), xxhash.xxh3_128_digest(prefix.tobytes(), n), prefix, *sketch
 
     @sparing
@@ -154,15 +165,15 @@ class _Sets:
         @sparing
         def sets(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [np.unique(shingle_hashes(blank_words(t.as_py(), lower=True), self_size)).view(np.int64) for t in part.column(1)]
-            some = [x[x & (SAMPLED - 1) == 0] for x in found]
-            return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (found, some)), pa.array([len(x) for x in found], pa.int64())], ["digest", "found", "some", "n"])
+            parity = [parities(x.view(np.uint64), max(64 * LANES, 1 << (len(x) - 1).bit_length())) for x in found]
+            return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (found, parity)), pa.array([len(x) for x in found], pa.int64())], ["digest", "found", "parity", "n"])
 
         def run(batch: pa.RecordBatch):
             for k in range(0, batch.num_rows, PART):
                 yield sets(batch.slice(k, PART))
 
         self_size = self.size
-        new = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>, some array<bigint>, n bigint"))
+        new = written(arrow_map(texts.select("digest", "_text"), run, "digest binary, found array<bigint>, parity array<bigint>, n bigint"))
         self.known = new if self.known is None else self.known.unionByName(new)
         return self.known
 
@@ -172,15 +183,32 @@ class _Sets:
         sets = self._add(pairs)
 
         def beside(rows: DataFrame, col: str) -> DataFrame:
-            one, two = (sets.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col(col).alias(f"x_{k}")) for k in "ab")
-            met = rows.join(one, "a").join(two, "b")
-            return met.withColumn("common", F.size(F.array_intersect("x_a", "x_b")).cast("bigint"))
+            nodes = written(rows.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+            known = among(sets, nodes, "digest")
+            one, two = (known.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col(col).alias(f"x_{k}")) for k in "ab")
+            return rows.join(one, "a").join(two, "b")
 
-        # shingles of an eighth of all hashes first: what differs among them differs in the whole sets
-        apart = F.size("x_a") + F.size("x_b") - 2 * F.col("common")
-        near = written(beside(pairs, "some").where(apart * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent)).select("a", "b"))
-        enough = F.col("common") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent
-        return written(beside(near, "found").where(enough).select("a", "b"))
+        # parity sketches as long as the sets first: the bits that differ are never more than the shingles that do
+        most = 100 - self.percent, 100 + self.percent
+
+        @sparing
+        def near(part: pa.RecordBatch) -> pa.RecordBatch:
+            sizes = part.column(2).to_numpy() + part.column(3).to_numpy()
+            apart = [_apart(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(part.column(4), part.column(5), strict=True)]
+            kept = pa.array(np.array(apart, np.int64) * most[1] <= sizes * most[0])
+            return part.select(["a", "b"]).filter(kept)
+
+        def run(batch: pa.RecordBatch):
+            for k in range(0, batch.num_rows, PART):
+                yield near(batch.slice(k, PART))
+
+        released(self.docs.sparkSession)
+        close = written(arrow_map(beside(pairs, "parity").select("a", "b", "n_a", "n_b", "x_a", "x_b"), run, "a binary, b binary"))
+        released(self.docs.sparkSession)
+        common = F.size(F.array_intersect("x_a", "x_b")).cast("bigint")
+        linked = written(beside(close, "found").where(common * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent).select("a", "b"))
+        released(self.docs.sparkSession)
+        return linked
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,6 +217,15 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.select("digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"))
 
 
+def one_of_equals(held: DataFrame) -> DataFrame:
+    """token: of all tokens with the same holders, the smallest; the others lead to the same pairs. `held`: token, digest.
+
+    Near copies share most of their prefix, so without this each pair of them would meet at every shingle of it.
+    """
+    holders = held.groupBy("token").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("digest", F.lit(s))).alias(f"h{s}") for s in range(2)])
+    return written(holders.groupBy("k", "h0", "h1").agg(F.min("token").alias("token")).select("token"))
+
+
 def class_links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """a, b: verified links between classes that connect all that the threshold links."""
     sets = _Sets(classes, docs, doc_id, text, size, percent)
@@ -200,13 +237,15 @@ def class_links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, siz
     inside = crowd.where("digest <> lead").select("group", F.struct("n", "digest", *SKETCH).alias("x")).join(heads, "group")
     inside = inside.where(_resembling("x", "y", percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
 
-    # prefix shingles of groups that another group, or another member, has too
+    # prefix shingles of groups that another group, or another member, has too; of those with the same holders, one
     leaders = classes.join(lead.select(F.col("lead").alias("digest"), "members"), "digest")
     postings = leaders.select("digest", "members", F.explode("prefix").alias("token"))
     shared = written(postings.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1").select("token"))
+    held = written(among(postings.select("digest", "token"), shared, "token").join(shared, "token"))
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    met = among(postings.select("digest", "token"), shared, "token").join(shared, "token")
+    met = held.join(one_of_equals(held), "token", "left_semi")
     met = written(met.join(leaders.select("group", "digest", "n", *SKETCH), "digest").withColumn("band", band))
+    released(docs.sparkSession)
     links, active = None, met
     for turn in range(ROUNDS):
         order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest")
@@ -240,7 +279,9 @@ def classed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     ids = rows.where("n > 0").groupBy("digest").agg(least.alias("first"))
     own = rows.where("n > 0").select("digest", "n", "group", "prefix", *SKETCH).dropDuplicates(["digest"])
     classes = written(own.join(ids.select("digest", F.struct("first._id", "first._sum").alias("first")), "digest"))
+    released(docs.sparkSession)
     links = written(class_links(classes, docs, doc_id, text, size, percent))
+    released(docs.sparkSession)
     return rows, classes, written(_rooted(classes, links))
 
 

@@ -115,3 +115,21 @@ def test_no_pairs_of_a_large_group(spark, docs_of):
     classes = signed.groupBy("digest", "n", "group", "prefix", *jaccard.SKETCH).agg(F.min(F.struct("_id", "_sum")).alias("first"))
     assert jaccard.class_links(classes, docs, "doc_id", "text", 3, 90).count() < 200 * 12
     assert len({r[3] for r in collected(jaccard.near_copies(docs))}) == len({r[3] for r in plain(rows)})
+
+
+def test_tokens_with_the_same_holders_count_once(spark):
+    rows = [(7, b"a"), (7, b"b"), (5, b"a"), (5, b"b"), (9, b"a"), (9, b"c"), (2, b"a")]
+    kept = jaccard.one_of_equals(spark.createDataFrame(rows, "token bigint, digest binary"))
+    assert sorted(r.token for r in kept.collect()) == [2, 5, 9]
+
+
+def test_sketches_of_any_length_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 1100, np.uint64))
+    for cut in (0, 40, 200):
+        x, y = base, base[cut:]
+        for sizes in ((512, 2048), (2048, 1024), (4096, 4096)):
+            assert jaccard._apart(*(jaccard.parities(z, n) for z, n in zip((x, y), sizes, strict=True))) <= cut
+    assert jaccard._apart(jaccard.parities(base, 2048), jaccard.parities(base[200:], 2048)) > 150
