@@ -7,9 +7,10 @@ common. Classes with the same prefix and size are one group, so only groups meet
 
 All members of a group of near copies resemble each other, so pairs are never listed where a chain will do. In each round,
 every member of a group is paired with one leader of it, and in every bucket (a prefix shingle and a range of sizes) every group
-with one leader. Pairs are filtered by size and by the Hamming distance of a 512-bit parity sketch, which never exceeds the
+with one leader. Only shingles at which a first common one of a link can stand, by its place and the sizes of its holders,
+make buckets. Pairs are filtered by size, by the places of their shingle and by the Hamming distance of a 512-bit parity sketch, which never exceeds the
 symmetric difference, then by sketches as long as the sets, and verified on the sets; links give components; a further
-round, with other leaders, takes the buckets in which some groups are linked and others are not. At last these buckets are expanded to their members, and those outside a bucket's
+round, with another leader in each bucket, takes the buckets in which some groups are linked and others are not. At last these buckets are expanded to their members, and those outside a bucket's
 largest component meet all members of other components, filtered in the join and verified. So whatever can be linked is either
 verified or known to be connected; no link that joins two components is lost.
 
@@ -147,6 +148,12 @@ def _resembling(left: str, right: str, percent: int) -> Column:
     return sizes & (apart * (100 + percent) <= (a("n") + b("n")) * (100 - percent))
 
 
+def _reaching(left: str, right: str, percent: int) -> Column:
+    """What two sets have from the place of a common shingle on leaves the threshold possible; it holds at the first one of any link."""
+    a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    return F.least(a("n") - a("at"), b("n") - b("at")) * (100 + percent) >= (a("n") + b("n")) * percent
+
+
 class _Sets:
     """The sets of the classes in pairs, made from the texts when they are first asked for, and kept as written tables."""
 
@@ -160,7 +167,8 @@ class _Sets:
         if self.known is not None:
             nodes = nodes.join(self.known.select("digest"), "digest", "left_anti")
         wanted = written(self.first.join(nodes, "digest", "left_semi"))
-        texts = on_key(among(self.docs, wanted, "_id", "_sum"), wanted, "inner", ("_id", "_sum"))
+        few = among(among(self.docs, wanted, "_id", "_sum"), wanted, "_sum", "_id")  # two bitmaps, so hardly a text is dealt in vain
+        texts = on_key(few, wanted, "inner", ("_id", "_sum"))
 
         @sparing
         def sets(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -217,57 +225,75 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.select("digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"))
 
 
-def one_of_equals(held: DataFrame) -> DataFrame:
-    """token: of all tokens with the same holders, the smallest; the others lead to the same pairs. `held`: token, digest.
+def one_of_equals(held: DataFrame, at: str = "token") -> DataFrame:
+    """token: of all tokens with the same holders, the one with the smallest `at`; the others lead to the same pairs. `held`: token, digest.
 
     Near copies share most of their prefix, so without this each pair of them would meet at every shingle of it.
     """
-    holders = held.groupBy("token").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("digest", F.lit(s))).alias(f"h{s}") for s in range(2)])
-    return written(holders.groupBy("k", "h0", "h1").agg(F.min("token").alias("token")).select("token"))
+    holders = held.groupBy("token").agg(F.count("*").alias("k"), F.min(at).alias("first"), *[F.bit_xor(F.xxhash64("digest", F.lit(s))).alias(f"h{s}") for s in range(2)])
+    return written(holders.groupBy("k", "h0", "h1").agg(F.min_by("token", "first").alias("token")).select("token"))
+
+
+def _band(n: str, percent: int) -> Column:
+    """Sizes that leave the threshold possible lie in one band or in neighbouring ones; the factor covers rounding."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent)) * (1 - 1e-9))
+
+
+def meetings(leaders: DataFrame, percent: int) -> DataFrame:
+    """token, digest, n, at, band and same, the holders of the token in the band: the places at which a leader can meet another set.
+
+    `leaders`: digest, n, prefix, members. Of a pair that reaches the threshold, the first common shingle stands early in the smaller
+    set, as all common ones follow there: shingles that are early in no set are left out. So are those without another holder
+    of a like size, but for the first of a leader with members of its own. Of shingles with the same holders, the first is taken.
+    """
+    postings = leaders.select("digest", "n", "members", F.posexplode("prefix").alias("at", "token"))
+    early = F.max(F.col("at") * (100 + percent) <= F.col("n") * (100 - percent))
+    shared = written(postings.groupBy("token").agg(F.sum("members").alias("all"), early.alias("early")).where("all > 1 and early").select("token"))
+    held = written(among(postings, shared, "token").join(shared, "token").select("token", "digest", "n", "at", "members", _band("n", percent).alias("band")))
+    own = held.join(one_of_equals(held, "at"), "token", "left_semi")
+    bands = own.groupBy("token", "band").agg(F.count("*").alias("k")).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("bands"))
+    same, *beside = (F.coalesce(F.col("bands")[F.col("band") + step], F.lit(0)) for step in (0, -1, 1))
+    placed = own.join(bands, "token").withColumn("same", same).where((F.col("same") + sum(beside) > 1) | ((F.col("members") > 1) & (F.col("at") == 0)))
+    return written(placed.select("token", "digest", "n", "at", "band", "same"))
 
 
 def class_links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """a, b: verified links between classes that connect all that the threshold links."""
     sets = _Sets(classes, docs, doc_id, text, size, percent)
-    lead = written(classes.groupBy("group").agg(F.min("digest").alias("lead"), F.count("*").cast("int").alias("members")))
-    sketched = classes.select("group", "digest", "n", *SKETCH)
-    several = lead.where("members > 1").select("group", "lead")
-    crowd = sketched.join(several, "group")
+    several = written(classes.groupBy("group").agg(F.min("digest").alias("lead"), F.count("*").cast("int").alias("members")).where("members > 1"))
+    crowd = written(classes.select("group", "digest", "n", *SKETCH).join(several, "group"))
     heads = crowd.where("digest = lead").select("group", F.struct("n", "digest", *SKETCH).alias("y"))
-    inside = crowd.where("digest <> lead").select("group", F.struct("n", "digest", *SKETCH).alias("x")).join(heads, "group")
+    others = crowd.where("digest <> lead").select("group", "digest", "n", *SKETCH)
+    inside = others.select("group", F.struct("n", "digest", *SKETCH).alias("x")).join(heads, "group")
     inside = inside.where(_resembling("x", "y", percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
 
-    # prefix shingles of groups that another group, or another member, has too; of those with the same holders, one
-    leaders = classes.join(lead.select(F.col("lead").alias("digest"), "members"), "digest")
-    postings = leaders.select("digest", "members", F.explode("prefix").alias("token"))
-    shared = written(postings.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1").select("token"))
-    held = written(among(postings.select("digest", "token"), shared, "token").join(shared, "token"))
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    met = held.join(one_of_equals(held), "token", "left_semi")
-    met = written(met.join(leaders.select("group", "digest", "n", *SKETCH), "digest").withColumn("band", band))
+    leaders = classes.join(several, "group", "left").where("lead is null or digest = lead").withColumn("members", F.coalesce("members", F.lit(1)))
+    places = meetings(leaders.select("digest", "n", "prefix", "members"), percent)
+    met = written(places.join(leaders.select("digest", "group", *SKETCH), "digest"))
     released(docs.sparkSession)
-    links, active = None, met
+    links, alike = None, met.where("same > 1")
+    active = alike.withColumn("root", F.col("digest"))
     for turn in range(ROUNDS):
-        order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest")
-        head = F.min(F.struct(order.alias("o"), F.struct("n", "digest", *SKETCH).alias("y")))["y"]
+        order = F.struct(F.xxhash64("digest", "token" if turn else F.lit(0), F.lit(turn)).alias("h"), "digest")  # the same leader in all buckets first, then others in each
+        head = F.min(F.struct(order.alias("o"), F.struct("n", "digest", "at", "root", *SKETCH).alias("y")))["y"]
         first = active.groupBy("token", "band").agg(head.alias("y"), F.count("*").alias("groups")).where("groups > 1").select("token", "band", "y")
-        star = active.select("token", "band", F.struct("n", "digest", *SKETCH).alias("x")).join(first, ["token", "band"]).where("x.digest <> y.digest")
-        star = star.where(_resembling("x", "y", percent)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
+        star = active.select("token", "band", F.struct("n", "digest", "at", "root", *SKETCH).alias("x")).join(first, ["token", "band"]).where("x.root <> y.root")
+        star = star.where(_reaching("x", "y", percent) & _resembling("x", "y", percent)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
         found = sets.verified(star.unionByName(inside) if turn == 0 else star)
         links = found if links is None else links.unionByName(found)
         roots = written(_rooted(classes, links))
         if turn + 1 < ROUNDS:  # buckets that hold linked groups and others: there a further leader may connect many
-            rooted = met.join(roots, "digest")
+            rooted = alike.join(roots, "digest")
             sizes = rooted.groupBy("token", "band", "root").agg(F.count("*").alias("k")).groupBy("token", "band").agg(F.count("*").alias("roots"), F.max("k").alias("most"))
-            active = written(met.join(sizes.where("roots > 1 and most > 1").select("token", "band"), ["token", "band"], "left_semi"))
+            active = written(rooted.join(sizes.where("roots > 1 and most > 1").select("token", "band"), ["token", "band"], "left_semi"))
     # what is left: members outside a bucket's largest component against those of the other components
-    others = sketched.join(several.select("group"), "group").join(lead.select(F.col("lead").alias("digest")), "digest", "left_anti")
-    tail = met.select("group", "token").join(others, "group")
-    full = met.select("token", "digest", "n", *SKETCH).unionByName(tail.select("token", "digest", "n", *SKETCH)).join(roots, "digest")
+    tail = met.select("group", "token", "at").join(others, "group")
+    cols = ["token", "digest", "n", "at", *SKETCH]
+    full = met.select(cols).unionByName(tail.select(cols)).join(roots, "digest")
     sizes = full.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1")
     full = written(full.join(sizes.select("token", "major"), "token"))
     minor = full.where("root <> major").alias("m")
-    cond = (F.col("m.token") == F.col("q.token")) & (F.col("m.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.major")) | (F.col("m.digest") < F.col("q.digest"))) & _resembling("m", "q", percent)
+    cond = (F.col("m.token") == F.col("q.token")) & (F.col("m.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.major")) | (F.col("m.digest") < F.col("q.digest"))) & _reaching("m", "q", percent) & _resembling("m", "q", percent)
     rest = minor.join(full.alias("q"), cond).select(F.col("m.digest").alias("a"), F.col("q.digest").alias("b"))
     return links.unionByName(sets.verified(rest))
 

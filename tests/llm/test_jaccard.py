@@ -133,3 +133,21 @@ def test_sketches_of_any_length_bound_the_difference():
         for sizes in ((512, 2048), (2048, 1024), (4096, 4096)):
             assert jaccard._apart(*(jaccard.parities(z, n) for z, n in zip((x, y), sizes, strict=True))) <= cut
     assert jaccard._apart(jaccard.parities(base, 2048), jaccard.parities(base[200:], 2048)) > 150
+
+
+def test_meetings_are_where_a_first_common_shingle_can_stand(spark):
+    """Shingles that are late in all sets, or whose holders differ in size, make no bucket; of equal holders the first is taken."""
+    sets = [(b"a", 100, [11, 12, 13, *range(20, 28)], 1), (b"b", 96, [11, 12, 13, *range(30, 37)], 1)]  # 11 to 13 have the same holders
+    sets += [(b"c", 100, [*range(40, 50), 99], 1), (b"d", 100, [*range(50, 60), 99], 1)]  # 99 is late in both
+    sets += [(b"e", 100, [70, *range(71, 81)], 1), (b"f", 40, [70, 82, 83, 84, 85], 1)]  # far from each other in size
+    sets += [(b"g", 100, list(range(90, 99)), 3)]  # alone, but with members of its own
+    got = jaccard.meetings(spark.createDataFrame(sets, "digest binary, n bigint, prefix array<bigint>, members int"), 90).collect()
+    assert sorted((r.token, bytes(r.digest), r.at, r.same) for r in got) == [(11, b"a", 0, 2), (11, b"b", 0, 2), (90, b"g", 0, 1)]
+
+
+def test_large_group_around_the_threshold(spark, docs_of):
+    """Members that differ by about as much as the threshold lets them."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, edited(rnd, base, rnd.randint(4, 7))) for k in range(150)]
+    assert collected(jaccard.near_copies(docs_of(rows))) == plain(rows)
