@@ -188,14 +188,16 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return long.where("whole").select(*names).unionByName(held_whole(mixed, seen, lists, min_words, min_run).select(*names))
 
 
-def among(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
-    """The rows whose key may be among the wanted ones, by a bitmap sized by these, of 2^FILTER_BITS at most: spares a shuffle of the others."""
+def among(rows: DataFrame, wanted: DataFrame, *cols: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be among the wanted ones, by a bitmap sized by these, of 2^FILTER_BITS at most: spares a shuffle of the others.
+
+    With "left_anti" as `how`, exactly the others."""
     key = F.xxhash64(*cols)
     bits = bitmap_of(wanted.select(key.alias("key")), FILTER_BITS).view(np.int64)
     table = rows.sparkSession.createDataFrame([(bits.tolist(),)], "bits array<bigint>")
     bit = key.bitwiseAND(len(bits) * 64 - 1)
     shift = F.call_function("shiftrightunsigned", F.get("bits", F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int"))
-    return rows.join(F.broadcast(table), shift.bitwiseAND(1) == 1, "left_semi")
+    return rows.join(F.broadcast(table), shift.bitwiseAND(1) == 1, how)
 
 
 def stretches(mixed: DataFrame, min_words: int, min_run: int) -> DataFrame:

@@ -197,9 +197,24 @@ def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     picked = written(candidates(docs, doc_id, text))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in known]).alias("row"), F.col(text).alias("_text"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_sum"))
     close = written(on_key(among(packed.select("_id", "_sum", "_text"), picked, "_id", "_sum"), picked, "left_semi"))
-    rows = jaccard.labelled(close, "_id", "_text", shingle, percent)
+    rows = written(jaccard.labelled(close, "_id", "_text", shingle, percent))
     first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sum")
     kept = written(rows.groupBy("root").agg(F.min(first).alias("k")).select("k._id", "k._sum"))
-    alone = on_key(packed, picked, "left_anti")
-    chosen = on_key(among(packed, kept, "_id", "_sum"), kept, "inner").dropDuplicates(["_id", "_sum"])
-    return alone.select("row").unionByName(chosen.select("row")).select(*[F.col("row")[c].alias(c) for c in known])
+    gone = written(on_key(rows.select("_id", "_sum"), kept, "left_anti").distinct())
+    again = rows.groupBy("_id", "_sum").count().where("count > 1").select("_id", "_sum")
+    released(docs.sparkSession)
+    return _without(packed, gone, again, known)
+
+
+def _without(packed: DataFrame, gone: DataFrame, again: DataFrame, known: list[str]) -> DataFrame:
+    """The rows whose key is not in `gone`, one for each key in `again`: keys that occur more than once are all there.
+
+    Hardly a text is dealt out: rows outside the bitmap of both tables stay where they are, and of those inside it, keys alone
+    tell which come back.
+    """
+    touched = written(gone.unionByName(again))
+    back = written(on_key(among(packed.select("_id", "_sum"), touched, "_id", "_sum"), gone, "left_anti").distinct())
+    whole = among(packed, touched, "_id", "_sum", how="left_anti").select("row")
+    inside = among(among(packed, touched, "_id", "_sum"), back, "_sum", "_id").select("row", "_id", "_sum")
+    once = on_key(inside, back, "left_semi").dropDuplicates(["_id", "_sum"]).select("row")
+    return whole.unionByName(once).select(*[F.col("row")[c].alias(c) for c in known])

@@ -146,3 +146,14 @@ def test_many_fingerprints_equal_outside_a_block(spark):
     edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"))
     got = {r.node: r.root for r in components(edges).collect()}
     assert {p: got.get(p, p) for p in prints} == plain_components([(p, p & (1 << 64) - 1) for p in sorted(prints)])
+
+
+def test_rows_that_stay_are_not_dealt_out(spark):
+    """Of many rows few are dealt by their key: those that the bitmap takes for dropped ones, and repeated ones."""
+    rows = [(k, k, (k, f"text {k}")) for k in [*range(4000), 7, 9, 9]] + [(None, 5, (None, "null id")), (None, 6, (None, "dropped"))]
+    packed = spark.createDataFrame(rows, "_id bigint, _sum bigint, row struct<doc_id: bigint, text: string>")
+    gone, again = (spark.createDataFrame(x, "_id bigint, _sum bigint") for x in ([(k, k) for k in [*range(0, 4000, 4), 9]] + [(None, 6)], [(7, 7), (9, 9)]))
+    got = simhash._without(packed, gone, again, ["doc_id", "text"])
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted([*(str(k) for k in range(4000) if k % 4 and k != 9), "None"])
+    whole = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in whole
