@@ -19,6 +19,8 @@ ids count as smallest; other columns are carried by `remove_repeats` and not rea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -88,6 +90,11 @@ def chunk_lists(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return arrow_map(own, run, f"_id {typed}, _sum bigint, low array<bigint>, high array<bigint>, end array<bigint>, words array<bigint>")
 
 
+def keys_at(batch: pa.RecordBatch, rows: Sequence[int]) -> pa.RecordBatch:
+    """The two key columns of the rows, as often as they are named. With its lists a document would be copied whole for each of its chunks."""
+    return batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+
+
 def repeated_chunks(lists: DataFrame, wanted: Broadcast, min_words: int, min_run: int) -> DataFrame:
     """Rows of the chunks whose low half is in the bitmap: _id, _sum, seq, low, high, start, end, words, and the words of both neighbours.
 
@@ -114,7 +121,7 @@ def repeated_chunks(lists: DataFrame, wanted: Broadcast, min_words: int, min_run
         long = (total >= min_run) & (total + before[heads] + after[tails] >= min_words)
         at = np.flatnonzero(again)
         at = at[long[run[at]]]
-        kept = batch.take(pa.array(row[at], pa.int64()))
+        kept = keys_at(batch, row[at])
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.array(x[at]) for x in (seq, low, high, start, end, words, before, after))], ["_id", "_sum", *names])
 
     def run_(batch: pa.RecordBatch):
@@ -134,7 +141,7 @@ def holders(lists: DataFrame, wanted: Broadcast) -> DataFrame:
         low, high = (batch.column(k).flatten().to_numpy() for k in (2, 3))
         at = np.flatnonzero(held(wanted.value, low.view(np.uint64)))
         found, n = np.unique(np.column_stack([np.repeat(np.arange(len(sizes)), sizes)[at], low[at], high[at]]), axis=0, return_counts=True)
-        kept = batch.take(pa.array(found[:, 0]))
+        kept = keys_at(batch, found[:, 0])
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(found[:, 1].copy()), pa.array(found[:, 2].copy()), pa.array(n)], ["_id", "_sum", "low", "high", "n"])
 
     def run(batch: pa.RecordBatch):
@@ -235,7 +242,7 @@ def stretches(mixed: DataFrame, min_words: int, min_run: int) -> DataFrame:
                 inside[key] -= 1
                 fresh -= size[at] if inside[key] == 0 else 0
                 words -= size[at]
-        kept = batch.take(pa.array(rows, pa.int64()))
+        kept = keys_at(batch, rows)
         columns = list(zip(*out, strict=True)) or [()] * len(STRETCH)
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.array(x, pa.int64()) for x in columns)], ["_id", "_sum", *STRETCH])
 
@@ -262,7 +269,7 @@ def stretch_digests(lists: DataFrame, spots: DataFrame) -> DataFrame:
                     rows.append(row)
                     out.append(xxhash.xxh3_128_digest(digests[spot["at"] : spot["at"] + spot["n"]].tobytes()))
         found = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-        kept = batch.take(pa.array(rows, pa.int64()))
+        kept = keys_at(batch, rows)
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], ["_id", "_sum", "sum_low", "sum_high"])
 
     def run(batch: pa.RecordBatch):
